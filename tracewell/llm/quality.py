@@ -210,9 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Gam:
 
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInPandas(run, "key long, label int, x array<double>")
     got = texts.toPandas()
-    got["order"] = [zlib.crc32(repr((int(k), x.tobytes())).encode()) for k, x in zip(got["key"], got["x"], strict=True)]
+    got["order"] = [zlib.crc32(repr((int(k), list(x))).encode()) for k, x in zip(got["key"], got["x"], strict=True)]
     got = got.sort_values(["order", "key"]).head(rows)
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
+    x = np.array(got["x"].tolist(), dtype=np.float64) if len(got) else np.zeros((0, len(FEATURES)))
     return Gam(x, got["label"].to_numpy(dtype=np.float64))
 
 
