@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import arrow_rows
+
 SUB, CENTRES = 4, 16
 #: Rows the centres are fitted on, vectors to a block, queries to a block, exact scores per query and block.
 SAMPLE, BLOCK, QUERIES, RERANK = 20_000, 8192, 4096, 768
@@ -128,6 +130,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     and vectors meet in blocks: each block of vectors goes to each block of queries once.
     """
     spark = vectors.sparkSession
+    arrow_rows(spark, 10_000)
     kind = "array<double>"
     good = lambda d, i: d.select(F.col(i).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v")).where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     own, asked = good(vectors, id_col), good(queries, id_col)

@@ -1,62 +1,37 @@
-"""What the corpus operators share: the shared folder, materialised tables, components."""
+"""What the corpus operators share: bounded batches, memory, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the contracts list it.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where all run in one
-    machine, gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+from tracewell.runtime import materialize, scratch_path, shared_dir, ship
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back.
-
-    The lineage is cut by files that outlive any executor.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_rows", "connected_components", "materialize", "release_memory", "scratch_path", "shared_dir"]
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch, for long texts share a batch's memory."""
+    """Bounds the rows of an Arrow batch, for long texts share a batch's memory; ships the package to the workers."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
 
 
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back, for an executor's workers and JVM share a limit."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (src, dst); component is the least node.
 

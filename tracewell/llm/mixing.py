@@ -127,6 +127,7 @@ def mix(items: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MO
     large source is many tasks' work.
     """
     spark = items.sparkSession
+    arrow_rows(spark, 10_000)
     sources = source_sizes(items)
     known = sources.orderBy("rank").limit(SOURCES + 1).collect()
     if len(known) > SOURCES:
