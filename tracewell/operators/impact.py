@@ -73,7 +73,8 @@ def flow_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda r: edges.where(F.col("rel_type") == r)
     label = nodes.select(F.col("node_id").alias("src"), "label")
     part = of("PART_OF").join(label, "src")
-    consumed = of("DERIVES_FROM").where("transform_id is not null").select(F.col("dst").alias("src"), F.col("transform_id").alias("dst"), F.lit("CONSUMED_BY").alias("rel_type"))
+    runs = nodes.where("label = 'Transform'").select("transform_id", F.col("node_id").alias("run"))
+    consumed = of("DERIVES_FROM").join(runs, "transform_id").select(F.col("dst").alias("src"), F.col("run").alias("dst"), F.lit("CONSUMED_BY").alias("rel_type"))
     return (
         turn(of("DERIVES_FROM").where("src <> dst"), "FEEDS").unionAll(turn(of("READS_FROM"), "READ_BY")).unionAll(keep(of("WRITES_TO"), "WRITES_TO"))
         .unionAll(keep(of("PRODUCES"), "PRODUCES")).unionAll(keep(part.where("label = 'Column'"), "COLUMN_OF")).unionAll(keep(part.where("label = 'Transform'"), "RUNS_IN")).unionAll(consumed)

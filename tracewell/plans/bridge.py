@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SLA = "CASE {k} % 3 WHEN 0 THEN 'P0' WHEN 1 THEN 'P1' ELSE 'P2' END"
 _CADENCE = "CASE {k} % 4 WHEN 0 THEN 'streaming' WHEN 1 THEN 'hourly' WHEN 2 THEN 'daily' ELSE 'weekly' END"
 _SOURCE = "CASE {k} % 4 WHEN 0 THEN 'dbt' WHEN 1 THEN 'spark' WHEN 2 THEN 'sql' ELSE 'kafka' END"
-_COLS = ["node_id", "label", "project", "dataset", "name", "pipeline_name", "source_type", "owner", "sla_tier", "freshness_cadence", "llm_inferred", "commit_id", "created_at"]
+_COLS = ["node_id", "label", "project", "dataset", "name", "transform_id", "pipeline_name", "source_type", "owner", "sla_tier", "freshness_cadence", "llm_inferred", "commit_id", "created_at"]
 
 
 def _node(table: str, where: str = "", distinct: bool = False, **given: str) -> str:
@@ -21,7 +21,7 @@ def _sql(div: str, month: str) -> tuple[str, str]:
     nodes = " UNION ALL ".join([
         _node("part", node_id="concat('p:', p_partkey)", label="'Dataset'", project="p_brand", name="concat('p:', p_partkey)", source_type=_SOURCE.format(k="p_partkey"), owner="CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_type END"),
         _node("customer", node_id="concat('c:', c_custkey)", label="'Dataset'", project="c_mktsegment", name="concat('c:', c_custkey)", source_type="'manual'", owner="c_name"),
-        _node("orders", node_id="concat('t:', o_orderkey)", label="'Transform'", project="o_orderstatus", name="concat('t:', o_orderkey)", pipeline_name="o_orderpriority", source_type=_SOURCE.format(k="o_orderkey"), llm_inferred="o_orderkey % 17 = 0", commit_id=commit, created_at="o_orderdate"),
+        _node("orders", node_id="concat('t:', o_orderkey)", label="'Transform'", project="o_orderstatus", name="concat('t:', o_orderkey)", transform_id="concat('t:', o_orderkey)", pipeline_name="o_orderpriority", source_type=_SOURCE.format(k="o_orderkey"), llm_inferred="o_orderkey % 17 = 0", commit_id=commit, created_at="o_orderdate"),
         _node("orders", distinct=True, node_id="concat('l:', o_orderpriority)", label="'Pipeline'", name="o_orderpriority"),
         _node("part", node_id="concat('k:', p_partkey)", label="'Column'", project="p_brand", dataset="concat('p:', p_partkey)", name="concat('k:', p_partkey)"),
         _node("supplier", node_id="concat('s:', s_suppkey)", label="'Dashboard'", name="s_name", sla_tier=_SLA.format(k="s_nationkey"), freshness_cadence=_CADENCE.format(k="s_suppkey")),
