@@ -19,15 +19,27 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, str(rows))
 
 
+_TUNED: list[bool] = []
+
+
 def release_memory() -> None:
-    """Gives freed memory of a Python worker back, for an executor's workers and JVM share a limit."""
+    """Gives freed memory of a Python worker back, for an executor's workers and JVM share a limit.
+
+    Large arrays come from maps of their own from the first call on, so that freeing them shrinks
+    the worker at once; the rest is trimmed.
+    """
     import ctypes
 
     import pyarrow as pa
 
-    pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        libc = ctypes.CDLL(None)
+        if not _TUNED:
+            _TUNED.append(True)
+            pa.set_memory_pool(pa.system_memory_pool())
+            libc.mallopt(-3, 1 << 18)  # least size of a map of its own
+            libc.mallopt(-8, 2)  # arenas
+        libc.malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
         pass
 

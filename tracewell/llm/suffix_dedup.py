@@ -29,10 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import arrow_rows, release_memory
+
 WIDTH, SEED = 50, 26
 #: Bytes hashed at once; longer documents are hashed in overlapping pieces.
-PIECE = 1 << 22
-GROUP_BYTES = 16 << 20
+PIECE = 1 << 18
+#: Bytes of text dealt to a group of documents and to a bucket of digits.
+GROUP_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -106,7 +109,7 @@ def pieces(texts: list[bytes], width: int, seed: int) -> Iterator[tuple[Piece, n
     def build(docs, parts):
         lens = np.array([len(p) for p in parts])
         data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        return Piece(data, np.repeat(np.cumsum(lens), lens), width, seed), np.repeat(docs, lens), np.cumsum(lens) - lens
+        return Piece(data, np.repeat(np.cumsum(lens), lens), width, seed), np.repeat(docs.astype(np.int32), lens), np.cumsum(lens) - lens
 
     for i, t in enumerate(texts):
         if len(t) < width:
@@ -170,6 +173,7 @@ def _resolve(whole: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     earliest that has this run, and another group has another run of the same first digit."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         out = []
         sent = np.concatenate([np.full(len(k) // 12, s) for k, s in zip(pdf["keys"], pdf["sent"], strict=True)])
         a, b = _joined(pdf)
@@ -190,6 +194,7 @@ def _resolve(whole: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
             to, keys = to[order], keys[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
             out.append(pd.DataFrame({"to": to[cut], "sent": key[0], "kind": kind, "keys": [x.tobytes() for x in np.split(keys, cut[1:])] if len(to) else []}))
+        release_memory()
         return pd.concat(out)
 
     return run
@@ -248,7 +253,7 @@ def removed_spans(texts: list[bytes], rank: np.ndarray, whole: tuple, single: tu
         mine = np.flatnonzero(doubt[first[i] : first[i] + len(p.start)])
         if len(mine):
             r, at, last = p.windows(mine)
-            rows.append((np.full(len(r), i), at, p.digit[r], last, rank[of[at]]))
+            rows.append((np.full(len(r), i, dtype=np.int32), at.astype(np.int32), p.digit[r], last, rank[of[at]].astype(np.int32)))
     if rows:
         i, at, wa, wb, wd = (np.concatenate(x) for x in zip(*rows, strict=True))
         hit = _earlier(wa, wb, wd)[0] | _in(wa, wb, single)
@@ -286,9 +291,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     neither before nor after any other: they keep all. No rows give no rows.
 
     Three passes read the texts through one exchange. A task holds ``group_bytes`` of text, or one
-    document if that is longer, and the digits of one bucket, of which there are as many as groups.
+    document if that is longer, or the digits of one bucket, of which there is one for every
+    ``BUCKET_BYTES`` of text.
     """
 
+    arrow_rows(docs.sparkSession, 2000)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("doc_id", [i / 64 for i in range(65)], 1000).alias("q")).first()
     groups = max(1, -(-(size["n"] or 0) // group_bytes))
@@ -299,17 +306,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = f"greatest(1L, coalesce(get(array({steps}), k), {marks[-1]}L) - get(array({steps}), k - 1))"
     known = docs.where("doc_id is not null").withColumn("k", F.expr(low))
     known = known.select(F.expr(f"cast((k - 1) * {share} + least({share} - 1, greatest(0, floor(({share} * cast(doc_id - get(array({steps}), k - 1) as double)) / {span}))) as int)").alias("grp"), "doc_id", "text")
-    buckets = max(1, min(groups, 4096))
+    buckets = max(1, -(-groups * group_bytes // BUCKET_BYTES))
     sent = "to int, sent int, kind int, keys binary"
 
     def runs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         texts, _ = _texts(pdf)
         found = [(p.digit, p.run) for p, *_ in pieces(texts, width, seed)]
+        del texts
         none = np.zeros(0, dtype=np.uint64)
         a, b = (np.concatenate([f[i] for f in found] or [none]) for i in (0, 1))
+        release_memory()
         return _blobs(key[0], a, b, buckets)
 
     def windows(key, pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         doubt = _joined(said[said["kind"] == 2])
         found = [(np.zeros(0, dtype=np.uint64),) * 2]
         if len(doubt[0]):
@@ -320,8 +331,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _blobs(key[0], *(np.concatenate([f[i] for f in found]) for i in (0, 1)), buckets)
 
     def final(key, pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         texts, rank = _texts(pdf)
         spans = removed_spans(texts, rank, _joined(said[said["kind"] == 1]), _joined(said[said["kind"] == 3]), width, seed)
+        release_memory()
         kept = []
         for t, own in zip(texts, spans, strict=True):
             edges = [0, *(x for s in own for x in s), len(t)]
