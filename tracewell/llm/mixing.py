@@ -193,7 +193,8 @@ def mix(items: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MO
 
     work = drawn.groupBy("run").agg(F.collect_list(F.struct("rank", "base")).alias("bases"))
     filled = work.mapInPandas(fill, "rank int, place long, width long, shard long, slot long")
-    met = pieces.join(filled, ["rank", "place"])
+    # The planner takes the slots for as few as the draws they come from; they grow with the words.
+    met = pieces.hint("merge").join(filled, ["rank", "place"])
     low = F.greatest(F.lit(0), F.col("block") * block - F.col("start"))
     high = F.least(F.col("size"), F.col("block") * block + F.col("width") - F.col("start"))
     takes = met.select("key", "shard", "slot", low.cast("long").alias("low"), high.cast("long").alias("high")).where("high > low")
@@ -213,7 +214,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     items = same.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(F.struct("doc_id", "size", "source", "copy").alias("key"), "source", "size")
     sources, streams, takes = mix(items, **options)
     sums = takes.groupBy("key").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
-    out = streams.join(sums, "key", "left").join(F.broadcast(sources.drop("source")), "rank")
+    out = streams.join(sums.hint("merge"), "key", "left").join(F.broadcast(sources.drop("source")), "rank")
     return out.select("key.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -238,7 +239,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     arrow_rows(spark, 2000)
     others = [c for c in names if c != "text"]
     one = keyed.dropDuplicates(["__key"])
-    joined = one.join(per_doc, "__key").drop("__key")
+    joined = one.join(per_doc.hint("merge"), "__key").drop("__key")
     cut = F.pandas_udf(lambda text, takes: pd.Series([cut_takes(t, x) for t, x in zip(text, takes, strict=True)]), "array<string>")
     out = joined.withColumn("text", F.explode(cut("text", "__takes"))).drop("__takes")
     if "n_chars" in others:
