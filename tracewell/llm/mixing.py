@@ -128,6 +128,7 @@ def mix(items: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MO
     """
     spark = items.sparkSession
     arrow_rows(spark, 10_000)
+    items = materialize(items.select("key", "source", "size"), "mix-sizes")  # texts are read once
     sources = source_sizes(items)
     known = sources.orderBy("rank").limit(SOURCES + 1).collect()
     if len(known) > SOURCES:
