@@ -37,7 +37,7 @@ def release_memory() -> None:
         if not _TUNED:
             _TUNED.append(True)
             pa.set_memory_pool(pa.system_memory_pool())
-            libc.mallopt(-3, 1 << 18)  # least size of a map of its own
+            libc.mallopt(-3, 1 << 22)  # least size of a map of its own; smaller arrays come and go too often
             libc.mallopt(-8, 2)  # arenas
         libc.malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
