@@ -7,10 +7,10 @@ one half, so that one of sixteen is alike but for one pair in fifty thousand; co
 all shingles alone would need a threshold of some sixteen bits for that.
 
 Texts with a fingerprint alike make a candidate group. Every member is compared with the group's
-first, exactly, so that no pairs of a group of copies are listed. Members that differ from the first
-are grouped again by a further fingerprint that they have alike, ``REFINED`` times: texts that only
-share a passage part at that, similar ones have several alike. What is left, if anything, is compared
-with its group's first until none is left.
+first, exactly, so that no pairs of a group of copies are listed. Where the others aren't all
+connected by that, they are dealt into tiles, and all pairs of tiles are compared, exactly, but for
+those of the group's largest component with itself. So every pair of a group is linked, connected
+or verified apart at the end.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import arrow_rows, connected_components, materialize
 from tracewell.llm.simhash_dedup import links
 
-WORDS, SIMILAR, ORDERS, LEAST, REFINED = 5, 0.8, 16, 3, 3
+WORDS, SIMILAR, ORDERS, LEAST = 5, 0.8, 16, 3
+#: Texts to a tile, and shingles that are counted at once.
+TILE, CHUNK = 256, 4096
 _ODD = (np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -90,36 +92,98 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     heads = materialize(sketched.groupBy("fp").agg(F.min("text_id").alias("head")), "heads")
     linked = links(heads.select("fp"))
     a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_id")) for c in ("src", "dst"))
-    near = linked.join(a, "src").join(b, "dst").select(F.concat(F.lit("l"), F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id")).alias("grp"), F.lit(-1).alias("k"), F.explode(F.array("src_id", "dst_id")).alias("text_id"))
-    same = sketched.select(F.concat(F.lit("f"), "fp").alias("grp"), F.lit(-1).alias("k"), "text_id")
-    subs = sketched.select("text_id", F.posexplode("subs").alias("k", "s")).select(F.concat("k", F.lit(":"), "s").alias("grp"), "k", "text_id")
-    groups = near.unionAll(same).unionAll(subs)
-    groups = _shared(groups)
+    near = linked.join(a, "src").join(b, "dst").select(F.concat(F.lit("l"), F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id")).alias("grp"), F.explode(F.array("src_id", "dst_id")).alias("text_id"))
+    same = sketched.select(F.concat(F.lit("f"), "fp").alias("grp"), "text_id")
+    subs = sketched.select("text_id", F.posexplode("subs").alias("k", "s")).select(F.concat("k", F.lit(":"), "s").alias("grp"), "text_id")
+    groups = _shared(near.unionAll(same).unionAll(subs))
     wanted = materialize(groups.select("text_id").distinct(), "wanted")
     held = materialize(texts.join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"]), "candidate-texts")
     alike = F.pandas_udf(lambda x, y: pd.Series([similarity(shingles(s), shingles(t)) >= similar for s, t in zip(x, y, strict=True)], dtype=bool), "boolean")
-    found, level = None, 0
-    while not groups.isEmpty():
-        pairs = groups.where("text_id <> first").select("text_id", "first").distinct()
-        first = held.select(F.col("text_id").alias("first"), F.col("text").alias("first_text"))
-        judged = materialize(pairs.join(held, "text_id").join(first, "first").select("text_id", "first", alike("text", "first_text").alias("ok")), "judged")
-        good = judged.where("ok").select(F.col("first").alias("src"), F.col("text_id").alias("dst"))
-        found = good if found is None else found.unionAll(good)
-        left = groups.join(judged.where("not ok"), ["text_id", "first"]).select("grp", "k", "text_id")
-        level += 1
-        if level <= REFINED:
-            left = left.join(sketched.select("text_id", F.posexplode("subs").alias("next", "s")), "text_id").where("next > k")
-            left = left.select(F.md5(F.concat_ws("|", "grp", "next", "s").cast("binary")).alias("grp"), F.col("next").alias("k"), "text_id")
-        groups = _shared(left)
-    if found is None:
+    if groups.isEmpty():
         return spark.createDataFrame([], "text_id string, component string")
-    return connected_components(materialize(found.distinct(), "near-links"), "text-components").select(F.col("node").alias("text_id"), "component")
+    pairs = groups.where("text_id <> first").select("text_id", "first").distinct()
+    first = held.select(F.col("text_id").alias("first"), F.col("text").alias("first_text"))
+    judged = materialize(pairs.join(held, "text_id").join(first, "first").select("text_id", "first", alike("text", "first_text").alias("ok")), "judged")
+    found = judged.where("ok").select(F.col("first").alias("src"), F.col("text_id").alias("dst"))
+    label = lambda e, name: connected_components(materialize(e.distinct(), "near-links"), name).select(F.col("node").alias("text_id"), "component")
+    more = materialize(_tiled(groups, label(found, "first-components"), held, similar), "tile-links")
+    return label(found.unionAll(more), "text-components")
+
+
+def _tiled(groups: DataFrame, labels: DataFrame, held: DataFrame, similar: float) -> DataFrame:
+    """Links (src, dst) that connect all similar pairs of the groups' members but their firsts, which are judged.
+
+    A group's members outside its most frequent component meet all members, tile by tile; groups of
+    a tile or less share tiles, where they meet each other's members too.
+    """
+    own = groups.where("text_id <> first").join(labels, "text_id", "left").select("grp", "text_id", F.coalesce("component", "text_id").alias("component")).distinct()
+    own = materialize(own, "tile-members")
+    sizes = own.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes = materialize(sizes.select("grp", "n", F.col("most.component").alias("base"), (F.col("n") - F.col("most.n")).alias("rest")), "tile-sizes")
+    some = F.coalesce(F.sum("n"), F.lit(0))
+    shared = max(1, -(-(sizes.where(F.col("n") <= TILE).agg(some.alias("n")).first()["n"]) // TILE))
+    met = own.join(sizes, "grp")
+    few = met.where(F.col("n") <= TILE).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(shared))).alias("tile"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("t"), "text_id")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+    many = met.where(F.col("n") > TILE).withColumn("r", tiles(F.col("rest"))).withColumn("b", tiles(F.col("n") - F.col("rest")))
+    bits = F.xxhash64("text_id")
+    many = many.withColumn("t", F.when(F.col("component") == F.col("base"), F.col("r") + F.pmod(bits, F.col("b"))).otherwise(F.pmod(bits, F.col("r"))).cast("int"))
+    # Tile t meets each tile of the rest; one of the rest meets those of the base too.
+    other = F.when(F.col("t") < F.col("r"), F.sequence(F.lit(0), F.col("r") + F.col("b") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
+    many = many.withColumn("o", F.explode(other)).select(F.concat(F.lit("g"), "grp").alias("tile"), F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "text_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("text_id")
+        ids, side = pdf["text_id"].to_numpy(), (pdf["t"] != pdf["i"]).to_numpy()
+        links = forest(similar_pairs([np.unique(shingles(t)) for t in pdf["text"]], side, similar))
+        return pd.DataFrame({"src": [ids[a] for a, _ in links], "dst": [ids[b] for _, b in links]}, dtype=object)
+
+    return few.unionAll(many).distinct().join(held, "text_id").groupBy("tile", "i", "j").applyInPandas(run, "src string, dst string")
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similar: float) -> np.ndarray:
+    """A matrix of which of the sets are similar: of one side all pairs, of two those across."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(n), size)
+    known, word, count = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[word] if len(known) else word
+    owner, number = owner[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() and not side.all() else (np.arange(n), np.arange(n))
+    both = np.zeros((len(left), len(right)), dtype=np.float64)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, CHUNK):
+        a, b = np.searchsorted(number, [low, low + CHUNK])
+        part = np.zeros((n, CHUNK), dtype=np.float32)
+        part[owner[a:b], number[a:b] - low] = 1
+        both += part[left] @ part[right].T
+    whole = size[left][:, None] + size[right][None, :] - both
+    out = np.zeros((n, n), dtype=bool)
+    out[np.ix_(left, right)] = np.where(whole > 0, both / np.maximum(whole, 1), 1.0) >= similar
+    return out | out.T
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a symmetric matrix that connect what all its pairs connect."""
+    seen, out = np.zeros(len(near), dtype=bool), []
+    for start in range(len(near)):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            a = stack.pop()
+            new = np.flatnonzero(near[a] & ~seen)
+            seen[new] = True
+            out += [(a, int(b)) for b in new]
+            stack += new.tolist()
+    return out
 
 
 def _shared(groups: DataFrame) -> DataFrame:
-    """(grp, k, text_id, first): the members of groups of several, with their group's first."""
+    """(grp, text_id, first): the members of groups of several, with their group's first."""
     many = groups.groupBy("grp").agg(F.count_distinct("text_id").alias("n"), F.min("text_id").alias("first")).where("n > 1").drop("n")
-    return materialize(groups.join(materialize(many, "many"), "grp").select("grp", "k", "text_id", "first"), "groups")
+    return materialize(groups.join(materialize(many, "many"), "grp").select("grp", "text_id", "first"), "groups")
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
