@@ -5,7 +5,9 @@ subspaces of four dimensions with 16 centres each, fitted on a bounded sample. T
 part of a residual that is parallel to the vector ``eta`` times as much as the rest, since it moves
 the scores of the queries that have the vector among their nearest. Codes are four bits, two to a
 byte; a block of candidates is scanned with a table of 256 sums for each byte, and the best of the
-scan are scored exactly, in double precision, on the original vectors.
+scan are scored exactly, in double precision, on the original vectors. What their last place leaves
+open is scored exactly too: all vectors that could reach it, given the size of their quantisation
+error along and across the vector. So the block's best are exact, whatever the codes are worth.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import arrow_rows
 
 SUB, CENTRES = 4, 16
-#: Rows the centres are fitted on, vectors to a block, queries to a block, exact scores per query and block.
+#: Rows the centres are fitted on, vectors to a block, queries to a block, first exact scores per query and block.
 SAMPLE, BLOCK, QUERIES, RERANK = 20_000, 8192, 4096, 768
+#: More than single precision loses in a scan score.
+ROUNDING = 1e-5
 
 
 class Quantiser:
@@ -73,6 +77,13 @@ class Quantiser:
                 total = rest + along[rows, p, codes[:, p]]
         return codes.astype(np.uint8)
 
+    def errors(self, vectors: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The length of each vector's quantisation error along the vector and across it."""
+        x = self._cut(vectors).astype(np.float64)
+        e = x - self.centres[np.arange(self.parts), codes]
+        along = (x * e).sum((1, 2))
+        return along, np.sqrt(np.maximum((e * e).sum((1, 2)) - along**2, 0))
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return codes[:, ::2] | codes[:, 1::2] << 4
 
@@ -87,6 +98,18 @@ def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c @ q) / (np.sqrt((c * c).sum(1)) * np.sqrt((q * q).sum()))
 
 
+def could_reach(score: np.ndarray, least: float, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Which vectors can have a cosine of ``least`` or more with the query, given their scan scores.
+
+    With cosine c and error e a vector u scores c - <q, e>, and <q, e> = c <u, e> + r, where r is at
+    most sqrt(1 - c^2) times the error across u. For c >= 0 and <u, e> <= 1 the least score for c
+    grows with c.
+    """
+    if least <= 0:
+        return np.ones(len(score), dtype=bool)
+    return (along > 1) | (score >= least * (1 - along) - np.sqrt(max(0.0, 1 - least * least)) * across - ROUNDING)
+
+
 def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, top: int, rerank: int) -> list[tuple[int, int, float]]:
     """For each query its best of the block: (query, vec_id, score)."""
     order = np.argsort(vid, kind="stable")
@@ -95,8 +118,10 @@ def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarr
     lists = np.split(np.argsort(same.ravel(), kind="stable"), np.cumsum(np.bincount(same.ravel()))[:-1])
     lists = [x[: top + 1] for x in lists]  # equal vectors tie: more of the smallest ids can't be among the best
     one = v[first].astype(np.float64)
-    unit = (one / np.sqrt((one * one).sum(1, keepdims=True))).astype(np.float32)
-    codes = model.pack(model.encode(unit))
+    length = np.sqrt((one * one).sum(1))
+    unit = (one / length[:, None]).astype(np.float32)
+    plain = model.encode(unit)
+    codes, (along, across) = model.pack(plain), model.errors(unit, plain)
     qn = (q / np.sqrt((q * q).sum(1, keepdims=True))).astype(np.float32)
     keep = min(len(one), rerank)
     out = []
@@ -107,10 +132,17 @@ def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarr
             score += t[:, p, :][:, codes[:, p]]
         best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
         for i in range(len(t)):
-            exact = exact_scores(q[at + i], one[best[i]])
-            floor = np.sort(exact)[-min(len(exact), top + 2)]
-            some = best[i][exact >= floor]
-            exact = exact[exact >= floor]
+            long, own = np.sqrt((q[at + i] ** 2).sum()), int((vid == qid[at + i]).sum())
+            some = best[i]
+            exact = (one[some] @ q[at + i]) / (length[some] * long)
+            last = lambda: np.sort(exact)[-(top + own)] if len(exact) >= top + own else -1.0  # noqa: B023, E731
+            more = could_reach(score[i], last(), along, across)
+            more[some] = False
+            rest = np.flatnonzero(more)
+            some = np.append(some, rest)
+            exact = np.append(exact, (one[rest] @ q[at + i]) / (length[rest] * long))
+            floor = last()
+            some, exact = some[exact >= floor], exact[exact >= floor]
             found = [(-e, int(vid[r])) for u, e in zip(some, exact, strict=True) for r in lists[u]]
             found = sorted(x for x in found if x[1] != qid[at + i])[:top]
             out += [(int(qid[at + i]), vec, -e) for e, vec in found]
@@ -126,8 +158,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     vector that stands under several ids counts under each. Rows with an id that stands before with
     the same vector count once. No rows: no rows.
 
-    The centres are fitted on at most ``sample`` rows; every row is encoded and scanned. Queries
-    and vectors meet in blocks: each block of vectors goes to each block of queries once.
+    The centres are fitted on at most ``sample`` rows; every row is encoded and scanned. The result
+    is that of scoring all; ``rerank`` only sets how many are scored first. Queries and vectors meet in blocks: each block of vectors goes to each block of queries once.
     """
     spark = vectors.sparkSession
     arrow_rows(spark, 10_000)
