@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows (operator 2).
 
-A window of a document has as many words as a benchmark item. Windows and items have SimHash
+A window of a document has as many words as a benchmark item; a document of fewer words is one
+window as a whole. Windows and items have SimHash
 fingerprints of their shingles; the items' fingerprints are indexed by size and by four blocks of 16
 bits. Two fingerprints within ``radius`` bits differ in at most a quarter of that in one block, so
 looking up each block with that tolerance finds every item within the radius. Candidates are verified
@@ -82,12 +83,16 @@ class Index:
         self.prints = np.array(prints, dtype=np.uint64)
         self.known = {k: np.unique(np.concatenate([np.array(list(self.counts[i]), dtype=np.uint64) for i in range(len(coded)) if min(words, len(coded[i])) == k])) for k in {min(words, n) for n in self.by_size}}
         self.blocks = {size: self._blocks(self.prints[own]) for size, own in self.by_size.items()}
-        self.least = {k: min(self._need(n, k) for n in self.by_size if min(words, n) == k) for k in self.known}
+        self.least = {k: min(self._least(n, k) for n in self.by_size if min(words, n) == k) for k in self.known}
 
     def _need(self, size: int, k: int) -> int:
         """J >= s needs a shared weight of 2s/(1+s) of the window's shingles."""
         return int(np.ceil(2 * self.similar / (1 + self.similar) * (size - k + 1) - 1e-9))
 
+    def _least(self, size: int, k: int) -> int:
+        """What a window of any size has to share for J >= s: s of the item's shingles."""
+        return int(np.ceil(self.similar * (size - k + 1) - 1e-9))
+
     @staticmethod
     def _blocks(prints: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(prints.astype("<u8")).view("<u2").reshape(-1, 4)
@@ -120,17 +125,22 @@ class Index:
             total = np.append(0, np.cumsum(hit))
             for size in self.by_size:
                 m = size - k + 1
-                if min(self.words, size) != k or len(h) < m:
+                if min(self.words, size) != k:
+                    continue
+                if len(h) < m:
+                    # J >= s needs s/(1+s) of both sides' shingles.
+                    if total[-1] >= max(self._least(size, k), self.similar / (1 + self.similar) * (len(h) + m) - 1e-9):
+                        self._windows(h, np.zeros(1, dtype=np.int64), len(h), size, len(ids), best)
                     continue
                 need = self._need(size, k)
                 start = np.flatnonzero(total[m:] - total[:-m] >= need)
                 if not len(start):
                     continue
                 for part in np.array_split(start, max(1, len(start) // 4096)):
-                    self._windows(h, part, m, size, best)
+                    self._windows(h, part, m, size, size, best)
         return [(self.items[i][0], -p, n, s) for i, (s, p, n) in sorted(best.items())]
 
-    def _windows(self, h: np.ndarray, start: np.ndarray, m: int, size: int, best: dict) -> None:
+    def _windows(self, h: np.ndarray, start: np.ndarray, m: int, size: int, words: int, best: dict) -> None:
         # Bits are summed over stretches, so that distant windows don't cost what lies between.
         cuts = np.flatnonzero(np.diff(start) > m) + 1
         for group in np.split(start, cuts):
@@ -142,7 +152,7 @@ class Index:
                 at = int(group[w])
                 s = similarity(Counter(h[at : at + m].tolist()), self.counts[i])
                 if s >= self.similar - 1e-12:
-                    now = (s, -at, size)
+                    now = (s, -at, words)
                     best[i] = max(best.get(i, now), now)
 
 
@@ -161,7 +171,8 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, most: int, **op
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_words: int = INDEX_WORDS, **options) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the items that a document holds, each with its
-    best window, the first of equals; ``start`` counts words from 0.
+    best window, the first of equals; ``start`` counts words from 0. A document of fewer words than
+    an item is one window for it.
 
     Words are runs of letters and digits in lower case. An item of fewer than five words has one
     shingle, all of its words. Items without words, null or empty texts match nothing. Rows with a
@@ -202,7 +213,7 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def brute(docs: list[tuple[int, str]], items: list[tuple[int, str]], words: int = WORDS, similar: float = SIMILAR) -> dict[tuple[int, int], tuple[int, float]]:
-    """{(doc, item): (first word, similarity)} by comparing every window, for tests."""
+    """{(doc, item): (first word, similarity)} by comparing every window, for tests; a shorter document is one."""
     grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     out: dict[tuple[int, int], tuple[int, float]] = {}
     for d, t in docs:
@@ -210,7 +221,7 @@ def brute(docs: list[tuple[int, str]], items: list[tuple[int, str]], words: int
         for i, x in items:
             own = tokens(x)
             k = min(words, len(own))
-            for at in range(len(w) - len(own) + 1 if own else 0):
+            for at in range(max(1, len(w) - len(own) + 1) if own else 0):
                 s = similarity(grams(w[at : at + len(own)], k), grams(own, k))
                 if s >= similar - 1e-12 and s > out.get((d, i), (0, 0.0))[1]:
                     out[d, i] = (at, s)
