@@ -112,11 +112,11 @@ def affected(nodes: DataFrame, edges: DataFrame, starts: DataFrame, semantics: s
     return materialize(found.join(fan, "node_id", "left").select("node_id", F.coalesce("fan_out", F.lit(0)).alias("fan_out")), "affected")
 
 
-def ranked(nodes: DataFrame, reach: DataFrame, change: SchemaChange, column: bool = True, semantics: str = "documented", kept: int = KEPT) -> DataFrame:
+def ranked(nodes: DataFrame, reach: DataFrame, change: SchemaChange, column: bool = True, semantics: str = "documented", kept: int | None = KEPT) -> DataFrame:
     """The affected assets with score, rank and action.
 
-    as_implemented keeps the ``kept`` widest before it scores; documented scores, then keeps. Ties go
-    by fan-out and then by id. An unknown tier raises an error.
+    as_implemented keeps the ``kept`` widest before it scores; documented scores, then keeps; without
+    ``kept`` all. Ties go by fan-out and then by id. An unknown tier raises an error.
     """
     labels = LABELS if column else [x for x in LABELS if x != "Column"]
     own = nodes.where(F.col("label").isin(*labels)).join(reach, "node_id")
@@ -129,11 +129,11 @@ def ranked(nodes: DataFrame, reach: DataFrame, change: SchemaChange, column: boo
         F.col("fan_out").alias("downstream_fan_out"),
         F.coalesce("freshness_cadence", F.lit("daily")).alias("freshness_cadence"),
     )
-    if semantics == "as_implemented":
+    if semantics == "as_implemented" and kept is not None:
         assets = assets.orderBy(F.desc("downstream_fan_out"), "node_id").limit(kept)
     scored = assets.withColumn("criticality_score", score(F.col("sla_tier"), F.col("freshness_cadence"), F.col("downstream_fan_out")))
     order = [F.desc("criticality_score"), F.desc("downstream_fan_out"), F.col("node_id")]
-    top = scored.orderBy(*order).limit(kept)
+    top = scored if kept is None else scored.orderBy(*order).limit(kept)
     return with_actions(top, change).orderBy(*order)
 
 
@@ -189,15 +189,17 @@ def starts_of(nodes: DataFrame, change: SchemaChange, project: str | None = None
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, change: SchemaChange, semantics: str = "documented", cache: Cache | None = None, project: str | None = None) -> dict:
     """The report of a change: assets, provenance, counts, summary and duration (I11). A cached report
-    gives its assets under the present change."""
+    gives its assets under the present change. documented counts all affected assets, as_implemented
+    those that are listed."""
     began, key = time.perf_counter(), cache_key(change) + ":" + semantics
     held = cache.get(key) if cache else None
     if held is None:
         starts, column = materialize(starts_of(nodes, change, project), "starts"), change.column is not None
         reach = affected(nodes, edges, starts, semantics, column)
         assets = materialize(ranked(nodes, reach, change, column, semantics), "assets")
+        counted = assets if semantics == "as_implemented" else ranked(nodes, reach, change, column, semantics, kept=None)
         chain = longest_trail(edges, starts, ["READS_FROM", "DERIVES_FROM"], direction="in" if semantics == "as_implemented" else "out")
-        held = {"assets": assets, "provenance": chain, "report": counts(assets, change).first().asDict()}
+        held = {"assets": assets, "provenance": chain, "report": counts(counted, change).first().asDict()}
         if cache:
             cache.put(key, held)
     return held | {"change": change, "duration_ms": round((time.perf_counter() - began) * 1000, 2)}
