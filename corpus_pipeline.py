@@ -47,7 +47,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: The classifier is learnt and the fingerprints are no SQL functions; the tests hold the stages against brute force.
+#: The classifier is learnt and the fingerprints are no SQL functions; the tests hold the near-duplicate stage against brute force, and the cores of others, not run() as a whole.
 ORACLE_SQL = None
 
 

@@ -70,3 +70,24 @@ def test_forest_connects():
     for a, b in [(0, 3), (3, 5), (0, 5), (1, 2)]:
         near[a, b] = near[b, a] = True
     assert sorted(nd.forest(near)) == [(0, 3), (0, 5), (1, 2)]
+
+
+def test_stage_matches_all_pairs(spark):
+    """Hubs, chains and texts that share a passage only, through the pipeline's stage."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = hub(15, 5)
+    words = [f"c{i}" for i in range(120)]
+    for step in range(12):
+        words = list(words)
+        words[5 + 9 * step] = f"x{step}"
+        texts.append(" ".join(words))
+    passage = " ".join(f"p{i}" for i in range(70))
+    for k in range(25):
+        own = " ".join(f"o{k}-{i}" for i in range(50))
+        texts += [f"{passage} {own}"] + ([f"{passage} {own} end"] if k % 3 == 0 else [])
+    rng.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, "").collect())
+    assert len(least(texts)) == 27 and got == least(texts)
