@@ -1,16 +1,18 @@
 """One document of each group of near-duplicates, by SimHash fingerprints and exact shingles.
 
 Texts are compared by the sets of their five-word shingles. Beside the SimHash of all shingles, whose
-links come from the anchor-point covering, a text has a SimHash of the three least shingles under
-each of a row of hash orders. Texts of similarity 0.8 have each of these alike with a chance of about
-one half, so that one of sixteen is alike but for one pair in fifty thousand; covering the SimHash of
-all shingles alone would need a threshold of some sixteen bits for that.
-
-Texts with a fingerprint alike make a candidate group. Every member is compared with the group's
-first, exactly, so that no pairs of a group of copies are listed. Where the others aren't all
-connected by that, they are dealt into tiles, and all pairs of tiles are compared, exactly, but for
-those of the group's largest component with itself. So every pair of a group is linked, connected
-or verified apart at the end.
+links come from the anchor-point covering, a text has a SimHash of the five least shingles under each
+of a row of hash orders: covering the SimHash of all shingles alone would need a threshold of some
+sixteen bits for a similarity of 0.8. Texts of similarity 0.8 have each of these alike with a chance
+of about a third, so that one pair in some three thousand has none of twenty alike.
+
+Texts with a fingerprint alike make a candidate group; groups of the same members count once. In
+each round a text is compared, exactly, with one other text: the least head of those of its groups
+that aren't connected yet, in an order of that round. So a round makes at most one pair a text, and a group of copies is
+connected after the first. Groups that stay in parts are dealt into tiles: first of fingerprints, which
+leave only members that are within ``RADIUS`` bits of another part's member, then of texts, whose
+pairs are all compared, exactly, but for those of the group's largest part with itself. So every pair
+of a group is linked, connected, verified apart or has fingerprints too far apart at the end.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import arrow_rows, connected_components, materialize
+from tracewell.llm.common import arrow_rows, connected_components, forget, hand_over, materialize
 from tracewell.llm.simhash_dedup import links
 
-WORDS, SIMILAR, ORDERS, LEAST = 5, 0.8, 16, 3
-#: Texts to a tile, and shingles that are counted at once.
-TILE, CHUNK = 256, 4096
+WORDS, SIMILAR, ORDERS, LEAST = 5, 0.8, 20, 5
+#: Texts and fingerprints to a tile, and shingles that are counted at once.
+TILE, PRINTS, CHUNK = 256, 2048, 4096
+#: Rounds of single comparisons before the tiles.
+ROUNDS = 3
+#: Bits that the fingerprints of all shingles of texts at 0.8 differ in: 9.7 on average, over 24 once in some million pairs.
+RADIUS = 24
 _ODD = (np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -52,9 +58,8 @@ def _print(hashes: np.ndarray) -> int:
 
 
 def sketch(text: str | None) -> tuple[int, list[int]]:
-    """The SimHash of all shingles, and those of the least shingles under each hash order."""
-    h = shingles(text)
-    one = np.unique(h)
+    """The SimHash of the set of shingles, and those of the least shingles under each hash order."""
+    one = np.unique(shingles(text))
     subs = []
     for odd in _ODD:
         x = one * odd
@@ -62,7 +67,7 @@ def sketch(text: str | None) -> tuple[int, list[int]]:
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
         subs.append(_print(one[np.argpartition(x, LEAST - 1)[:LEAST]] if len(one) > LEAST else one))
-    return _print(h), subs
+    return _print(one), subs
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -89,49 +94,154 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             yield pd.DataFrame({"text_id": pdf["text_id"].to_numpy(), "fp": [g[0] for g in got], "subs": [g[1] for g in got]})
 
     sketched = materialize(texts.mapInPandas(run, "text_id string, fp long, subs array<long>").dropDuplicates(["text_id"]), "sketches")
-    heads = materialize(sketched.groupBy("fp").agg(F.min("text_id").alias("head")), "heads")
-    linked = links(heads.select("fp"))
-    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_id")) for c in ("src", "dst"))
-    near = linked.join(a, "src").join(b, "dst").select(F.concat(F.lit("l"), F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id")).alias("grp"), F.explode(F.array("src_id", "dst_id")).alias("text_id"))
-    same = sketched.select(F.concat(F.lit("f"), "fp").alias("grp"), "text_id")
-    subs = sketched.select("text_id", F.posexplode("subs").alias("k", "s")).select(F.concat("k", F.lit(":"), "s").alias("grp"), "text_id")
-    groups = _shared(near.unionAll(same).unionAll(subs))
-    wanted = materialize(groups.select("text_id").distinct(), "wanted")
-    held = materialize(texts.join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"]), "candidate-texts")
-    alike = F.pandas_udf(lambda x, y: pd.Series([similarity(shingles(s), shingles(t)) >= similar for s, t in zip(x, y, strict=True)], dtype=bool), "boolean")
+    groups = _groups(sketched)
     if groups.isEmpty():
+        forget(sketched, groups)
         return spark.createDataFrame([], "text_id string, component string")
-    pairs = groups.where("text_id <> first").select("text_id", "first").distinct()
-    first = held.select(F.col("text_id").alias("first"), F.col("text").alias("first_text"))
-    judged = materialize(pairs.join(held, "text_id").join(first, "first").select("text_id", "first", alike("text", "first_text").alias("ok")), "judged")
-    found = judged.where("ok").select(F.col("first").alias("src"), F.col("text_id").alias("dst"))
-    label = lambda e, name: connected_components(materialize(e.distinct(), "near-links"), name).select(F.col("node").alias("text_id"), "component")
-    more = materialize(_tiled(groups, label(found, "first-components"), held, similar), "tile-links")
-    return label(found.unionAll(more), "text-components")
+    # Copies are dropped before the exchange: a text that a third of all rows have is no hot key.
+    held = materialize(texts.dropDuplicates(["text_id"]).join(groups.select("text_id").distinct(), "text_id", "left_semi"), "candidate-texts")
+    prints = materialize(groups.select("text_id").distinct().join(sketched.select("text_id", "fp"), "text_id"), "candidate-prints")
+    forget(sketched)
+    links, labels = None, held.select("text_id", F.col("text_id").alias("component"))
+    for k in range(ROUNDS):
+        groups, parted = _parted(groups, labels), groups
+        forget(parted)
+        if groups.isEmpty():
+            break
+        links, old = _with(links, _judged(_asked(groups, k), held, similar)), links
+        forget(old)
+        labels, old = _labels(links, held), labels
+        forget(old)
+    open_, last = _parted(groups, labels), groups
+    near = materialize(_near(open_, prints), "near-members")
+    forget(last, open_, prints)
+    links, old = _with(links, materialize(_tiled(near, held, similar), "tile-links")), links
+    forget(old, labels, near, held)
+    found = connected_components(links, "text-components")
+    forget(links)
+    return hand_over(found, found.select(F.col("node").alias("text_id"), "component"))
+
+
+def _groups(sketched: DataFrame) -> DataFrame:
+    """(grp, text_id): the texts that share a fingerprint with another, or a link of two; of groups of the same texts one."""
+    heads = materialize(sketched.groupBy("fp").agg(F.min("text_id").alias("head")), "heads")
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_id")) for c in ("src", "dst"))
+    ends = materialize(links(heads.select("fp")).join(a, "src").join(b, "dst").select(F.least("src_id", "dst_id").alias("a"), F.greatest("src_id", "dst_id").alias("b")), "near-prints")
+    near = ends.select(F.xxhash64(F.lit(-2), "a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("text_id"))
+    prints = sketched.select("text_id", F.posexplode(F.concat("subs", F.array("fp"))).alias("k", "s"))
+    prints = prints.select(F.xxhash64("k", "s").alias("grp"), "text_id").unionAll(near)
+    # Two numbers that depend on the members alone tell groups of the same members; a hash of a name that
+    # two groups share only makes one group of two, whose pairs are all verified.
+    bits = F.xxhash64("text_id")
+    many = prints.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("low"), F.max("text_id").alias("high"), F.sum(bits.cast("decimal(38,0)")).alias("s"), F.bit_xor(bits).alias("x"))
+    one = many.where("low <> high").groupBy("n", "low", "high", "s", "x").agg(F.min("grp").alias("grp")).select("grp")
+    out = materialize(prints.join(one, "grp").distinct(), "groups")
+    forget(heads, ends)
+    return out
+
+
+def _parted(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(grp, text_id, component) of the groups whose members are of several components."""
+    own = groups.select("grp", "text_id").join(labels, "text_id", "left").select("grp", "text_id", F.coalesce("component", "text_id").alias("component"))
+    own = materialize(own, "group-members")
+    open_ = own.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("grp")
+    out = materialize(own.join(open_, "grp"), "parted-groups")
+    forget(own)
+    return out
+
+
+def _asked(groups: DataFrame, k: int) -> DataFrame:
+    """(text_id, head): for each text the least of its groups' heads, of those of another component.
+
+    Heads are the least members in an order of round ``k``'s own, so that groups with many members
+    in common have the same head more often than not, and another one in each round.
+    """
+    order = F.xxhash64(F.lit(k), "text_id")
+    heads = groups.groupBy("grp").agg(F.min(F.struct(order.alias("o"), "text_id", "component")).alias("h"))
+    met = groups.join(heads, "grp").where("component <> h.component")
+    return met.groupBy("text_id").agg(F.min("h").alias("h")).select("text_id", F.col("h.text_id").alias("head"))
+
+
+def _judged(pairs: DataFrame, held: DataFrame, similar: float) -> DataFrame:
+    """(src, dst): the pairs whose texts are similar."""
+
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            last, sets, out = None, None, []
+            for s, t in zip(x, y, strict=True):
+                if t != last:
+                    last, sets = t, shingles(t)
+                out.append(similarity(shingles(s), sets) >= similar)
+            yield pd.Series(out, dtype=bool)
+
+    alike = F.pandas_udf(judge, "boolean")
+    head = held.select(F.col("text_id").alias("head"), F.col("text").alias("head_text"))
+    judged = pairs.join(held, "text_id").join(head, "head").select("text_id", "head", alike("text", "head_text").alias("ok"))
+    return materialize(judged.where("ok").select(F.col("head").alias("src"), F.col("text_id").alias("dst")), "judged")
+
+
+def _with(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    if links is None:
+        return more
+    out = materialize(links.unionAll(more).distinct(), "near-links")
+    forget(more)
+    return out
 
 
-def _tiled(groups: DataFrame, labels: DataFrame, held: DataFrame, similar: float) -> DataFrame:
-    """Links (src, dst) that connect all similar pairs of the groups' members but their firsts, which are judged.
+def _labels(links: DataFrame, held: DataFrame) -> DataFrame:
+    found = connected_components(links, "part-components")
+    return hand_over(found, found.select(F.col("node").alias("text_id"), "component"))
+
+
+def _dealt(groups: DataFrame, size: int) -> DataFrame:
+    """(tile, i, j, t, grp, text_id, component): the members of parted groups in tiles of about ``size``.
 
     A group's members outside its most frequent component meet all members, tile by tile; groups of
-    a tile or less share tiles, where they meet each other's members too.
+    a tile or less share tiles, where only members of the same group are of interest.
     """
-    own = groups.where("text_id <> first").join(labels, "text_id", "left").select("grp", "text_id", F.coalesce("component", "text_id").alias("component")).distinct()
-    own = materialize(own, "tile-members")
-    sizes = own.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = groups.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     sizes = materialize(sizes.select("grp", "n", F.col("most.component").alias("base"), (F.col("n") - F.col("most.n")).alias("rest")), "tile-sizes")
     some = F.coalesce(F.sum("n"), F.lit(0))
-    shared = max(1, -(-(sizes.where(F.col("n") <= TILE).agg(some.alias("n")).first()["n"]) // TILE))
-    met = own.join(sizes, "grp")
-    few = met.where(F.col("n") <= TILE).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(shared))).alias("tile"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("t"), "text_id")
-    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
-    many = met.where(F.col("n") > TILE).withColumn("r", tiles(F.col("rest"))).withColumn("b", tiles(F.col("n") - F.col("rest")))
+    shared = max(1, -(-(sizes.where(F.col("n") <= size).agg(some.alias("n")).first()["n"]) // size))
+    met = groups.join(sizes, "grp")
+    few = met.where(F.col("n") <= size).select(F.pmod(F.xxhash64("grp"), F.lit(shared)).alias("tile"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("t"), "grp", "text_id", "component")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    many = met.where(F.col("n") > size).withColumn("r", tiles(F.col("rest"))).withColumn("b", tiles(F.col("n") - F.col("rest")))
     bits = F.xxhash64("text_id")
     many = many.withColumn("t", F.when(F.col("component") == F.col("base"), F.col("r") + F.pmod(bits, F.col("b"))).otherwise(F.pmod(bits, F.col("r"))).cast("int"))
     # Tile t meets each tile of the rest; one of the rest meets those of the base too.
     other = F.when(F.col("t") < F.col("r"), F.sequence(F.lit(0), F.col("r") + F.col("b") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
-    many = many.withColumn("o", F.explode(other)).select(F.concat(F.lit("g"), "grp").alias("tile"), F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "text_id")
+    many = many.withColumn("o", F.explode(other)).select(F.col("grp").alias("tile"), F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "grp", "text_id", "component")
+    return few.unionAll(many)
+
+
+def _near(groups: DataFrame, prints: DataFrame) -> DataFrame:
+    """(grp, text_id, component): the members that have one of another component within the radius."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for grp, own in pdf.groupby("grp"):
+            fp, part = own["fp"].to_numpy().view(np.uint64), own["component"].to_numpy()
+            side = (own["t"] != own["i"]).to_numpy()
+            near = np.zeros(len(own), dtype=bool)
+            code = np.unique(part, return_inverse=True)[1]
+            for at in range(0, len(own), 256):
+                cut = slice(at, at + 256)
+                close = (np.bitwise_count(fp[cut, None] ^ fp[None, :]) <= RADIUS) & (code[cut, None] != code[None, :])
+                if side.any() and not side.all():
+                    close &= side[cut, None] != side[None, :]
+                near[cut] |= close.any(1)
+            some = own["text_id"].to_numpy()[near]
+            kept.append(pd.DataFrame({"grp": np.full(len(some), grp), "text_id": some, "component": part[near]}))
+        return pd.concat(kept)
+
+    dealt = _dealt(groups, PRINTS).join(prints, "text_id")
+    return dealt.groupBy("tile", "i", "j").applyInPandas(run, "grp long, text_id string, component string").distinct()
+
+
+def _tiled(groups: DataFrame, held: DataFrame, similar: float) -> DataFrame:
+    """Links (src, dst) that connect all similar pairs of the groups' members that are of several components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("text_id")
@@ -139,7 +249,8 @@ def _tiled(groups: DataFrame, labels: DataFrame, held: DataFrame, similar: float
         links = forest(similar_pairs([np.unique(shingles(t)) for t in pdf["text"]], side, similar))
         return pd.DataFrame({"src": [ids[a] for a, _ in links], "dst": [ids[b] for _, b in links]}, dtype=object)
 
-    return few.unionAll(many).distinct().join(held, "text_id").groupBy("tile", "i", "j").applyInPandas(run, "src string, dst string")
+    dealt = _dealt(groups, TILE).select("tile", "i", "j", "t", "text_id").distinct()
+    return dealt.join(held, "text_id").groupBy("tile", "i", "j").applyInPandas(run, "src string, dst string")
 
 
 def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similar: float) -> np.ndarray:
@@ -180,12 +291,6 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _shared(groups: DataFrame) -> DataFrame:
-    """(grp, text_id, first): the members of groups of several, with their group's first."""
-    many = groups.groupBy("grp").agg(F.count_distinct("text_id").alias("n"), F.min("text_id").alias("first")).where("n > 1").drop("n")
-    return materialize(groups.join(materialize(many, "many"), "grp").select("grp", "text_id", "first"), "groups")
-
-
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the least doc_id stays.
 
@@ -201,6 +306,7 @@ def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame
     grouped = texts.join(found, F.col("__text") == F.col("text_id"), "left").select("least", F.coalesce("component", "__text").alias("component"))
     kept = grouped.groupBy("component").agg(F.min("least").alias("k")).select(F.concat(F.coalesce(F.col("k.id").cast("string"), F.lit("-")), F.lit("|"), F.col("k.text_id")).alias("__row"))
     kept = materialize(kept, "kept")
+    forget(found)
     rows = own.withColumn("__row", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), "__text")).drop("__text")
     arrow_rows(spark, 2000)
     return rows.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row").select(*docs.columns)

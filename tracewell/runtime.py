@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows and reads them back: the lineage is cut by files that outlive any executor."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: The paths of materialized tables that are still in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def hand_over(table: DataFrame, view: DataFrame) -> DataFrame:
+    """The view of a materialized table, which from now on stands for its files."""
+    if path := _PATHS.pop(table, None):
+        _PATHS[view] = path
+    return view
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the files of materialized tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if df is not None and (path := _PATHS.pop(df, None)):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
