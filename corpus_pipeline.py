@@ -6,9 +6,11 @@ the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm.common import scratch_path
+from tracewell.llm.common import forget, materialize
 from tracewell.llm.decontam import without_leaks
 from tracewell.llm.mixing import mixed_documents
 from tracewell.llm.near_duplicates import drop_near_duplicates
@@ -19,6 +21,11 @@ from tracewell.llm.sharding import shard_documents
 REJECT = 0.5
 
 
+def warehouse(spark: SparkSession) -> str:
+    """The folder of tables, which outlives the session."""
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that the classifier scores low."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,20 +48,25 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the documents as shards and returns where each is."""
-    return shard_documents(docs)
+    """Writes the documents as shards, which stay, and returns where each is."""
+    return shard_documents(docs, f"{warehouse(spark)}/corpus-shards-{uuid.uuid4().hex}")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: The classifier is learnt and the fingerprints are no SQL functions; the tests hold the near-duplicate stage against brute force, and the cores of others, not run() as a whole.
+#: The classifier is learnt and the fingerprints are no SQL functions; tests/llm holds each stage against a brute-force version, in run().
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """Where each document of the corpus is; the shards are below ``root``, or in the warehouse.
+
+    A stage's output is deleted once the next one's is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, old = materialize(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        forget(old)
+    if root is None:
+        return sharding(spark, docs, sf_dir)
+    return shard_documents(docs, root)

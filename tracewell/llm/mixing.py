@@ -14,6 +14,7 @@ gives its target to the word.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import arrow_rows, materialize
+from tracewell.llm.common import arrow_rows, forget, materialize
 
 WEIGHTS = (1, 2, 3)
 MOST, BLOCK, SLOTS, SEED = 3, 64, 1024, 20240601
 #: Sources the mix accepts: their totals are held by the driver and by each task.
 SOURCES = 100_000
-#: Output shards drawn by one row of work, and parts of a source whose words are summed apart.
-RUN, PARTS = 64, 1024
+#: Output shards drawn by one row of work, words to a part of a source that is summed apart, and the
+#: fewest parts; partitions that the runs are dealt to at most.
+RUN, PART_WORDS, PARTS, TASKS = 64, 1 << 26, 64, 16_384
 
 
 def word_count(text: Column) -> Column:
@@ -123,12 +125,13 @@ def mix(items: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MO
 
     Words of a source are weighted ``WEIGHTS`` by the rank of the source's name, null last. Sources
     without words have target 0. Items of size 0 are taken nowhere. No items: no rows. More than
-    ``SOURCES`` sources raise an error. A source's items are summed in ``PARTS`` parts, so that one
-    large source is many tasks' work.
+    ``SOURCES`` sources raise an error. A source's items are summed in parts of some ``PART_WORDS``
+    words, so that one large source is many tasks' work. Long items are only numbers here: they
+    cover more blocks. Columns of ``items`` other than the three are left out.
     """
     spark = items.sparkSession
     arrow_rows(spark, 10_000)
-    items = materialize(items.select("key", "source", "size"), "mix-sizes")  # texts are read once
+    items = sizes = materialize(items.select("key", "source", "size"), "mix-sizes")  # texts are read once
     sources = source_sizes(items)
     known = sources.orderBy("rank").limit(SOURCES + 1).collect()
     if len(known) > SOURCES:
@@ -138,13 +141,15 @@ def mix(items: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MO
     rows = [(r["source"], i, int(plan.size[i]), float(plan.target[i])) for i, r in enumerate(known)]
     sources = spark.createDataFrame(rows, "source string, rank int, source_size long, target double")
 
-    part = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(PARTS))
+    parts_of = max(PARTS, -(-int(plan.size.sum()) // PART_WORDS))
+    part = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(parts_of))
     dealt = materialize(items.join(F.broadcast(sources.select(F.col("source").alias("s"), "rank")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("part", part), "mix-items")
     before = Window.partitionBy("rank").orderBy("part")
     parts = materialize(dealt.groupBy("rank", "part").agg(F.sum("size").alias("n")).withColumn("base", F.sum("n").over(before) - F.col("n")).drop("n"), "mix-parts")
     inside = Window.partitionBy("rank", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     streams = dealt.withColumn("own", F.sum("size").over(inside) - F.col("size")).join(parts, ["rank", "part"])
     streams = materialize(streams.select("key", "source", "size", "rank", (F.col("base") + F.col("own")).alias("start")), "mix-streams")
+    forget(sizes, dealt, parts)
 
     blocks_of = plan.blocks
     first = F.floor(F.col("start") / block)
@@ -163,7 +168,8 @@ def mix(items: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MO
                 some = np.flatnonzero(n)
                 yield pd.DataFrame({"run": run, "rank": some.astype(np.int32), "n": n[some]})
 
-    drawn = spark.range(0, runs, 1, max(1, min(runs, 200))).mapInPandas(count, "run long, rank int, n long")
+    tasks = max(1, min(runs, TASKS))
+    drawn = spark.range(0, runs, 1, tasks).mapInPandas(count, "run long, rank int, n long")
     over_runs = Window.partitionBy("rank").orderBy("run")
     drawn = materialize(drawn.withColumn("base", F.sum("n").over(over_runs) - F.col("n")), "mix-draws")
     got = np.zeros(len(known), dtype=np.int64)
@@ -192,7 +198,8 @@ def mix(items: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MO
                     width = np.where(index == need[rank] - 1, cut[rank], block)
                     yield pd.DataFrame({"rank": rank.astype(np.int32), "place": index % np.maximum(blocks_of[rank], 1), "width": width, "shard": shard, "slot": slot})
 
-    work = drawn.groupBy("run").agg(F.collect_list(F.struct("rank", "base")).alias("bases"))
+    # The planner would size the partitions by the draws, and each makes RUN * slots slots of them.
+    work = drawn.groupBy("run").agg(F.collect_list(F.struct("rank", "base")).alias("bases")).repartitionById(tasks, F.pmod("run", F.lit(tasks)).cast("int"))
     filled = work.mapInPandas(fill, "rank int, place long, width long, shard long, slot long")
     # The planner takes the slots for as few as the draws they come from; they grow with the words.
     met = pieces.hint("merge").join(filled, ["rank", "place"])
@@ -225,11 +232,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document that is taken in part keeps the taken words with the white space between neighbours;
     parts that aren't neighbours are joined by a line end. One that is taken again comes again: the
     copies' words are the second and third takes. ``n_chars`` follows the text, if there is one.
-    Equal rows count as one with that many copies.
+    Equal rows count as one with that many copies. Documents without words are not taken. Columns
+    named ``__key`` or ``__takes`` are not allowed. No rows: no rows.
     """
     spark = docs.sparkSession
     names = docs.columns
-    plain = [c for c in names if not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    # Maps and variants can't be hashed, but their JSON can.
+    hashed = lambda c: re.search("map<|variant", docs.schema[c].dataType.simpleString())
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if hashed(c) else F.col(f"`{c}`") for c in names]
     keyed = docs.withColumn("__key", F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64(*plain)), F.hex(F.xxhash64(F.lit(7), *plain))))
     rows = keyed.select("__key", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     counted = materialize(rows.groupBy("__key").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies")), "mix-keys")

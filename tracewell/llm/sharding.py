@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialize, scratch_path
+from tracewell.llm.common import forget, materialize, scratch_path
 
 #: Bytes of a finished shard, rows of an arriving one, and how many times larger each tier is.
 TARGET, SMALL_ROWS, FAN = 64 << 20, 2000, 4
@@ -71,7 +71,9 @@ class Store:
 
     def _written(self, folder: str, level: int) -> DataFrame:
         """The shards of a folder, as manifest rows. Only row counts are read."""
-        files = self.spark.read.parquet(f"{self.root}/{folder}").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self.spark.read.parquet(f"{self.root}/{folder}")
+        meta = rows.metadataColumn("_metadata")
+        files = rows.select(meta["file_path"].alias("path"), meta["file_size"].alias("bytes"))
         return files.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes")).select("path", F.lit(folder).alias("folder"), "rows", "bytes", F.lit(level).alias("level"))
 
     def append(self, docs: DataFrame) -> int:
@@ -81,13 +83,15 @@ class Store:
         return self.commit(self.manifest(base).unionByName(self._written(folder, 0)), base + 1)
 
     def plan(self, shards: DataFrame) -> DataFrame:
-        """(path, run): the shards to merge and the run each is merged into."""
+        """(path, folder, run): the shards to merge and the number of the run each is merged into."""
         tier = F.greatest(F.lit(0), F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)) / F.lit(float(self.target))) / F.log(F.lit(float(self.fan)))) + 16)
         small = shards.where(F.col("bytes") * 2 < self.target).withColumn("tier", tier)
         before = F.sum("bytes").over(Window.partitionBy("tier").orderBy("path")) - F.col("bytes")
         runs = small.withColumn("part", F.floor(before / self.target))
         many = runs.groupBy("tier", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return runs.join(many, ["tier", "part"]).select("path", "folder", F.format_string("t%02d-%08d", F.col("tier").cast("int"), F.col("part").cast("long")).alias("run"))
+        # A number for each run, from 0: the window holds a row a run.
+        many = many.select("tier", "part", (F.row_number().over(Window.orderBy("tier", "part")) - 1).alias("run"))
+        return runs.join(many, ["tier", "part"]).select("path", "folder", "run")
 
     def compact(self) -> int:
         """Merges runs of similar shards and commits the result; the same version if there are none."""
@@ -99,37 +103,56 @@ class Store:
             return base
         folders = [f"{self.root}/{r['folder']}" for r in plan.select("folder").distinct().toLocalIterator()]
         rows = [self.spark.read.parquet(f) for f in folders]
+        path, run = _fresh({c for r in rows for c in r.columns}, "path", "run")
         whole = None
         for r in rows:
-            r = r.drop("__run").select("*", F.col("_metadata.file_path").alias("__path"))
+            r = _with_file(r, path)
             whole = r if whole is None else whole.unionByName(r, allowMissingColumns=True)
-        moved = whole.join(plan.select(F.col("path").alias("__path"), F.col("run").alias("__run")), "__path").drop("__path")
+        moved = whole.join(plan.select(F.col("path").alias(path), F.col("run").alias(run)), path).drop(path)
         folder = f"data/run-{uuid.uuid4().hex}"
-        moved.repartition(runs, "__run").write.partitionBy("__run").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        # Each run has a partition of its own and becomes the partition's one file.
+        moved.repartitionById(runs, run).drop(run).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         level = shards.agg(F.max("level")).first()[0] + 1
         kept = shards.join(plan.select("path"), "path", "left_anti").select("path", "folder", "rows", "bytes", "level")
-        return self.commit(kept.unionByName(self._written(folder, level)), base + 1)
+        version = self.commit(kept.unionByName(self._written(folder, level)), base + 1)
+        forget(plan)
+        return version
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with the shard each is in (column shard)."""
+    def read(self, version: int | None = None, shard: str = "shard") -> DataFrame:
+        """All rows of a version, with the shard each is in, in a column named ``shard``, which must not be a stored column's name."""
         v = self.version() if version is None else version
         shards = self.manifest(v)
         out = None
         for r in shards.select("folder").distinct().orderBy("folder").toLocalIterator():
-            part = self.spark.read.parquet(f"{self.root}/{r['folder']}").drop("shard", "__run").select("*", F.col("_metadata.file_path").alias("shard"))
+            part = _with_file(self.spark.read.parquet(f"{self.root}/{r['folder']}"), shard)
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         if out is None:
             raise ValueError("the store is empty")
-        return out.join(shards.select(F.col("path").alias("shard")), "shard", "left_semi")
+        return out.join(shards.select(F.col("path").alias(shard)), shard, "left_semi")
+
+
+def _with_file(rows: DataFrame, path: str) -> DataFrame:
+    """The rows with the path of the file each is in; a stored column may be named like the metadata's."""
+    return rows.select("*", rows.metadataColumn("_metadata")["file_path"].alias(path))
+
+
+def _fresh(taken: set[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column's."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def shard_documents(docs: DataFrame, root: str | None = None, **options) -> DataFrame:
     """Appends the documents to a store, compacts it, and returns (doc_id, shard, shard_rows,
     shard_bytes, version), a row for each row of the store.
 
-    Null ids and texts and repeated rows are stored as they are. No rows: no rows, and a manifest
-    without shards. A column of ``docs`` named ``__run`` is not stored. Shards are named by their
-    place below the store's folder.
+    Null ids and texts, very long texts and repeated rows are stored as they are, and so are columns
+    of any name. No rows: no rows, and a manifest without shards. Shards are named by their place
+    below the store's folder. Without a ``root`` the store is a scratch folder, deleted when the driver ends.
     """
     spark = docs.sparkSession
     store = Store(spark, root or scratch_path(spark, "shards"), **options)
@@ -140,7 +163,8 @@ def shard_documents(docs: DataFrame, root: str | None = None, **options) -> Data
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, shard string, shard_rows long, shard_bytes long, version int")
     sizes = shards.select(F.col("path").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    rows = store.read(now).select("doc_id", "shard").join(sizes, "shard")
+    [shard] = _fresh(set(docs.columns), "shard")
+    rows = store.read(now, shard).select("doc_id", F.col(shard).alias("shard")).join(sizes, "shard")
     return rows.select("doc_id", F.regexp_extract("shard", "/(data/.*)$", 1).alias("shard"), "shard_rows", "shard_bytes", F.lit(now).alias("version"))
 
 
