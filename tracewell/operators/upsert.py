@@ -7,6 +7,8 @@ comes before what is new, so a fold of a fold is the fold of all.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,19 +115,23 @@ def derivations(ev: DataFrame) -> DataFrame:
     return fold(x, ["src", "dst"], ["transform_id", "is_passthrough"], ["expression", "commit_id"]).withColumn("rel_type", F.lit("DERIVES_FROM"))
 
 
-def memberships(ev: DataFrame, semantics: str = "documented") -> DataFrame:
-    """Columns of datasets that the batch's project knows (as_implemented: source columns only); transforms of pipelines."""
+def memberships(ev: DataFrame, semantics: str = "documented", stored: DataFrame | None = None) -> DataFrame:
+    """Columns of datasets that the project knows, from the batch or the stored nodes
+    (as_implemented: source columns only); transforms of pipelines."""
     cols = column_rows(ev).where("side = 0" if semantics == "as_implemented" else "true").select("project", "dataset", "name").distinct()
-    known = dataset_rows(ev).select("project", F.col("name").alias("dataset")).distinct()
-    part = cols.join(known, ["project", "dataset"], "left_semi").select(node_id("Column", F.col("project"), F.col("dataset"), F.col("name")).alias("src"), node_id("Dataset", F.col("project"), F.col("dataset")).alias("dst"))
+    known = dataset_rows(ev).select("project", F.col("name").alias("dataset"))
+    if stored is not None:
+        known = known.unionAll(stored.where("label = 'Dataset'").select("project", F.col("name").alias("dataset")))
+    part = cols.join(known.distinct(), ["project", "dataset"], "left_semi").select(node_id("Column", F.col("project"), F.col("dataset"), F.col("name")).alias("src"), node_id("Dataset", F.col("project"), F.col("dataset")).alias("dst"))
     run = ev.where(F.coalesce("pipeline_name", F.lit("")) != "").select(node_id("Transform", F.col("transform_id")).alias("src"), node_id("Pipeline", F.col("project_name"), F.col("pipeline_name")).alias("dst")).distinct()
     return part.unionAll(run).withColumn("rel_type", F.lit("PART_OF"))
 
 
-def event_edges(ev: DataFrame, semantics: str = "documented") -> DataFrame:
+def event_edges(ev: DataFrame, semantics: str = "documented", stored: DataFrame | None = None) -> DataFrame:
+    """All edges of a batch, in the stored form; ``stored`` are the nodes that were there before."""
     have = dict(zip(_EDGE, [x.split()[-1] for x in EDGE_SCHEMA.split(", ")], strict=True))
     wide = lambda d: d.select(*[F.col(c) if c in d.columns else F.lit(None).cast(t).alias(c) for c, t in have.items()])
-    return wide(reads_writes(ev)).unionAll(wide(derivations(ev))).unionAll(wide(memberships(ev, semantics)))
+    return wide(reads_writes(ev)).unionAll(wide(derivations(ev))).unionAll(wide(memberships(ev, semantics, stored)))
 
 
 def merge_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -150,28 +156,38 @@ def _merged(stored: DataFrame, new: DataFrame, keys: list[str], first: list[str]
     return got.select(*keys, *[F.col(f"_{c}.v").alias(c) for c in first + last], "last_seen_at").select(*[c for c in new.columns if c != "seq"])
 
 
+class Conflict(Exception):
+    """Another writer committed the version first."""
+
+
 class GraphStore:
-    """Versions of the graph in a folder. A batch's tables are written aside and become the store by
-    one rename (B12); a batch that was applied is not applied again, so retries are safe (B14)."""
+    """Versions of the graph in a folder. A batch's tables are written aside; they become a version by
+    one rename (B12), which fails if another writer took the version. A batch that was applied is not
+    applied again, so retries are safe (B14)."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, semantics: str = "documented"):
-        self.spark, self.root, self.semantics = spark, root or scratch_path(spark, "graph"), semantics
+    def __init__(self, spark: SparkSession, root: str | None = None, semantics: str = "documented", tries: int = 5):
+        self.spark, self.root, self.semantics, self.tries = spark, root or scratch_path(spark, "graph"), semantics, tries
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{x}")
-        return jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _conf(self):
+        return self.spark._jsparkSession.sessionState().newHadoopConf()
 
     def versions(self) -> list[tuple[int, str]]:
         """(version, batch) of what was applied."""
-        fs, path = self._fs()
-        if not fs.exists(path("versions")):
+        p = self._path("versions")
+        fs = p.getFileSystem(self._conf())
+        if not fs.exists(p):
+            return []
+        found = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v"))
+        if not found:
             return []
-        found = [s.getPath().getName() for s in fs.listStatus(path("versions"))]
-        return sorted((int(n[1:9]), n[10:]) for n in found if n.startswith("v"))
+        said = self.spark.read.text(f"{self.root}/versions/{found[-1]}/batches", wholetext=True).first()[0].strip().split("\n")
+        return [(n + 1, b) for n, b in enumerate(said)]
 
     def nodes(self) -> DataFrame:
-        """All nodes of the last version, partitioned by label."""
+        """All nodes of the last version, partitioned by label and sorted by name."""
         return self._read("nodes", NODE_SCHEMA)
 
     def edges(self) -> DataFrame:
@@ -181,22 +197,40 @@ class GraphStore:
         v = self.versions()
         if not v:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/versions/v{v[-1][0]:08d}-{v[-1][1]}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/versions/v{v[-1][0]:08d}/{name}")
 
     def apply(self, events: DataFrame, batch: str) -> bool:
-        """Folds a batch of events into the store; False if the batch was applied before."""
+        """Folds a batch of events into the store; False if the batch was applied before. A writer that
+        finds its version taken folds the batch into the new one."""
+        for _ in range(self.tries):
+            try:
+                return self._apply(events, batch)
+            except Conflict:
+                continue
+        raise Conflict(f"batch {batch}: other writers were first {self.tries} times")
+
+    def _apply(self, events: DataFrame, batch: str) -> bool:
         done = self.versions()
         if any(b == batch for _, b in done):
             return False
-        ev = prepared(events)
-        n = (done[-1][0] if done else 0) + 1
-        draft = f"drafts/v{n:08d}-{batch}"
-        merge_nodes(self.nodes(), event_nodes(ev)).write.mode("overwrite").partitionBy("label").parquet(f"{self.root}/{draft}/nodes")
-        merge_edges(self.edges(), event_edges(ev, self.semantics)).write.mode("overwrite").partitionBy("rel_type").parquet(f"{self.root}/{draft}/edges")
-        fs, path = self._fs()
-        fs.mkdirs(path("versions"))
-        if not fs.rename(path(draft), path(f"versions/v{n:08d}-{batch}")):
-            raise RuntimeError(f"batch {batch} could not be committed")
+        ev, n = prepared(events), len(done) + 1
+        draft = f"drafts/{uuid.uuid4().hex}"
+        stored = self.nodes()
+        # Sorted within a label's files, so that a name's row groups are found by their statistics.
+        merge_nodes(stored, event_nodes(ev)).sortWithinPartitions("label", "name").write.partitionBy("label").parquet(f"{self.root}/{draft}/nodes")
+        merge_edges(self.edges(), event_edges(ev, self.semantics, stored)).write.partitionBy("rel_type").parquet(f"{self.root}/{draft}/edges")
+        self.spark.createDataFrame([("\n".join([*[b for _, b in done], batch]),)], "value string").coalesce(1).write.text(f"{self.root}/{draft}/batches")
+        jvm, fs = self.spark._jvm, self._path("").getFileSystem(self._conf())
+        fs.mkdirs(self._path("versions"))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(files.makeQualified(self._path(draft)), files.makeQualified(self._path(f"versions/v{n:08d}")), none)
+        except Exception as e:
+            files.delete(files.makeQualified(self._path(draft)), True)
+            if "AlreadyExists" in str(e):
+                raise Conflict(f"version {n} is taken") from None
+            raise
         return True
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.model import LABELS, RELATIONSHIPS
 from tracewell.operators import catalog as C
 from tracewell.operators.traverse import bfs, hops
+from tracewell.sources.sql_lineage import _kind, _list
 
 #: Fixed values of the service: suggested questions, words that write, labels a query may name.
 SUGGESTIONS = [
@@ -130,15 +131,56 @@ def ask(question: str, nodes: DataFrame, edges: DataFrame, max_results: int = 10
     return {"validated": True, "errors": [], "rows": df.limit(max_results)}
 
 
+#: Functions that run code of the JVM's.
+_RUNNING = {"reflect", "java_method", "try_reflect"}
+
+
 def raw_query(spark: SparkSession, query: str, params: dict | None = None, **views: DataFrame) -> DataFrame:
-    """Read-only SQL over the views; ValueError if empty, PermissionError if it writes."""
+    """Read-only SQL over the views; ValueError if empty, PermissionError if it isn't a query, reads
+    what isn't one of the views (files by path included), or calls a function that runs code."""
     if not query.strip():
         raise ValueError("the query is empty")
-    if any(re.search(rf"\b{w}\b", query, re.I) for w in [*WRITING, "INSERT", "UPDATE", "ALTER", "TRUNCATE"]):
-        raise PermissionError("only reading is allowed")
+    text = query.strip().rstrip(";")
+    _only_reads(spark._jsparkSession.sessionState().sqlParser().parsePlan(text), {v.lower() for v in views})
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(query, args=params or {})
+    return spark.sql(text, args=params or {})
+
+
+def _only_reads(plan, allowed: set[str]) -> None:
+    """Walks the nodes, expressions and subqueries of an unresolved plan."""
+    kind = _kind(plan)
+    if kind == "UnresolvedWith":
+        for r in _list(plan.cteRelations()):
+            _only_reads(r._2().child(), allowed)
+            allowed = allowed | {r._1().lower()}
+    elif kind == "UnresolvedRelation":
+        parts = _list(plan.multipartIdentifier())
+        if len(parts) != 1 or parts[0].lower() not in allowed:
+            raise PermissionError(f"{'.'.join(parts)} is none of the views")
+    elif kind not in _READS:
+        raise PermissionError("only reading is allowed")
+    for e in _list(plan.expressions()):
+        _only_values(e, allowed)
+    for c in _list(plan.children()):
+        _only_reads(c, allowed)
+
+
+#: Nodes of the plans of queries.
+_READS = {
+    "Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "Join", "LateralJoin", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "UnresolvedInlineTable",
+    "LocalRelation", "OneRowRelation", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "Sample", "UnresolvedOrderBy", "UnresolvedOrderByAll", "Expand", "RepartitionByExpression", "UnresolvedHint", "UnresolvedTVFAliases",
+}
+
+
+def _only_values(e, allowed: set[str]) -> None:
+    kind = _kind(e)
+    if kind == "UnresolvedFunction" and _list(e.nameParts())[-1].lower() in _RUNNING:
+        raise PermissionError("the function may not be called")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery"):
+        _only_reads(e.plan(), allowed)
+    for c in _list(e.children()):
+        _only_values(c, allowed)
 
 
 _STEP = re.compile(r"\(\s*(\w+)?\s*(?::\s*(\w+))?\s*(\{[^}]*\})?\s*\)|(<)?-\[\s*\w*\s*(?::\s*([\w|]+))?\s*(?:\*(\d+)?\.\.(\d+))?\s*\]-(>)?")
@@ -172,8 +214,9 @@ def pattern(query: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 df = own
             else:
                 left, kinds, low, high = rel
-                pairs = hops(edges, kinds, "in" if left else "out")
-                steps = [pairs.toDF("_a", "_b")]
+                pairs = hops(edges, kinds, "in" if left else "out").distinct()
+                # Each step starts from the nodes that are bound, which are fewer than all pairs.
+                steps = [df.select(F.col(f"`{last}.node_id`").alias("_a")).distinct().join(pairs.toDF("_a", "_b"), "_a")]
                 for _ in range(high - 1):
                     steps.append(steps[-1].join(pairs.toDF("_b", "_c"), "_b").select("_a", F.col("_c").alias("_b")).distinct())
                 met = steps[low - 1]
