@@ -103,7 +103,7 @@ def test_nearest(spark):
 
     v = np.random.default_rng(2).normal(size=(400, 16))
     df = spark.createDataFrame([(i, x.tolist(), 0.0) for i, x in enumerate(v)], schema)
-    found = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id % 50 = 0"), block=100, query_block=3, rerank=50).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id % 50 = 0"), cell=100, block=60, query_block=3).collect()}
     want = {(q, c) for q, _, c in ann.brute(np.arange(400), v, range(0, 400, 50))}
     assert len(found & want) / len(want) >= 0.9
 

@@ -1,13 +1,17 @@
 """Nearest neighbours by score-aware anisotropic quantisation (operator 8).
 
-Vectors are scaled to length one, so that the inner product is the cosine. They are cut into
-subspaces of four dimensions with 16 centres each, fitted on a bounded sample. The loss weighs the
-part of a residual that is parallel to the vector ``eta`` times as much as the rest, since it moves
-the scores of the queries that have the vector among their nearest. Codes are four bits, two to a
-byte; a block of candidates is scanned with a table of 256 sums for each byte, and the best of the
-scan are scored exactly, in double precision, on the original vectors. What their last place leaves
-open is scored exactly too: all vectors that could reach it, given the size of their quantisation
-error along and across the vector. So the block's best are exact, whatever the codes are worth.
+Vectors are scaled to length one, so that the inner product is the cosine. A coarse stage deals them
+to cells, each to its nearest centre; a query goes to as many cells as a sample of queries needs for
+nearly all of its true neighbours. So a vector is shipped and encoded once, and hot cells are cut
+into blocks.
+
+Within a block vectors are cut into subspaces of two dimensions with 16 centres each, fitted on a bounded
+sample. The loss weighs the part of a residual that is parallel to the vector ``eta`` times as much as
+the rest, since it moves the scores of the queries that have the vector among their nearest. Codes
+are four bits, two to a byte; a block is scanned with a table of 256 sums for each byte, and the best
+fiftieth of the scan is scored exactly, in double precision, on the original vectors. What its last
+place leaves open is scored exactly too: all vectors that could reach it, given the size of their
+quantisation error along and across the vector. So a group of near copies, whose codes tie, loses none.
 """
 
 from __future__ import annotations
@@ -19,11 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import arrow_rows
+from tracewell.llm.common import arrow_rows, materialize
 
-SUB, CENTRES = 4, 16
-#: Rows the centres are fitted on, vectors to a block, queries to a block, first exact scores per query and block.
-SAMPLE, BLOCK, QUERIES, RERANK = 20_000, 8192, 4096, 768
+SUB, CENTRES = 2, 16
+#: Rows the centres are fitted on, vectors to a cell on average and to a block, queries to a block.
+SAMPLE, CELL, BLOCK, QUERIES = 20_000, 2048, 8192, 16_384
+#: Share of a block that is scored exactly whatever the bounds say, and the least number.
+SHARE, LEAST = 0.02, 32
+#: Queries of the sample that the number of probed cells is fitted on, and the share of true neighbours they must find.
+TRIED, RECALL = 256, 0.995
 #: More than single precision loses in a scan score.
 ROUNDING = 1e-5
 
@@ -110,8 +118,46 @@ def could_reach(score: np.ndarray, least: float, along: np.ndarray, across: np.n
     return (along > 1) | (score >= least * (1 - along) - np.sqrt(max(0.0, 1 - least * least)) * across - ROUNDING)
 
 
-def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, top: int, rerank: int) -> list[tuple[int, int, float]]:
-    """For each query its best of the block: (query, vec_id, score)."""
+class Cells:
+    """The coarse stage: centres of cells, and how many cells a query visits."""
+
+    def __init__(self, vectors: np.ndarray, cells: int, top: int = 5, rounds: int = 6, seed: int = 11):
+        """vectors: of length one, a row each, a sample of all."""
+        cells = max(1, min(cells, len(vectors) // 4))
+        rng = np.random.default_rng(seed)
+        self.centres = vectors[rng.permutation(len(vectors))[:cells]].astype(np.float32) if len(vectors) else np.zeros((1, vectors.shape[1]), dtype=np.float32)
+        for _ in range(rounds if cells > 1 else 0):
+            home = self.ranked(vectors, 1)[:, 0]
+            for c in np.unique(home):
+                mean = vectors[home == c].sum(0)
+                self.centres[c] = mean / max(np.sqrt((mean * mean).sum()), 1e-12)
+        self.probes = 1 if cells == 1 else self._probes(vectors, top)
+
+    def ranked(self, vectors: np.ndarray, most: int) -> np.ndarray:
+        """The nearest cells of each vector, nearest first, ties to the first."""
+        out = np.zeros((len(vectors), most), dtype=np.int32)
+        for at in range(0, len(vectors), 4096):
+            out[at : at + 4096] = np.argsort(-(vectors[at : at + 4096] @ self.centres.T), axis=1, kind="stable")[:, :most]
+        return out
+
+    def _probes(self, vectors: np.ndarray, top: int) -> int:
+        """The fewest cells that hold ``RECALL`` of the sample's true neighbours of some of its rows."""
+        asked = vectors[:TRIED]
+        score = asked @ vectors.T
+        score[np.arange(len(asked)), np.arange(len(asked))] = -2
+        true = np.argpartition(-score, min(top, score.shape[1] - 1), axis=1)[:, :top]
+        home = self.ranked(vectors, 1)[:, 0]
+        order = self.ranked(asked, len(self.centres))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
+        at = np.take_along_axis(place, home[true], axis=1)
+        found = np.cumsum(np.bincount(at.ravel(), minlength=len(self.centres))) / at.size
+        return int(np.searchsorted(found, RECALL)) + 1
+
+
+def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, top: int, share: float = SHARE, finish: bool = True) -> list[tuple[int, int, float]]:
+    """For each query its best of the block: (query, vec_id, score). Without ``finish`` only the best
+    ``share`` of the scan is scored."""
     order = np.argsort(vid, kind="stable")
     vid, v = vid[order], v[order]
     _, first, same = np.unique(v.view(f"V{v.dtype.itemsize * v.shape[1]}").ravel(), return_index=True, return_inverse=True)
@@ -123,7 +169,7 @@ def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarr
     plain = model.encode(unit)
     codes, (along, across) = model.pack(plain), model.errors(unit, plain)
     qn = (q / np.sqrt((q * q).sum(1, keepdims=True))).astype(np.float32)
-    keep = min(len(one), rerank)
+    keep = min(len(one), max(LEAST, int(np.ceil(share * len(one)))))
     out = []
     for at in range(0, len(q), 64):
         t = model.tables(qn[at : at + 64])
@@ -136,11 +182,12 @@ def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarr
             some = best[i]
             exact = (one[some] @ q[at + i]) / (length[some] * long)
             last = lambda: np.sort(exact)[-(top + own)] if len(exact) >= top + own else -1.0  # noqa: B023, E731
-            more = could_reach(score[i], last(), along, across)
-            more[some] = False
-            rest = np.flatnonzero(more)
-            some = np.append(some, rest)
-            exact = np.append(exact, (one[rest] @ q[at + i]) / (length[rest] * long))
+            if finish and keep < len(one):
+                more = could_reach(score[i], last(), along, across)
+                more[some] = False
+                rest = np.flatnonzero(more)
+                some = np.append(some, rest)
+                exact = np.append(exact, (one[rest] @ q[at + i]) / (length[rest] * long))
             floor = last()
             some, exact = some[exact >= floor], exact[exact >= floor]
             found = [(-e, int(vid[r])) for u, e in zip(some, exact, strict=True) for r in lists[u]]
@@ -149,49 +196,62 @@ def search_block(model: Quantiser, qid: np.ndarray, q: np.ndarray, vid: np.ndarr
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 5, sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERIES, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query the ``top`` largest cosines among all vectors
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 5, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, query_block: int = QUERIES, share: float = SHARE, finish: bool = True) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query the ``top`` largest cosines found among all vectors
     but its own id, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part on either
     side, nor do those whose length isn't the most frequent one. Rows without an id take no part. A
     vector that stands under several ids counts under each. Rows with an id that stands before with
-    the same vector count once. No rows: no rows.
+    the same vector count once. Other columns play no part. No rows: no rows.
 
-    The centres are fitted on at most ``sample`` rows; every row is encoded and scanned. The result
-    is that of scoring all; ``rerank`` only sets how many are scored first. Queries and vectors meet in blocks: each block of vectors goes to each block of queries once.
+    All centres are fitted on at most ``sample`` rows; every row is dealt to a cell, encoded and
+    scanned. The result is exact within the cells that a query visits, unless ``finish`` is false.
     """
     spark = vectors.sparkSession
     arrow_rows(spark, 10_000)
-    kind = "array<double>"
-    good = lambda d, i: d.select(F.col(i).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v")).where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    good = lambda d, i: d.select(F.col(i).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     own, asked = good(vectors, id_col), good(queries, id_col)
-    dim = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, vec_id long, score double"
-    if dim is None:
+    sizes = own.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = dim["n"]
+    dim, count = sizes["dim"], sizes["count"]
     own, asked = own.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    count, n_queries = own.count(), asked.count()
-    fit = own.orderBy(F.xxhash64("vec_id", "v")).limit(sample).toPandas()["v"]
-    x = np.stack(fit.to_numpy()) if len(fit) else np.zeros((0, dim))
-    model = Quantiser((x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32))
-    blocks, qblocks = max(1, -(-count // block)), max(1, -(-n_queries // query_block))
+    fit = np.stack(own.orderBy(F.xxhash64("vec_id", "v")).limit(sample).toPandas()["v"].to_numpy())
+    unit = (fit / np.sqrt((fit * fit).sum(1, keepdims=True))).astype(np.float32)
+    model, cells = Quantiser(unit), Cells(unit, -(-count // cell), top)
+    probes = cells.probes
+
+    def place(most: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["v"].to_numpy())
+                    at = cells.ranked((x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32), most)
+                    yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), most), "v": np.repeat(pdf["v"].to_numpy(), most), "cell": at.ravel()})
+
+        return run
+
+    schema = "vec_id long, v array<double>, cell int"
+    dealt, sent = materialize(own.mapInPandas(place(1), schema), "ann-cells"), asked.mapInPandas(place(probes), schema)
+    # A row a cell, at most sample / 4.
+    n = dealt.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    m = sent.groupBy("cell").count().select("cell", F.ceil(F.col("count") / query_block).cast("int").alias("qblocks"))
+    both = materialize(n.join(m, "cell"), "ann-blocks")
     bits = F.xxhash64("vec_id")
-    left = asked.select(F.pmod(bits, F.lit(qblocks)).alias("qb"), "vec_id", "v").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = own.select(F.pmod(bits, F.lit(blocks)).alias("b"), "vec_id", "v").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
+    pick, each = (lambda c: F.pmod(bits, F.col(c)).cast("int")), (lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)))
+    left = sent.join(F.broadcast(both), "cell").withColumn("b", each("blocks")).select("cell", "b", pick("qblocks").alias("qb"), "vec_id", "v")
+    right = dealt.join(F.broadcast(both), "cell").withColumn("qb", each("qblocks")).select("cell", pick("blocks").alias("b"), "qb", "vec_id", "v")
 
-    def scan(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def scan(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[int, int, float]] = []
         if len(q) and len(c):
             a, b = np.stack(q["v"].to_numpy()).astype(np.float64), np.ascontiguousarray(np.stack(c["v"].to_numpy()), dtype=np.float64)
-            rows = search_block(model, q["vec_id"].to_numpy(), a, c["vec_id"].to_numpy(), b + 0.0, top, rerank)
+            rows = search_block(model, q["vec_id"].to_numpy(), a, c["vec_id"].to_numpy(), b + 0.0, top, share, finish)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
-    keys = ["qb", "b"]
-    left = left.select(F.col("qb").cast("int"), F.col("b").cast("int"), "vec_id", "v")
-    right = right.select(F.col("qb").cast("int"), F.col("b").cast("int"), "vec_id", "v")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, schema).distinct()
+    keys = ["cell", "b", "qb"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
