@@ -73,13 +73,13 @@ def test_quality(spark, odd, none):
 
 
 def test_suffix(spark, odd, none):
-    got = suffix_dedup.repeated_spans(odd, width=8, seed=4).collect()
+    got = suffix_dedup.repeated_spans(odd, width=8, seed=4).collect()  # repeated ids, null texts, a long text
     assert len(got) == 8 and suffix_dedup.repeated_spans(none).count() == 0
     assert [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in got if r["spans"]] == [(6, [(0, 30)])]
     rows = [(i, ("abcd" * (i % 7) + f"{i % 5} and the rest of it {i % 3}") * (1 + i % 4), "s") for i in range(60)]
     want = suffix_dedup.brute_spans([(i, t.encode()) for i, t, _ in rows])
-    for size in (200, 1 << 20):
-        got = suffix_dedup.repeated_spans(docs(spark, *rows), group_bytes=size).collect()
+    for batch, bucket, fan in ((200, 300, 4), (1 << 20, 1 << 20, 1024)):
+        got = suffix_dedup.repeated_spans(docs(spark, *rows), batch_bytes=batch, bucket_bytes=bucket, fan=fan).collect()
         assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == want
 
 

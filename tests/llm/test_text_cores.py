@@ -9,34 +9,55 @@ from hypothesis import strategies as st
 
 from tracewell.llm import ann, decontam, mixing, near_duplicates, quality, secrets, simhash_dedup, suffix_dedup
 
-NONE = (np.zeros(0, dtype=np.uint64),) * 2
 
-
-def spans(texts, ids=None, width=8, seed=4):
-    ids = list(range(len(texts))) if ids is None else ids
-    return suffix_dedup.removed_spans(texts, np.array(ids), NONE, NONE, width, seed)
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("ab \n", max_size=60), max_size=6))
-def test_suffix_spans_match_the_definition(texts):
+def spans(texts, ids=None, width=8, seed=4, batch=1 << 20, common=None):
+    """All batches' runs through one bucket."""
+    sd = suffix_dedup
+    ids = np.arange(len(texts)) if ids is None else np.array(ids)
+    out: dict = {}
+    parts = []
+
+    def add(rows):
+        for i, k, packed in rows.itertuples(index=False):
+            out.setdefault((i, k), []).append(np.frombuffer(packed, dtype=np.int64).reshape(-1, 2))
+
+    for own, keys, offsets, bits in sd.batches(ids, np.arange(len(texts)), texts, width, batch):
+        r, known = sd.send(own, keys, offsets, list(bits), width, seed, common)
+        parts += [sd.Runs.unpack(p.pack()) for _, p in r.dealt(3, 1)]
+        add(sd._rows(own, keys, sd._spans(*known)))
+    if parts:
+        r = sd.Runs.joined(parts)
+        add(sd._rows(r.ids, r.keys, sd.resolve(r, width)))
+    got = []
+    for k, i in enumerate(ids):
+        pairs = np.concatenate(out.get((i, k), [np.zeros((0, 2), dtype=np.int64)]))
+        _, a, b = sd._spans(np.zeros(len(pairs), dtype=np.int64), pairs[:, 0], pairs[:, 1])
+        got.append(list(zip(a.tolist(), b.tolist(), strict=True)))
+    return got
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.text("ab \n", max_size=60), max_size=6), st.sampled_from([20, 50, 1 << 20]), st.sampled_from([8, 9, 13]), st.booleans())
+def test_suffix_spans_match_the_definition(texts, batch, width, flags):
     data = [t.encode() for t in texts]
-    want = suffix_dedup.brute_spans(list(enumerate(data)), 8)
-    assert spans(data) == [want[i] for i in range(len(data))]
+    want = suffix_dedup.brute_spans(list(enumerate(data)), width)
+    common = (np.arange(1 << suffix_dedup.SLOTS) % 3 == 0).astype(np.uint8) if flags else None
+    assert spans(data, None, width, 4, batch, common) == [want[i] for i in range(len(data))]
 
 
-def test_suffix_spans_of_long_documents(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+def test_suffix_spans_of_long_documents():
     rng = np.random.default_rng(3)
     data = [bytes(rng.integers(97, 100, 500, dtype=np.uint8)) for _ in range(4)]
     data.append(data[0][100:300] + data[1][:150] + b"zz" + data[2])
     want = suffix_dedup.brute_spans(list(enumerate(data)), 8)
-    assert spans(data) == [want[i] for i in range(len(data))]
+    for batch in (64, 700, 1 << 20):
+        assert spans(data, batch=batch) == [want[i] for i in range(len(data))]
 
 
 def test_suffix_equal_ids_keep_their_bytes():
     assert spans([b"abcdefghij", b"abcdefghij"], [1, 1]) == [[], []]
     assert spans([b"abcdefghij", b"abcdefghij"], [1, 2]) == [[], [(0, 10)]]
+    assert spans([b"abcdefghij", b"abcdefghij", b"--abcdefghij"], [2, 2, 1]) == [[(0, 10)], [(0, 10)], []]
 
 
 PLAIN = [

@@ -1,4 +1,4 @@
-"""What the corpus operators share: bounded batches, memory, components."""
+"""What the corpus operators share: bounded batches and components."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.runtime import forget, hand_over, materialize, scratch_path, shared_dir, ship
 
-__all__ = ["arrow_rows", "connected_components", "forget", "hand_over", "materialize", "release_memory", "scratch_path", "shared_dir"]
+__all__ = ["arrow_rows", "connected_components", "forget", "hand_over", "materialize", "scratch_path", "shared_dir"]
 
 
 #: Bytes of an Arrow batch, whatever the rows.
@@ -24,31 +24,6 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, str(rows))
 
 
-_TUNED: list[bool] = []
-
-
-def release_memory() -> None:
-    """Gives freed memory of a Python worker back, for an executor's workers and JVM share a limit.
-
-    Large arrays come from maps of their own from the first call on, so that freeing them shrinks
-    the worker at once; the rest is trimmed.
-    """
-    import ctypes
-
-    import pyarrow as pa
-
-    try:
-        libc = ctypes.CDLL(None)
-        if not _TUNED:
-            _TUNED.append(True)
-            pa.set_memory_pool(pa.system_memory_pool())
-            libc.mallopt(-3, 1 << 22)  # least size of a map of its own; smaller arrays come and go too often
-            libc.mallopt(-8, 2)  # arenas
-        libc.malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (src, dst); component is the least node.
 

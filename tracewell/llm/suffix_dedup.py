@@ -1,356 +1,437 @@
 """Repeated byte windows by a depth-limited radix sort of suffixes (operator 6).
 
 Two suffixes stay together through ``width`` bytes exactly if their first ``width`` bytes, the
-window, are the same. The sort is by most-significant-digit passes over the windows; a group that
-can't hold windows of two documents goes no further, and after the last digit the equal groups are
-exactly the repeated windows. The digits are chosen so that the first pass need not store a record
-for each suffix:
-
-1. The first digit is the least hash of the ``SEED`` byte strings within the window. Equal windows
-   have equal first digits, and neighbouring suffixes nearly always share theirs, so one record
-   stands for a run of suffixes. The record's second digit is the hash of all bytes of the run.
-   Runs equal in both hold equal windows throughout: all but the earliest are repeated whole.
-2. Groups of the first digit that hold several different runs are split by the last digit, the
-   hash of the window's bytes, for the earliest of each distinct run.
-
-Documents are dealt into groups by ranges of their ids, so that the order of groups is the order of
-documents, and a string's records are reduced to one in each group before they are exchanged: a
-passage that a third of all documents share costs one record a group. Digits pass between tasks as
-packed arrays. Hashes have 64 bits and two of them (48 bits each in transit) must agree.
+window, are the same, so the sort is limited to that depth: most-significant-digit passes over the
+windows' leading bytes, eight at a time. A group that can't hold windows of two documents goes no
+further, and after the last digit the equal groups are exactly the repeated windows.
+
+The sort runs in buckets. A window's bucket is a digit too, made of its least ``SEED``-byte string in an
+order of hashes: equal windows have it in common, and so do most neighbours, which travel as one
+string of bytes, a run. A batch of documents sends a run that several of them hold once, for the first;
+in the others all of its windows are repeated. Strings that many documents hold come last in the order, so
+that a common phrase within different contexts is cut by the contexts, and only runs that are
+repeated whole, one for each batch, meet in its bucket. Hashes only deal out; bytes decide.
+
+One pass of dealing has at most ``FAN`` buckets. Larger inputs are dealt again, bucket by bucket, by the
+next bits, so that each pass moves the runs once and the number of passes grows with the logarithm.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import arrow_rows, release_memory
+from tracewell.llm.common import arrow_rows
 
-WIDTH, SEED = 50, 26
-#: Bytes hashed at once; longer documents are hashed in overlapping pieces.
-PIECE = 1 << 18
-#: Bytes of text dealt to a group of documents and to a bucket of digits.
-GROUP_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
+WIDTH, SEED = 50, 24
+#: Bytes of text to a batch, to a bucket on average, and buckets to a pass.
+BATCH_BYTES, BUCKET_BYTES, FAN = 4 << 20, 2 << 20, 1024
+#: Bytes of text that frequent strings are looked for in, of batches of 1 MB each; how often a batch must
+#: hold one. This orders the strings only; results don't depend on it.
+SAMPLE_BYTES, SAMPLE_BATCH, OFTEN, SLOTS = 8 << 20, 1 << 20, 4, 22
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = int(_rng.integers(0, 1 << 61)) * 8 + 5
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, PIECE + 4096)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, dtype=np.uint64)
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(n, base, dtype=np.uint64)
             out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            _POWERS.append(np.multiply.accumulate(out))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def seed_hashes(data: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the ``seed`` bytes from each place on."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    x = (sums[seed:] - sums[:-seed]) * down[: len(data) - seed + 1]
     x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
     return x ^ (x >> _U(32))
 
 
-class Piece:
-    """The runs of a buffer of bytes that holds whole documents or a piece of one.
-
-    ends: for each byte, where its document ends in the buffer.
-    """
-
-    def __init__(self, data: np.ndarray, ends: np.ndarray, width: int, seed: int):
-        n, self.width = len(data), width
-        up, self.down = _powers(n + 1)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=self.sums[1:])
-        grams = _mix(self.hash(np.arange(n - seed + 1), seed))
-        least, have, want = grams, 1, width - seed + 1
-        while have < want:
-            step = min(have, want - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        count = len(least)
-        ok = np.arange(count) + width <= ends[:count]
-        new = np.ones(count, dtype=bool)
-        new[1:] = (least[1:] != least[:-1]) | (ends[1:count] != ends[: count - 1])
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], count) - 1
-        last = np.minimum(last, ends[at] - width)
-        keep = ok[at] & (last >= at)
-        self.start, self.last = at[keep], last[keep]
-        self.digit = least[self.start]
-        self.run = _mix(self.hash(self.start, self.last + width - self.start) + self.digit)
-
-    def hash(self, at: np.ndarray, length) -> np.ndarray:
-        return (self.sums[at + length] - self.sums[at]) * self.down[at]
-
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each window of the runs: its run, its start and its last digit."""
-        size = self.last[runs] - self.start[runs] + 1
-        of = np.repeat(runs, size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + self.start[of]
-        return of, at, _mix(self.hash(at, self.width) ^ self.digit[of])
-
-
-def pieces(texts: list[bytes], width: int, seed: int) -> Iterator[tuple[Piece, np.ndarray, np.ndarray, int]]:
-    """(piece, document of each byte, offset of the document's first byte in it, shift)"""
-    batch: list[int] = []
+def runs(data: np.ndarray, ends: np.ndarray, width: int, seed: int, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, digit): the runs of windows with the same least string, in bytes of a buffer of
+    texts. ends: for each byte, where its text ends. common: a flag for each slot of frequent strings."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(data) < width:
+        return none, none, none.astype(np.uint64)
+    least = seed_hashes(data, seed) >> _U(1)
+    if common is not None:
+        least |= common[least >> _U(63 - SLOTS)].astype(np.uint64) << _U(63)
+    have, want = 1, width - seed + 1
+    while have < want:
+        step = min(have, want - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    count = len(least)
+    new = np.ones(count, dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (ends[1:count] != ends[: count - 1])
+    at = np.flatnonzero(new)
+    last = np.minimum(np.append(at[1:], count) - 1, ends[at] - width)
+    keep = last >= at
+    return at[keep], last[keep] + width, least[at[keep]]
+
+
+def batches(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], width: int, most: int = BATCH_BYTES) -> Iterator[tuple]:
+    """(id, key, offset of each text's bytes in its document, bytes): texts in the order of ids, in
+    batches of about ``most`` bytes; a longer text comes in overlapping pieces."""
+    held: list[tuple] = []
     size = 0
-
-    def build(docs, parts):
-        lens = np.array([len(p) for p in parts])
-        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        return Piece(data, np.repeat(np.cumsum(lens), lens), width, seed), np.repeat(docs.astype(np.int32), lens), np.cumsum(lens) - lens
-
-    for i, t in enumerate(texts):
-        if len(t) < width:
-            continue
-        if len(t) > PIECE:
-            for at in range(0, len(t) - width + 1, PIECE):
-                yield *build(np.array([i]), [t[at : at + PIECE + width - 1]]), at
-            continue
-        if size + len(t) > PIECE and batch:
-            yield *build(np.array(batch), [texts[j] for j in batch]), 0
-            batch, size = [], 0
-        batch.append(i)
-        size += len(t)
-    if batch:
-        yield *build(np.array(batch), [texts[j] for j in batch]), 0
-
-
-def _key(digit: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Both digits, as they travel: 48 bits of each, sortable as bytes."""
-    out = np.zeros((len(digit), 12), dtype=np.uint8)
-    out[:, :6] = digit.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    out[:, 6:] = rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.ascontiguousarray(out).view("V12").ravel()
-
-
-def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    b = np.zeros((len(keys), 16), dtype=np.uint8)
-    raw = keys.view(np.uint8).reshape(-1, 12)
-    b[:, :6], b[:, 8:14] = raw[:, :6], raw[:, 6:]
-    v = b.view(">u8")
-    return v[:, 0].astype(np.uint64), v[:, 1].astype(np.uint64)
-
-
-def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
-
-
-_HIGH = _U(0xFFFFFFFFFFFF0000)
-
-
-def _blobs(group: int, a: np.ndarray, b: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Distinct digits as one packed array for each bucket of the first digit."""
-    a, b = _unique(a & _HIGH, b & _HIGH)
-    to = ((a >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(to, prepend=-1))
-    keys = _key(a, b)
-    return pd.DataFrame({"to": to[cut], "sent": group, "kind": 0, "keys": [x.tobytes() for x in np.split(keys, cut[1:])] if len(a) else []})
-
-
-def _joined(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    raw = [np.frombuffer(k, dtype="V12") for k in pdf["keys"]]
-    return _halves(np.concatenate(raw) if raw else np.zeros(0, dtype="V12"))
-
-
-def _resolve(whole: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """At a bucket. Kind 1: digits that an earlier group has too. Kind 2, for runs: the group is the
-    earliest that has this run, and another group has another run of the same first digit."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        release_memory()
-        out = []
-        sent = np.concatenate([np.full(len(k) // 12, s) for k, s in zip(pdf["keys"], pdf["sent"], strict=True)])
-        a, b = _joined(pdf)
-        order = np.lexsort((sent, b, a))
-        a, b, sent = a[order], b[order], sent[order]
-        first = np.ones(len(a), dtype=bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        kinds = [(1, ~first)]
-        if whole:
-            top = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            size = np.diff(np.append(top, len(a)))
-            many = (np.add.reduceat(first.astype(np.int64), top) > 1) & (np.maximum.reduceat(sent, top) > np.minimum.reduceat(sent, top))
-            kinds.append((2, first & np.repeat(many, size)))
-        for kind, those in kinds:
-            to = sent[those]
-            keys = _key(a[those], b[those])
-            order = np.argsort(to, kind="stable")
-            to, keys = to[order], keys[order]
-            cut = np.flatnonzero(np.diff(to, prepend=-1))
-            out.append(pd.DataFrame({"to": to[cut], "sent": key[0], "kind": kind, "keys": [x.tobytes() for x in np.split(keys, cut[1:])] if len(to) else []}))
-        release_memory()
-        return pd.concat(out)
-
-    return run
-
-
-def _in(a: np.ndarray, b: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which of the digit pairs are among the found ones."""
-    if not len(found[0]):
-        return np.zeros(len(a), dtype=bool)
-    code = lambda x, y: _mix((x & _HIGH) + _mix(y & _HIGH))
-    return np.isin(code(a, b), code(*found))
-
-
-def _earlier(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For records (a, b, doc): whether a smaller doc has the same digits; whether the record is
-    one of its digits' earliest; whether the first digit has several kinds and several documents."""
-    order = np.lexsort((doc, b, a))
-    x, y, d = a[order], b[order], doc[order]
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    least = d[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
-    top = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=int)
-    mixed = (np.add.reduceat(new.astype(np.int64), top) > 1) & (np.maximum.reduceat(d, top) > np.minimum.reduceat(d, top)) if len(x) else np.zeros(0, dtype=bool)
-    out = [np.zeros(len(x), dtype=bool) for _ in range(3)]
-    out[0][order], out[1][order] = d > least, d == least
-    out[2][order] = np.repeat(mixed, np.diff(np.append(top, len(x))))
-    return out[0], out[1], out[2]
-
-
-def _texts(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """Bytes of the texts, and the ids' ranks (equal ids rank alike)."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-    return texts, pd.Series(pdf["doc_id"]).rank(method="dense").to_numpy().astype(np.int64)
-
-
-def removed_spans(texts: list[bytes], rank: np.ndarray, whole: tuple, single: tuple, width: int, seed: int) -> list[list[tuple[int, int]]]:
-    """The bytes to remove from each text, as maximal runs.
-
-    rank: the texts' order. whole, single: digits of runs and of windows that earlier groups have.
-    """
-    parts = list(pieces(texts, width, seed))
-    runs = [(i, p.digit, p.run, rank[of[p.start]]) for i, (p, of, _, _) in enumerate(parts)]
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if not runs:
-        return out
-    a, b, d = (np.concatenate([r[k] for r in runs]) for k in (1, 2, 3))
-    part = np.concatenate([np.full(len(r[1]), r[0]) for r in runs])
-    before, earliest, mixed = _earlier(a, b, d)
-    gone = before | _in(a, b, whole)
-    split = ~before & mixed
-    doubt = (split | np.isin(a & _HIGH, np.unique(single[0]))) & ~(gone & ~earliest)
-    first = np.searchsorted(part, np.arange(len(parts)))
-    found = [np.zeros(0, dtype=np.int64) for _ in parts], [np.zeros(0, dtype=np.int64) for _ in parts]
-    rows = []
-    for i, (p, of, _, _) in enumerate(parts):
-        mine = np.flatnonzero(doubt[first[i] : first[i] + len(p.start)])
-        if len(mine):
-            r, at, last = p.windows(mine)
-            rows.append((np.full(len(r), i, dtype=np.int32), at.astype(np.int32), p.digit[r], last, rank[of[at]].astype(np.int32)))
-    if rows:
-        i, at, wa, wb, wd = (np.concatenate(x) for x in zip(*rows, strict=True))
-        hit = _earlier(wa, wb, wd)[0] | _in(wa, wb, single)
-        for k in np.unique(i[hit]):
-            found[0][k] = at[hit & (i == k)]
-    for k, (p, of, first_byte, shift) in enumerate(parts):
-        mine = gone[first[k] : first[k] + len(p.start)]
-        start = np.concatenate([p.start[mine], found[0][k]])
-        stop = np.concatenate([p.last[mine], found[0][k]]) + width
-        if not len(start):
-            continue
-        cover = np.zeros(len(of) + 1, dtype=np.int64)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, stop, -1)
-        on = np.cumsum(cover[:-1]) > 0
-        edge = on & np.r_[True, ~on[:-1] | (of[1:] != of[:-1])]
-        tail = on & np.r_[~on[1:] | (of[1:] != of[:-1]), True]
-        origin = dict(zip(np.unique(of), first_byte, strict=True))
-        for x, y in zip(np.flatnonzero(edge), np.flatnonzero(tail), strict=True):
-            doc = of[x]
-            lo, hi = int(x - origin[doc]) + shift, int(y - origin[doc]) + shift + 1
-            if out[doc] and out[doc][-1][1] >= lo:
-                out[doc][-1] = (out[doc][-1][0], max(hi, out[doc][-1][1]))
-            else:
-                out[doc].append((lo, hi))
+    for i in np.argsort(ids, kind="stable"):
+        t = texts[i]
+        for at in range(0, max(1, len(t) - width + 1), most):
+            part = t[at : at + most + width - 1]
+            if len(part) < width:
+                continue
+            if held and size + len(part) > most:
+                yield tuple(zip(*held, strict=True))
+                held, size = [], 0
+            held.append((int(ids[i]), int(keys[i]), at, part))
+            size += len(part)
+    if held:
+        yield tuple(zip(*held, strict=True))
+
+
+class Runs:
+    """Packed runs: bytes one after the other; of each run its length, digit, document and place in it."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray):
+        self.data, self.size, self.digit, self.doc, self.place, self.ids, self.keys = data, size, digit, doc, place, ids, keys
+
+    def pack(self) -> bytes:
+        parts = [np.array([len(self.size), len(self.ids), len(self.data)], dtype=np.int64), self.size.astype(np.int32), self.digit, self.doc.astype(np.int32), self.place.astype(np.int32), self.ids, self.keys, self.data]
+        raw = b"".join(p.tobytes() for p in parts)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+    @staticmethod
+    def unpack(blob: bytes) -> Runs:
+        raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+        n, docs, size = (int(x) for x in np.frombuffer(raw, dtype=np.int64, count=3))
+        out, at = [], 24
+        for kind, count in ((np.int32, n), (np.uint64, n), (np.int32, n), (np.int32, n), (np.int64, docs), (np.int64, docs), (np.uint8, size)):
+            out.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
+            at += out[-1].nbytes
+        lens, digit, doc, place, ids, keys, data = out
+        return Runs(data, lens.astype(np.int64), digit, doc, place, ids, keys)
+
+    @staticmethod
+    def joined(parts: list[Runs]) -> Runs:
+        shift = np.cumsum([0, *(len(p.ids) for p in parts)])
+        cat = lambda name: np.concatenate([getattr(p, name) for p in parts])
+        doc = np.concatenate([p.doc.astype(np.int64) + s for p, s in zip(parts, shift, strict=False)])
+        return Runs(cat("data"), cat("size"), cat("digit"), doc, cat("place"), cat("ids"), cat("keys"))
+
+    def dealt(self, fan: int, bits: int) -> Iterator[tuple[int, Runs]]:
+        """(bucket, its runs) by the digit's hash bits from ``bits`` on."""
+        to = (self.digit * _U(0xD6E8FEB86659FD93) >> _U(32)) // _U(bits) % _U(fan)
+        order = np.argsort(to, kind="stable")
+        to = to[order].astype(np.int64)
+        cut = np.flatnonzero(np.diff(to, prepend=-1))
+        begin = np.cumsum(self.size) - self.size
+        for lo, hi in zip(cut, np.append(cut[1:], len(to)), strict=False):
+            mine = order[lo:hi]
+            mine = mine[np.argsort(self.digit[mine], kind="stable")]
+            size = self.size[mine]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[mine], size)
+            docs, doc = np.unique(self.doc[mine], return_inverse=True)
+            yield int(to[lo]), Runs(self.data[at], size, self.digit[mine], doc, self.place[mine], self.ids[docs], self.keys[docs])
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of byte ranges, as maximal ranges of each document."""
+    if not len(doc):
+        return doc, start, stop
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    reach = stop + doc * (int(stop.max()) + 1)  # documents apart, so that one running maximum serves all
+    base = start + doc * (int(stop.max()) + 1)
+    top = np.maximum.accumulate(reach)
+    new = np.append(True, base[1:] > top[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], start[first], np.maximum.reduceat(stop, first)
+
+
+def send(ids, keys, offsets, texts: list[bytes], width: int, seed: int, common: np.ndarray | None) -> tuple[Runs, tuple]:
+    """The runs that a batch sends, and the spans (index, start, stop) that it knows to be repeated."""
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    stops = np.cumsum(lens)
+    start, stop, digit = runs(data, np.repeat(stops, lens), width, seed, common)
+    of = np.searchsorted(stops, start, side="right")
+    own = np.asarray(ids, dtype=np.int64)
+    first: dict[bytes, int] = {}
+    sent = np.ones(len(start), dtype=bool)
+    for k, (a, b, d) in enumerate(zip(start.tolist(), stop.tolist(), own[of].tolist(), strict=True)):
+        if first.setdefault(raw[a:b], d) != d:  # documents come in the order of ids
+            sent[k] = False
+    base = (stops - lens)[of] - np.asarray(offsets, dtype=np.int64)[of]
+    known = (of[~sent], (start - base)[~sent], (stop - base)[~sent])
+    s, e = start[sent], stop[sent]
+    size = e - s
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - s, size)
+    return Runs(data[at], size, digit[sent], of[sent], (s - base[sent]), own, np.asarray(keys, dtype=np.int64)), known
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): an order in which equal rows of the keys are together, and where each group begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, new
+
+
+def _of_several(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The places in the order whose group holds several documents."""
+    top = np.flatnonzero(new)
+    d = doc[order]
+    many = np.minimum.reduceat(d, top) < np.maximum.reduceat(d, top)
+    return np.repeat(many, np.diff(np.append(top, len(order))))
+
+
+def resolve(r: Runs, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, stop): the bytes of the bucket's runs that are covered by windows which also start
+    in a document with a smaller id."""
+    none = np.zeros(0, dtype=np.int64)
+    ids = r.ids[r.doc]
+    if not len(ids):
+        return none, none, none
+    order, new = _groups(r.digit)
+    several = _of_several(order, new, ids)
+    mine, group = order[several], np.cumsum(new)[several]
+    if not len(mine):
+        return none, none, none
+    begin = np.cumsum(r.size) - r.size
+    raw, number = r.data.tobytes(), {}
+    same = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(begin[mine].tolist(), r.size[mine].tolist(), strict=True)])
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, ids[mine])
+    later = ids[mine] > least[same]
+    # One of each distinct run of a group that holds several stands for it in the sort.
+    one = np.unique(same, return_index=True)[1]
+    kinds = np.bincount(group[one], minlength=int(group.max()) + 1)
+    one = one[kinds[group[one]] > 1]
+    runs_, size = mine[one], r.size[mine[one]] - width + 1
+    of = np.repeat(np.arange(len(one)), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - begin[runs_], size)
+    doc, place = least[same[one]][of], np.arange(len(of))
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(r.data, np.zeros(8, dtype=np.uint8)), 8)
+    now = group[one][of]
+    steps = [*range(0, width - 7, 8), *([width - 8] if width % 8 and width > 8 else [])]
+    for step in steps if width >= 8 else []:
+        if not len(place):
+            break
+        digit = np.ascontiguousarray(eight[at[place] + step]).view(">u8").ravel()
+        order, new = _groups(now, digit)
+        several = _of_several(order, new, doc[place])
+        now, place = np.cumsum(new)[several], place[order[several]]
+    hit = np.zeros(len(of), dtype=bool)
+    if len(place):
+        top = np.flatnonzero(np.diff(now, prepend=-1))
+        low = np.minimum.reduceat(doc[place], top)
+        hit[place] = doc[place] > np.repeat(low, np.diff(np.append(top, len(place))))
+    # A run's hits go to all runs like it of the document that has it first.
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    # Stretches end with their run.
+    a = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (of[1:] != of[:-1]))) if len(hit) else none
+    b = np.flatnonzero(hit & np.append(~hit[1:] | (of[1:] != of[:-1]), True)) if len(hit) else none
+    del edge
+    base = begin[runs_][of[a]] if len(a) else none
+    lists = pd.DataFrame({"same": same[one][of[a]] if len(a) else none, "lo": at[a] - base if len(a) else none, "hi": at[b] - base + width if len(a) else none})
+    firsts = pd.DataFrame({"same": same[~later], "run": mine[~later]})
+    met = firsts.merge(lists, on="same")
+    gone = mine[later]
+    doc = np.concatenate([r.doc[gone], r.doc[met["run"].to_numpy()]])
+    start = np.concatenate([r.place[gone], r.place[met["run"].to_numpy()] + met["lo"].to_numpy()])
+    stop = np.concatenate([r.place[gone] + r.size[gone], r.place[met["run"].to_numpy()] + met["hi"].to_numpy()])
+    return _spans(doc, start, stop)
+
+
+def _rows(ids: np.ndarray, keys: np.ndarray, spans: tuple) -> pd.DataFrame:
+    """(doc_id, key, spans) rows of spans by document, packed as pairs of numbers."""
+    doc, start, stop = spans
+    cut = np.flatnonzero(np.diff(doc, prepend=-1))
+    pairs = np.column_stack([start, stop]).astype(np.int64)
+    return pd.DataFrame({"doc_id": np.asarray(ids)[doc[cut]], "key": np.asarray(keys)[doc[cut]], "spans": [p.tobytes() for p in np.split(pairs, cut[1:])] if len(cut) else []})
+
+
+def common_strings(docs: DataFrame, n_bytes: int, seed: int) -> np.ndarray | None:
+    """A flag for each slot of strings that a sampled batch holds ``OFTEN`` times; None: no such.
+
+    At most SAMPLE_BYTES / OFTEN numbers come to the driver."""
+    share = max(1, n_bytes // SAMPLE_BYTES)
+
+    def count(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches_:
+            for t in pdf["text"]:
+                data = (t or "").encode("utf-8", "surrogatepass")
+                for at in range(0, len(data), SAMPLE_BATCH):
+                    held.append(data[at : at + SAMPLE_BATCH])
+                    size += len(held[-1])
+                    if size >= SAMPLE_BATCH:
+                        yield found(held)
+                        held, size = [], 0
+        if size:
+            yield found(held)
+
+    def found(held: list[bytes]) -> pd.DataFrame:
+        data = np.frombuffer(b"".join(held), dtype=np.uint8)
+        if len(data) < seed:
+            return pd.DataFrame({"slot": np.zeros(0, dtype=np.int64)})
+        slot, n = np.unique(seed_hashes(data, seed) >> _U(64 - SLOTS), return_counts=True)
+        return pd.DataFrame({"slot": slot[n >= OFTEN].astype(np.int64)})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(share)) == 0).select("text").coalesce(8)
+    slots = [r["slot"] for r in some.mapInPandas(count, "slot long").distinct().toLocalIterator()]
+    if not slots:
+        return None
+    out = np.zeros(1 << SLOTS, dtype=np.uint8)
+    out[slots] = 1
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): for each row the maximal byte runs that are covered by
     ``width``-byte strings which also start in a document with a smaller id, and the other bytes.
 
-    Null texts count as empty; texts shorter than ``width`` lose nothing. Rows with the same id are
-    no smaller than each other, so they don't remove each other's bytes. Rows with a null id come
-    neither before nor after any other: they keep all. No rows give no rows.
-
-    Three passes read the texts through one exchange. A task holds ``group_bytes`` of text, or one
-    document if that is longer, or the digits of one bucket, of which there is one for every
-    ``BUCKET_BYTES`` of text.
+    Null texts count as empty; texts shorter than ``width`` lose nothing; very long ones are read in
+    pieces. Rows with the same id are no smaller than each other, so they don't remove each other's
+    bytes; repeated rows stay. Rows with a null id come neither before nor after any other: they keep
+    all. Other columns play no part. No rows give no rows. ``width`` is 8 or more, ``seed`` at most that.
     """
-
-    arrow_rows(docs.sparkSession, 2000)
+    spark = docs.sparkSession
+    arrow_rows(spark, 2000)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("doc_id", [i / 64 for i in range(65)], 1000).alias("q")).first()
-    groups = max(1, -(-(size["n"] or 0) // group_bytes))
-    marks = sorted(set(size["q"] or [0]))
-    share = -(-groups // max(1, len(marks) - 1))
-    steps = ", ".join(f"{m}L" for m in marks)
-    low = f"greatest(1, size(filter(array({steps}), m -> m <= doc_id)))"
-    span = f"greatest(1L, coalesce(get(array({steps}), k), {marks[-1]}L) - get(array({steps}), k - 1))"
-    known = docs.where("doc_id is not null").withColumn("k", F.expr(low))
-    known = known.select(F.expr(f"cast((k - 1) * {share} + least({share} - 1, greatest(0, floor(({share} * cast(doc_id - get(array({steps}), k - 1) as double)) / {span}))) as int)").alias("grp"), "doc_id", "text")
-    buckets = max(1, -(-groups * group_bytes // BUCKET_BYTES))
-    sent = "to int, sent int, kind int, keys binary"
-
-    def runs(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        release_memory()
-        texts, _ = _texts(pdf)
-        found = [(p.digit, p.run) for p, *_ in pieces(texts, width, seed)]
-        del texts
-        none = np.zeros(0, dtype=np.uint64)
-        a, b = (np.concatenate([f[i] for f in found] or [none]) for i in (0, 1))
-        release_memory()
-        return _blobs(key[0], a, b, buckets)
-
-    def windows(key, pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        release_memory()
-        doubt = _joined(said[said["kind"] == 2])
-        found = [(np.zeros(0, dtype=np.uint64),) * 2]
-        if len(doubt[0]):
-            texts, _ = _texts(pdf)
-            for p, *_ in pieces(texts, width, seed):
-                r, _, last = p.windows(np.flatnonzero(_in(p.digit, p.run, doubt)))
-                found.append((p.digit[r], last))
-        return _blobs(key[0], *(np.concatenate([f[i] for f in found]) for i in (0, 1)), buckets)
-
-    def final(key, pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        release_memory()
-        texts, rank = _texts(pdf)
-        spans = removed_spans(texts, rank, _joined(said[said["kind"] == 1]), _joined(said[said["kind"] == 3]), width, seed)
-        release_memory()
-        kept = []
-        for t, own in zip(texts, spans, strict=True):
-            edges = [0, *(x for s in own for x in s), len(t)]
-            kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t) for t in texts], "spans": [[{"start": a, "end": b} for a, b in s] for s in spans], "kept": kept})
+    known = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text"))
+    n_bytes = int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
+    shared = spark.sparkContext.broadcast(common_strings(known, n_bytes, seed))
+    fans, rest = [], max(1, -(-n_bytes // bucket_bytes))
+    while rest > 1 or not fans:
+        fans.append(min(rest, fan))
+        rest = -(-rest // fan)
+    sent = "path string, kind int, blob binary"
+
+    def deal(held: list[Runs], path: str, level: int) -> pd.DataFrame:
+        bits = int(np.prod(fans[:level], dtype=np.int64)) if level else 1
+        rows = [(f"{path}/{to}", 0, part.pack()) for to, part in Runs.joined(held).dealt(fans[level], bits)]
+        return pd.DataFrame(rows, columns=["path", "kind", "blob"])
+
+    def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, keys, texts in _gathered(frames, batch_bytes):
+            for own, key, offsets, parts in batches(ids, keys, texts, width, batch_bytes):
+                out, repeated = send(own, key, offsets, list(parts), width, seed, shared.value)
+                yield deal([out], "", 0)
+                spans = _rows(own, key, _spans(*repeated))
+                # What the batch knows already passes through a bucket as it is.
+                if len(spans):
+                    yield pd.DataFrame({"path": [f"/{int(own[0]) % fans[0]}" + "/0" * (len(fans) - 1)], "kind": [1], "blob": [_framed(spans)]})
+
+    def again(level: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[str, list[Runs]] = {}
+            size = 0
+            for pdf in frames:
+                passed = pdf[pdf["kind"] == 1]
+                if len(passed):
+                    yield passed
+                for path, blob in pdf.loc[pdf["kind"] == 0, ["path", "blob"]].itertuples(index=False):
+                    held.setdefault(path, []).append(Runs.unpack(blob))
+                    size += len(held[path][-1].data)
+                    if size > 16 * batch_bytes:
+                        for p, parts in held.items():
+                            yield deal(parts, p, level)
+                        held, size = {}, 0
+            for p, parts in held.items():
+                yield deal(parts, p, level)
+
+        return run
+
+    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [_unframed(b) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
+        parts = [Runs.unpack(b) for b in pdf.loc[pdf["kind"] == 0, "blob"]]
+        if parts:
+            r = Runs.joined(parts)
+            del parts
+            out.append(_rows(r.ids, r.keys, resolve(r, width)))
+        return pd.concat(out)
 
-    dealt = known.repartition(groups, "grp") if groups > 1 else known.repartition(1, "grp")
-    first = dealt.groupBy("grp").applyInPandas(runs, sent).groupBy("to").applyInPandas(_resolve(True), sent)
-    second = dealt.groupBy("grp").cogroup(first.where("kind = 2").groupBy("to")).applyInPandas(windows, sent).groupBy("to").applyInPandas(_resolve(False), sent)
-    said = first.where("kind = 1").unionAll(second.withColumn("kind", F.lit(3)))
+    dealt = known.mapInPandas(start, sent)
+    for level in range(1, len(fans)):
+        dealt = dealt.repartition("path").mapInPandas(again(level), sent)
+    found = dealt.groupBy("path").applyInPandas(sort, "doc_id long, key long, spans binary")
+    found = found.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("found"))
     out = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    result = dealt.groupBy("grp").cogroup(said.groupBy("to")).applyInPandas(final, out)
+    result = known.join(found.hint("merge"), ["doc_id", "key"], "left").select("doc_id", "text", "found").mapInPandas(_cut, out)
     whole = docs.where("doc_id is null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
     return result.unionAll(whole)
 
 
+def _framed(spans: pd.DataFrame) -> bytes:
+    """(doc_id, key, spans) rows as one value."""
+    sizes = np.array([len(s) for s in spans["spans"]], dtype=np.int64)
+    return np.concatenate([[len(sizes)], spans["doc_id"].to_numpy(np.int64), spans["key"].to_numpy(np.int64), sizes]).astype(np.int64).tobytes() + b"".join(spans["spans"])
+
+
+def _unframed(blob: bytes) -> pd.DataFrame:
+    n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
+    ids, keys, sizes = np.frombuffer(blob, dtype=np.int64, count=3 * n, offset=8).reshape(3, n)
+    stops = np.cumsum(sizes) + 8 + 24 * n
+    return pd.DataFrame({"doc_id": ids, "key": keys, "spans": [blob[b - s : b] for s, b in zip(sizes, stops, strict=True)]})
+
+
+def _gathered(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """The rows of several frames, up to about ``most`` bytes of text."""
+    ids, keys, texts, size = [], [], [], 0
+    for pdf in frames:
+        for i, k, t in zip(pdf["doc_id"], pdf["key"], pdf["text"], strict=True):
+            ids.append(i)
+            keys.append(k)
+            texts.append((t or "").encode("utf-8", "surrogatepass"))
+            size += len(texts[-1])
+            if size >= most:
+                yield np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), texts
+                ids, keys, texts, size = [], [], [], 0
+    if ids:
+        yield np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), texts
+
+
+def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        spans, kept, sizes = [], [], []
+        for text, found in zip(pdf["text"], pdf["found"], strict=True):
+            t = (text or "").encode("utf-8", "surrogatepass")
+            own: list[tuple[int, int]] = []
+            if found is not None and len(found):
+                pairs = np.concatenate([np.frombuffer(f, dtype=np.int64).reshape(-1, 2) for f in found])
+                _, a, b = _spans(np.zeros(len(pairs), dtype=np.int64), pairs[:, 0], pairs[:, 1])
+                own = list(zip(a.tolist(), b.tolist(), strict=True))
+            edges = [0, *(x for s in own for x in s), len(t)]
+            spans.append([{"start": a, "end": b} for a, b in own])
+            kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
+            sizes.append(len(t))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "spans": spans, "kept": kept})
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_spans(docs).select(
