@@ -78,8 +78,8 @@ def test_suffix(spark, odd, none):
     assert [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in got if r["spans"]] == [(6, [(0, 30)])]
     rows = [(i, ("abcd" * (i % 7) + f"{i % 5} and the rest of it {i % 3}") * (1 + i % 4), "s") for i in range(60)]
     want = suffix_dedup.brute_spans([(i, t.encode()) for i, t, _ in rows])
-    for batch, bucket, fan in ((200, 300, 4), (1 << 20, 1 << 20, 1024)):
-        got = suffix_dedup.repeated_spans(docs(spark, *rows), batch_bytes=batch, bucket_bytes=bucket, fan=fan).collect()
+    for group, digit, bucket in ((200, 900, 300), (1 << 20, 1 << 20, 1 << 20)):
+        got = suffix_dedup.repeated_spans(docs(spark, *rows), group_bytes=group, digit_bytes=digit, bucket_bytes=bucket).collect()
         assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == want
 
 

@@ -23,7 +23,7 @@ def spans(texts, ids=None, width=8, seed=4, batch=1 << 20, common=None):
 
     for own, keys, offsets, bits in sd.batches(ids, np.arange(len(texts)), texts, width, batch):
         r, known = sd.send(own, keys, offsets, list(bits), width, seed, common)
-        parts += [sd.Runs.unpack(p.pack()) for _, p in r.dealt(3, 1)]
+        parts += [sd.Runs.unpack(p.pack()) for _, p in r.dealt(3)]
         add(sd._rows(own, keys, sd._spans(*known)))
     if parts:
         r = sd.Runs.joined(parts)
@@ -54,6 +54,12 @@ def test_suffix_spans_of_long_documents():
         assert spans(data, batch=batch) == [want[i] for i in range(len(data))]
 
 
+def test_suffix_numbers_travel_whole():
+    for n in (0, 1, 1000):
+        x = np.unique(np.random.default_rng(n).integers(0, 1 << 40, n, dtype=np.uint64))
+        assert (suffix_dedup.unpack_numbers(suffix_dedup.pack_numbers(x)) == x).all()
+
+
 def test_suffix_equal_ids_keep_their_bytes():
     assert spans([b"abcdefghij", b"abcdefghij"], [1, 1]) == [[], []]
     assert spans([b"abcdefghij", b"abcdefghij"], [1, 2]) == [[], [(0, 10)]]

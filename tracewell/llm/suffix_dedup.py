@@ -7,13 +7,16 @@ further, and after the last digit the equal groups are exactly the repeated wind
 
 The sort runs in buckets. A window's bucket is a digit too, made of its least ``SEED``-byte string in an
 order of hashes: equal windows have it in common, and so do most neighbours, which travel as one
-string of bytes, a run. A batch of documents sends a run that several of them hold once, for the first;
-in the others all of its windows are repeated. Strings that many documents hold come last in the order, so
-that a common phrase within different contexts is cut by the contexts, and only runs that are
-repeated whole, one for each batch, meet in its bucket. Hashes only deal out; bytes decide.
-
-One pass of dealing has at most ``FAN`` buckets. Larger inputs are dealt again, bucket by bucket, by the
-next bits, so that each pass moves the runs once and the number of passes grows with the logarithm.
+string of bytes, a run. So the first pass is by this digit, and only digits travel: documents are dealt
+into groups, a group sends each of its digits once, and learns which ones other groups have too. Runs
+of other digits can't hold windows of two groups. Of the rest a group sends a run that several of its
+documents hold once, for the first; in the others all of its windows are repeated. Strings that many
+documents hold come last in the order, so that a common phrase within different contexts is cut by
+the contexts, and only runs that are repeated whole, one for each group, meet in its bucket. Digits
+only deal out and drop; bytes decide what is equal.
+
+The texts are exchanged once and read three times. A task holds one group or one bucket. What groups and
+buckets tell each other is never more rows than there are digits, however many of both there are.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import arrow_rows
 
 WIDTH, SEED = 50, 24
-#: Bytes of text to a batch, to a bucket on average, and buckets to a pass.
-BATCH_BYTES, BUCKET_BYTES, FAN = 4 << 20, 2 << 20, 1024
+#: Bytes of text to a group of documents, to a bucket of digits and to a bucket of runs, on average.
+GROUP_BYTES, DIGIT_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20, 4 << 20
 #: Bytes of text that frequent strings are looked for in, of batches of 1 MB each; how often a batch must
 #: hold one. This orders the strings only; results don't depend on it.
 SAMPLE_BYTES, SAMPLE_BATCH, OFTEN, SLOTS = 8 << 20, 1 << 20, 4, 22
@@ -88,7 +91,7 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int, seed: int, common: np.n
     return at[keep], last[keep] + width, least[at[keep]]
 
 
-def batches(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], width: int, most: int = BATCH_BYTES) -> Iterator[tuple]:
+def batches(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], width: int, most: int = GROUP_BYTES) -> Iterator[tuple]:
     """(id, key, offset of each text's bytes in its document, bytes): texts in the order of ids, in
     batches of about ``most`` bytes; a longer text comes in overlapping pieces."""
     held: list[tuple] = []
@@ -108,6 +111,25 @@ def batches(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], width: int, m
         yield tuple(zip(*held, strict=True))
 
 
+def short(digit: np.ndarray) -> np.ndarray:
+    """40 bits of a digit, as it travels alone."""
+    return digit * _U(0xD6E8FEB86659FD93) >> _U(24)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Ascending numbers below 2^40: their steps, byte by byte, compressed."""
+    raw = np.ascontiguousarray(np.diff(x, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpack_numbers(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        out[:, :5] = np.frombuffer(pa.decompress(blob[8:], 5 * n, "zstd", asbytes=True), dtype=np.uint8).reshape(5, n).T
+    return np.cumsum(out.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 class Runs:
     """Packed runs: bytes one after the other; of each run its length, digit, document and place in it."""
 
@@ -130,6 +152,14 @@ class Runs:
         lens, digit, doc, place, ids, keys, data = out
         return Runs(data, lens.astype(np.int64), digit, doc, place, ids, keys)
 
+    def of(self, some: np.ndarray) -> Runs:
+        """Some of the runs."""
+        size = self.size[some]
+        begin = (np.cumsum(self.size) - self.size)[some]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+        docs, doc = np.unique(self.doc[some], return_inverse=True)
+        return Runs(self.data[at], size, self.digit[some], doc, self.place[some], self.ids[docs], self.keys[docs])
+
     @staticmethod
     def joined(parts: list[Runs]) -> Runs:
         shift = np.cumsum([0, *(len(p.ids) for p in parts)])
@@ -137,20 +167,15 @@ class Runs:
         doc = np.concatenate([p.doc.astype(np.int64) + s for p, s in zip(parts, shift, strict=False)])
         return Runs(cat("data"), cat("size"), cat("digit"), doc, cat("place"), cat("ids"), cat("keys"))
 
-    def dealt(self, fan: int, bits: int) -> Iterator[tuple[int, Runs]]:
-        """(bucket, its runs) by the digit's hash bits from ``bits`` on."""
-        to = (self.digit * _U(0xD6E8FEB86659FD93) >> _U(32)) // _U(bits) % _U(fan)
+    def dealt(self, buckets: int) -> Iterator[tuple[int, Runs]]:
+        """(bucket, its runs)."""
+        to = short(self.digit) % _U(buckets)
         order = np.argsort(to, kind="stable")
         to = to[order].astype(np.int64)
         cut = np.flatnonzero(np.diff(to, prepend=-1))
-        begin = np.cumsum(self.size) - self.size
         for lo, hi in zip(cut, np.append(cut[1:], len(to)), strict=False):
             mine = order[lo:hi]
-            mine = mine[np.argsort(self.digit[mine], kind="stable")]
-            size = self.size[mine]
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[mine], size)
-            docs, doc = np.unique(self.doc[mine], return_inverse=True)
-            yield int(to[lo]), Runs(self.data[at], size, self.digit[mine], doc, self.place[mine], self.ids[docs], self.keys[docs])
+            yield int(to[lo]), self.of(mine[np.argsort(self.digit[mine], kind="stable")])
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,7 +335,7 @@ def common_strings(docs: DataFrame, n_bytes: int, seed: int) -> np.ndarray | Non
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, group_bytes: int = GROUP_BYTES, digit_bytes: int = DIGIT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): for each row the maximal byte runs that are covered by
     ``width``-byte strings which also start in a document with a smaller id, and the other bytes.
 
@@ -324,47 +349,47 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = docs.where("doc_id is not null").withColumn("key", F.xxhash64("text"))
     n_bytes = int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
+    groups, digit_buckets, buckets = (max(1, -(-n_bytes // b)) for b in (group_bytes, digit_bytes, bucket_bytes))
     shared = spark.sparkContext.broadcast(common_strings(known, n_bytes, seed))
-    fans, rest = [], max(1, -(-n_bytes // bucket_bytes))
-    while rest > 1 or not fans:
-        fans.append(min(rest, fan))
-        rest = -(-rest // fan)
-    sent = "path string, kind int, blob binary"
-
-    def deal(held: list[Runs], path: str, level: int) -> pd.DataFrame:
-        bits = int(np.prod(fans[:level], dtype=np.int64)) if level else 1
-        rows = [(f"{path}/{to}", 0, part.pack()) for to, part in Runs.joined(held).dealt(fans[level], bits)]
-        return pd.DataFrame(rows, columns=["path", "kind", "blob"])
-
-    def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, keys, texts in _gathered(frames, batch_bytes):
-            for own, key, offsets, parts in batches(ids, keys, texts, width, batch_bytes):
-                out, repeated = send(own, key, offsets, list(parts), width, seed, shared.value)
-                yield deal([out], "", 0)
-                spans = _rows(own, key, _spans(*repeated))
-                # What the batch knows already passes through a bucket as it is.
-                if len(spans):
-                    yield pd.DataFrame({"path": [f"/{int(own[0]) % fans[0]}" + "/0" * (len(fans) - 1)], "kind": [1], "blob": [_framed(spans)]})
-
-    def again(level: int):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[str, list[Runs]] = {}
-            size = 0
-            for pdf in frames:
-                passed = pdf[pdf["kind"] == 1]
-                if len(passed):
-                    yield passed
-                for path, blob in pdf.loc[pdf["kind"] == 0, ["path", "blob"]].itertuples(index=False):
-                    held.setdefault(path, []).append(Runs.unpack(blob))
-                    size += len(held[path][-1].data)
-                    if size > 16 * batch_bytes:
-                        for p, parts in held.items():
-                            yield deal(parts, p, level)
-                        held, size = {}, 0
-            for p, parts in held.items():
-                yield deal(parts, p, level)
-
-        return run
+    grp = F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)).alias("grp")
+
+    def sent(pdf: pd.DataFrame) -> Iterator[tuple[Runs, tuple]]:
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
+        for ids, keys, offsets, parts in batches(pdf["doc_id"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64), texts, width, 2 * group_bytes):
+            r, repeated = send(ids, keys, offsets, list(parts), width, seed, shared.value)
+            yield r, (ids, keys, _spans(*repeated))
+
+    def digits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(short(r.digit) for r, _ in sent(pdf))]))
+        to = (found * _U(digit_buckets) >> _U(40)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(to, prepend=-1))
+        return pd.DataFrame({"to": to[cut], "grp": key[0], "blob": [pack_numbers(x) for x in np.split(found, cut[1:])] if len(cut) else []})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack_numbers(b) for b in pdf["blob"]]
+        number, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order = np.argsort(number, kind="stable")
+        x = number[order]
+        same = x[1:] == x[:-1]
+        mine = order[np.append(same, False) | np.append(False, same)]
+        who, what = of[mine], number[mine]
+        order = np.lexsort((what, who))
+        cut = np.flatnonzero(np.diff(who[order], prepend=-1))
+        return pd.DataFrame({"grp": pdf["grp"].to_numpy()[who[order][cut]], "blob": [pack_numbers(p) for p in np.split(what[order], cut[1:])] if len(cut) else []})
+
+    def deal(key: tuple, pdf: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        elsewhere = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack_numbers(b) for b in met["blob"])]))
+        rows = []
+        held = list(sent(pdf)) if len(pdf) else []
+        # Digits that several documents of the group have; a document in pieces may count as several.
+        own, many = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.unique(np.column_stack([short(r.digit), r.doc.astype(np.uint64)]), axis=0)[:, 0] for r, _ in held)]), return_counts=True)
+        wanted = np.union1d(elsewhere, own[many > 1])
+        for r, (ids, keys, repeated) in held:
+            rows += [(to, 0, part.pack()) for to, part in r.of(np.flatnonzero(np.isin(short(r.digit), wanted))).dealt(buckets)]
+            spans = _rows(ids, keys, repeated)
+            if len(spans):  # what the group knows already passes through a bucket as it is
+                rows.append((int(key[0]) % buckets, 1, _framed(spans)))
+        return pd.DataFrame(rows, columns=["to", "kind", "blob"])
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [_unframed(b) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
@@ -375,13 +400,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(_rows(r.ids, r.keys, resolve(r, width)))
         return pd.concat(out)
 
-    dealt = known.mapInPandas(start, sent)
-    for level in range(1, len(fans)):
-        dealt = dealt.repartition("path").mapInPandas(again(level), sent)
-    found = dealt.groupBy("path").applyInPandas(sort, "doc_id long, key long, spans binary")
-    found = found.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("found"))
+    dealt = known.withColumn("grp", grp).repartition("grp")
+    said = dealt.groupBy("grp").applyInPandas(digits, "to long, grp long, blob binary").groupBy("to").applyInPandas(meet, "grp long, blob binary")
+    moved = dealt.groupBy("grp").cogroup(said.groupBy("grp")).applyInPandas(deal, "to long, kind int, blob binary")
+    found = moved.groupBy("to").applyInPandas(sort, "doc_id long, key long, spans binary").withColumn("grp", grp)
     out = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    result = known.join(found.hint("merge"), ["doc_id", "key"], "left").select("doc_id", "text", "found").mapInPandas(_cut, out)
+    result = dealt.groupBy("grp").cogroup(found.groupBy("grp")).applyInPandas(_cut, out)
     whole = docs.where("doc_id is null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
     return result.unionAll(whole)
 
@@ -399,37 +423,24 @@ def _unframed(blob: bytes) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "key": keys, "spans": [blob[b - s : b] for s, b in zip(sizes, stops, strict=True)]})
 
 
-def _gathered(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """The rows of several frames, up to about ``most`` bytes of text."""
-    ids, keys, texts, size = [], [], [], 0
-    for pdf in frames:
-        for i, k, t in zip(pdf["doc_id"], pdf["key"], pdf["text"], strict=True):
-            ids.append(i)
-            keys.append(k)
-            texts.append((t or "").encode("utf-8", "surrogatepass"))
-            size += len(texts[-1])
-            if size >= most:
-                yield np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), texts
-                ids, keys, texts, size = [], [], [], 0
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), texts
-
-
-def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        spans, kept, sizes = [], [], []
-        for text, found in zip(pdf["text"], pdf["found"], strict=True):
-            t = (text or "").encode("utf-8", "surrogatepass")
-            own: list[tuple[int, int]] = []
-            if found is not None and len(found):
-                pairs = np.concatenate([np.frombuffer(f, dtype=np.int64).reshape(-1, 2) for f in found])
-                _, a, b = _spans(np.zeros(len(pairs), dtype=np.int64), pairs[:, 0], pairs[:, 1])
-                own = list(zip(a.tolist(), b.tolist(), strict=True))
-            edges = [0, *(x for s in own for x in s), len(t)]
-            spans.append([{"start": a, "end": b} for a, b in own])
-            kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            sizes.append(len(t))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "spans": spans, "kept": kept})
+def _cut(key: tuple, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """The group's rows with their spans and what is left."""
+    known: dict[tuple[int, int], list[bytes]] = {}
+    for i, k, s in found[["doc_id", "key", "spans"]].itertuples(index=False):
+        known.setdefault((i, k), []).append(s)
+    spans, kept, sizes = [], [], []
+    for i, k, text in pdf[["doc_id", "key", "text"]].itertuples(index=False):
+        t = (text or "").encode("utf-8", "surrogatepass")
+        own: list[tuple[int, int]] = []
+        if (i, k) in known:
+            pairs = np.concatenate([np.frombuffer(f, dtype=np.int64).reshape(-1, 2) for f in known[i, k]])
+            _, a, b = _spans(np.zeros(len(pairs), dtype=np.int64), pairs[:, 0], pairs[:, 1])
+            own = list(zip(a.tolist(), b.tolist(), strict=True))
+        edges = [0, *(x for s in own for x in s), len(t)]
+        spans.append([{"start": a, "end": b} for a, b in own])
+        kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
+        sizes.append(len(t))
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "spans": spans, "kept": kept})
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
