@@ -16,7 +16,7 @@ the contexts, and only runs that are repeated whole, one for each group, meet in
 only deal out and drop; bytes decide what is equal.
 
 The texts are exchanged once and read three times. A task holds one group or one bucket. What groups and
-buckets tell each other is never more rows than there are digits, however many of both there are.
+buckets tell each other is never more rows than there are digits, runs or spans, however many of both there are.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from tracewell.llm.common import arrow_rows
 
 WIDTH, SEED = 50, 24
 #: Bytes of text to a group of documents, to a bucket of digits and to a bucket of runs, on average.
-GROUP_BYTES, DIGIT_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20, 4 << 20
+GROUP_BYTES, DIGIT_BYTES, BUCKET_BYTES = 3 << 20, 32 << 20, 4 << 20
 #: Bytes of text that frequent strings are looked for in, of batches of 1 MB each; how often a batch must
 #: hold one. This orders the strings only; results don't depend on it.
 SAMPLE_BYTES, SAMPLE_BATCH, OFTEN, SLOTS = 8 << 20, 1 << 20, 4, 22
@@ -379,31 +379,40 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def deal(key: tuple, pdf: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         elsewhere = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack_numbers(b) for b in met["blob"])]))
-        rows = []
+        rows: list[tuple[int, int, int, bytes]] = []
         held = list(sent(pdf)) if len(pdf) else []
         # Digits that several documents of the group have; a document in pieces may count as several.
         own, many = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.unique(np.column_stack([short(r.digit), r.doc.astype(np.uint64)]), axis=0)[:, 0] for r, _ in held)]), return_counts=True)
         wanted = np.union1d(elsewhere, own[many > 1])
         for r, (ids, keys, repeated) in held:
-            rows += [(to, 0, part.pack()) for to, part in r.of(np.flatnonzero(np.isin(short(r.digit), wanted))).dealt(buckets)]
+            rows += [(to, 0, int(key[0]), part.pack()) for to, part in r.of(np.flatnonzero(np.isin(short(r.digit), wanted))).dealt(buckets)]
             spans = _rows(ids, keys, repeated)
             if len(spans):  # what the group knows already passes through a bucket as it is
-                rows.append((int(key[0]) % buckets, 1, _framed(spans)))
-        return pd.DataFrame(rows, columns=["to", "kind", "blob"])
+                rows.append((int(key[0]) % buckets, 1, int(key[0]), _framed(spans)))
+        return pd.DataFrame(rows, columns=["to", "kind", "grp", "blob"])
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [_unframed(b) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
-        parts = [Runs.unpack(b) for b in pdf.loc[pdf["kind"] == 0, "blob"]]
-        if parts:
-            r = Runs.joined(parts)
-            del parts
-            out.append(_rows(r.ids, r.keys, resolve(r, width)))
-        return pd.concat(out)
+        out = pdf.loc[pdf["kind"] == 1, ["grp", "blob"]]
+        own = pdf[pdf["kind"] == 0]
+        if not len(own):
+            return out
+        parts = [Runs.unpack(b) for b in own["blob"]]
+        home = np.repeat(own["grp"].to_numpy(np.int64), [len(p.ids) for p in parts])
+        r = Runs.joined(parts)
+        del parts
+        doc, start, stop = resolve(r, width)
+        order = np.argsort(home[doc], kind="stable")
+        doc, start, stop = doc[order], start[order], stop[order]
+        # One value for each group that is told something.
+        cut = np.flatnonzero(np.diff(home[doc], prepend=-1))
+        ends = np.append(cut[1:], len(doc))
+        told = [_framed(_rows(r.ids, r.keys, (doc[a:b], start[a:b], stop[a:b]))) for a, b in zip(cut, ends, strict=False)]
+        return pd.concat([out, pd.DataFrame({"grp": home[doc[cut]], "blob": told})])
 
     dealt = known.withColumn("grp", grp).repartition("grp")
     said = dealt.groupBy("grp").applyInPandas(digits, "to long, grp long, blob binary").groupBy("to").applyInPandas(meet, "grp long, blob binary")
-    moved = dealt.groupBy("grp").cogroup(said.groupBy("grp")).applyInPandas(deal, "to long, kind int, blob binary")
-    found = moved.groupBy("to").applyInPandas(sort, "doc_id long, key long, spans binary").withColumn("grp", grp)
+    moved = dealt.groupBy("grp").cogroup(said.groupBy("grp")).applyInPandas(deal, "to long, kind int, grp long, blob binary")
+    found = moved.groupBy("to").applyInPandas(sort, "grp long, blob binary")
     out = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     result = dealt.groupBy("grp").cogroup(found.groupBy("grp")).applyInPandas(_cut, out)
     whole = docs.where("doc_id is null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
@@ -426,8 +435,9 @@ def _unframed(blob: bytes) -> pd.DataFrame:
 def _cut(key: tuple, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """The group's rows with their spans and what is left."""
     known: dict[tuple[int, int], list[bytes]] = {}
-    for i, k, s in found[["doc_id", "key", "spans"]].itertuples(index=False):
-        known.setdefault((i, k), []).append(s)
+    for blob in found["blob"]:
+        for i, k, s in _unframed(blob).itertuples(index=False):
+            known.setdefault((i, k), []).append(s)
     spans, kept, sizes = [], [], []
     for i, k, text in pdf[["doc_id", "key", "text"]].itertuples(index=False):
         t = (text or "").encode("utf-8", "surrogatepass")
