@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+import numpy as np
+
 from tracewell.llm import decontam
 
 ITEM = [f"w{i}" for i in range(38)]
@@ -37,3 +39,30 @@ def test_short_document_is_dropped(spark):
     bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontam.leaks(docs, bench).collect()] == [(1, 1, 0, 37)]
     assert [r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()] == [2]
+
+
+def test_tables_find_all_within_the_radius():
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 30))) for i in range(400)]
+    index = decontam.Index(items)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)) if n else np.uint64(0) for n in rng.integers(0, 30, 300)]
+    prints = index.prints[rng.integers(0, 400, 300)] ^ np.array(flips, dtype=np.uint64)
+    want = {(w, i) for w in range(300) for i in range(400) if int(np.bitwise_count(prints[w] ^ index.prints[i])) <= index.radius}
+    assert index.lookup(30, prints) == want
+
+
+def test_recall_at_the_threshold():
+    """Edited copies of items around a similarity of 0.8, against every window compared exactly."""
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 2000, int(rng.integers(30, 70))))) for i in range(60)]
+    docs = []
+    for k in range(400):
+        words = items[int(rng.integers(0, 60))][1].split()
+        for at in rng.choice(len(words), int(rng.integers(0, 3)), replace=False):
+            words[at] = f"x{k}"
+        pad = [f"p{x}" for x in rng.integers(0, 500, 20)]
+        docs.append((k, " ".join(pad + words + pad)))
+    want = decontam.brute(docs, items)
+    index = decontam.Index(items)
+    got = {(d, x[0]) for d, t in docs for x in index.search(t)}
+    assert len(want) > 200 and got <= set(want) and len(got) / len(want) >= 0.99
