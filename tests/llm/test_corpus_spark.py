@@ -208,3 +208,39 @@ def test_chat(spark):
         assert sum(n for n, _ in runs) == len(r["text"]) and sum(n * f for n, f in runs) == r["n_trained"]
     assert chat.perspectives(df.limit(0)).count() == 0
     assert json.dumps([r["text"] for r in got.where("conv_id = 3").collect()]).count("< |im_end|>") == 1
+
+
+def test_sharding_keeps_columns_of_any_name(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}", "p", "r", "s", {"m": i}) for i in range(40)], "doc_id long, text string, path string, run string, shard string, _metadata map<string,int>")
+    out = sharding.shard_documents(rows.repartition(8), str(tmp_path / "store"), target=1 << 20, small_rows=3)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(40)) and out.select("shard").distinct().count() == 1
+    back = sharding.Store(spark, str(tmp_path / "store")).read(None, "file")
+    assert sorted((r["doc_id"], r["text"], r["path"], r["run"], r["shard"], r["_metadata"]["m"]) for r in back.collect()) == [(i, f"t{i}", "p", "r", "s", i) for i in range(40)]
+
+
+def test_pipeline_runs_whole(spark, sf, tmp_path):
+    """Every stage's decisions take effect: the shards hold the words that mixing took of what the stages before kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept.count()
+        kept = stage(spark, kept, sf)
+        kept.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        assert kept.columns == docs.columns and (name == "mixing" or kept.count() < before)
+    out = corpus_pipeline.run(spark, sf, str(tmp_path / "corpus"))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in kept.collect())
+    store = sharding.Store(spark, str(tmp_path / "corpus"))
+    assert sorted(r["text"] for r in store.read().collect()) == sorted(r["text"] for r in kept.collect())
+
+
+def test_quality_on_held_out_rows(spark, sf):
+    """Held-out labels: the area under the curve, by ranks."""
+    scored = quality.op5_quality(spark, "/root/testdata/sf0.01").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    rows = sorted((r["score"], r["quality"]) for r in scored.join(labels, "doc_id").collect())
+    ranks = [i + 1 for i, (_, q) in enumerate(rows) if q == 1]
+    good, bad = len(ranks), len(rows) - len(ranks)
+    assert good and bad and (sum(ranks) - good * (good + 1) / 2) / (good * bad) >= 0.95
