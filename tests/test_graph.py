@@ -83,6 +83,27 @@ def test_longest_trail_walks_a_loop_once(spark):
     assert [r["chain"] for r in T.longest_trail(e, starts(spark, "z"), ["DERIVES_FROM"]).collect()] == [["x", "y", "y", "z"]]
 
 
+def test_longest_trail_finds_out_about_cycles(spark, monkeypatch):
+    walks, walk = [], T._walk
+    monkeypatch.setattr(T, "_walk", lambda *a, **k: walks.append(k["least"]) or walk(*a, **k))
+    dense = [(f"{i}{a}", f"{i + 1}{b}") for i in range(4) for a in "xyz" for b in "xyz"]
+    trail = lambda pairs, *ids, **k: sorted((r["start"], r["chain"]) for r in T.longest_trail(edges(spark, *pairs), starts(spark, *ids), ["DERIVES_FROM"], **k).collect())
+    assert trail(dense + dense, "4y", "0x") == [("4y", ["0x", "1x", "2x", "3x", "4y"])] and walks == [True]
+    # A walk that may take an edge again goes round the loop; the trail doesn't.
+    assert trail([("a", "b"), ("b", "c"), ("c", "b"), ("b", "d")], "d") == [("d", ["a", "b", "c", "b", "d"])] and walks == [True, True, False]
+    # Deeper than the depth: walked as before.
+    long = [(f"{i:02}", f"{i + 1:02}") for i in range(12)]
+    assert trail(long, "12") == trail(long, "12", acyclic=False) == []
+    assert trail(long, "05") == [("05", [f"{i:02}" for i in range(6)])]
+
+
+def test_reach_takes_repeated_edges(spark):
+    e = edges(spark, *[("a", "b"), ("b", "c"), ("c", "a")] * 3)
+    assert sorted(map(tuple, T.bfs(T.hops(e), starts(spark, "a", "a"), parents=True).collect())) == [("b", 1, "a"), ("c", 2, "b")]
+    n = spark.createDataFrame([("a",), ("d",)], "node_id string")
+    assert sorted(map(tuple, T.fan_out(n, e, ["DERIVES_FROM"]).collect())) == [("a", 1), ("d", 0)]
+
+
 def test_scores(spark):
     rows = [(f, t, c) for f in (0, 1, 2, 3, 10, 500) for t, c in (("P2", "daily"), ("P0", "hourly"))]
     df = spark.createDataFrame(rows, "f int, t string, c string")

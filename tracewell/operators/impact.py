@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.model import LABELS, RELATIONSHIPS, SLA_TIERS
 from tracewell.operators.traverse import DEPTH, bfs, fan_out, longest_trail, paths_from
-from tracewell.runtime import materialize
+from tracewell.runtime import materialize, stored
 
 #: Fixed values of the score: weights of tiers and cadences, parts of the sum, full fan-out, rows kept.
 SLA_WEIGHT = {"P0": 1.0, "P1": 0.6, "P2": 0.2}
@@ -89,12 +89,16 @@ def affected(nodes: DataFrame, edges: DataFrame, starts: DataFrame, semantics: s
     then the datasets of the reached columns, the transforms that consume, and the dashboards,
     features and pipelines behind those are attached, without spreading to sibling columns.
     """
+    edges = stored(edges.select("src", "dst", "rel_type", "transform_id"), "edges")
     if semantics == "as_implemented":
-        reach = bfs(edges.select("src", "dst").distinct(), starts, depth)
+        reach = bfs(edges.select("src", "dst"), starts, depth)
         rels = [r for r in RELATIONSHIPS if r != "PART_OF"] if column else RELATIONSHIPS
-        return materialize(reach.select("node_id").join(fan_out(nodes, edges, rels), "node_id"), "affected")
-    flow = materialize(flow_edges(nodes, edges), "flow")
-    kinds = lambda *k: flow.where(F.col("rel_type").isin(*k)).select("src", "dst").distinct()
+        reach = materialize(reach.select("node_id"), "reached")
+        # Only what was reached is counted.
+        near = edges.join(reach.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+        return materialize(fan_out(reach, near, rels), "affected")
+    flow = flow_edges(nodes, edges)
+    kinds = lambda *k: flow.where(F.col("rel_type").isin(*k)).select("src", "dst")
     if column:
         cols = materialize(bfs(kinds("FEEDS"), starts, depth).select("node_id"), "reached-columns")
         step = lambda a, e: a.select(F.col("node_id").alias("src")).join(e, "src").select(F.col("dst").alias("node_id"))
@@ -107,8 +111,11 @@ def affected(nodes: DataFrame, edges: DataFrame, starts: DataFrame, semantics: s
         found = cols.unionAll(sets).unionAll(users).unionAll(pipes).distinct().join(starts, "node_id", "left_anti")
     else:
         found = bfs(kinds("FEEDS", "READ_BY", "WRITES_TO", "PRODUCES", "CONSUMED_BY", "RUNS_IN"), starts, depth).select("node_id")
-        found = found.join(nodes.where("label <> 'Column'").select("node_id"), "node_id", "left_semi")
-    fan = flow.select("src", "dst").distinct().groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("fan_out"))
+        found = nodes.where("label <> 'Column'").select("node_id").join(found, "node_id", "left_semi").distinct()
+    found = materialize(found, "found")
+    # Only what was found is counted.
+    own = flow.select("src", "dst").join(found.select(F.col("node_id").alias("src")), "src", "left_semi").distinct()
+    fan = own.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("fan_out"))
     return materialize(found.join(fan, "node_id", "left").select("node_id", F.coalesce("fan_out", F.lit(0)).alias("fan_out")), "affected")
 
 
@@ -194,6 +201,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, change: SchemaChange, seman
     began, key = time.perf_counter(), cache_key(change) + ":" + semantics
     held = cache.get(key) if cache else None
     if held is None:
+        edges = stored(edges.select("src", "dst", "rel_type", "transform_id"), "edges")
         starts, column = materialize(starts_of(nodes, change, project), "starts"), change.column is not None
         reach = affected(nodes, edges, starts, semantics, column)
         assets = materialize(ranked(nodes, reach, change, column, semantics), "assets")
@@ -207,4 +215,4 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, change: SchemaChange, seman
 
 def asset_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(node_id, path): how a change gets from its start to each asset along the flow."""
-    return paths_from(flow_edges(nodes, edges).select("src", "dst").distinct(), starts, depth)
+    return paths_from(flow_edges(nodes, edges).select("src", "dst"), starts, depth)

@@ -11,25 +11,28 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.runtime import materialize
+from tracewell.runtime import counted, materialize, stored
 
 DEPTH = 8
 
 
 def hops(edges: DataFrame, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
-    """(src, dst) pairs of the relationship types (G21), forward, backward or both ways."""
+    """(src, dst) pairs of the relationship types (G21), forward, backward or both ways (G12); a pair
+    stands as often as there are edges of it, for making pairs distinct shuffles the whole graph."""
     own = edges if rels is None else edges.where(F.col("rel_type").isin(*rels))
     ahead, back = own.select("src", "dst"), own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"out": ahead, "in": back, "both": ahead.unionAll(back)}[direction].distinct()
+    return {"out": ahead, "in": back, "both": ahead.unionAll(back)}[direction]
 
 
 def bfs(pairs: DataFrame, starts: DataFrame, depth: int = DEPTH, parents: bool = False) -> DataFrame:
     """(node_id, level) of the nodes within ``depth`` hops of the starts (column node_id), each once,
     without the starts (G01, G02, G09-G14, G22). With ``parents`` also the least predecessor.
 
-    Cycles and loops end at what was visited. No starts or edges: no rows.
+    Cycles and loops end at what was visited. No starts or edges: no rows. Pairs may repeat; each hop
+    scans them and lets what it reached be distinct. Pairs that aren't scanned from files are written
+    first.
     """
-    pairs = materialize(pairs.select("src", "dst"), "bfs-edges")
+    pairs = stored(pairs.select("src", "dst"), "bfs-edges")
     visited = [starts.select("node_id").distinct()]
     levels: list[DataFrame] = []
     frontier = visited[0]
@@ -37,8 +40,8 @@ def bfs(pairs: DataFrame, starts: DataFrame, depth: int = DEPTH, parents: bool =
         reached = frontier.select(F.col("node_id").alias("src")).join(pairs, "src")
         reached = reached.groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
         seen = reduce(DataFrame.unionAll, visited)
-        frontier = materialize(reached.join(seen, "node_id", "left_anti").withColumn("level", F.lit(level)), "bfs-level")
-        if frontier.isEmpty():
+        frontier, n = counted(reached.join(seen, "node_id", "left_anti").withColumn("level", F.lit(level)), "bfs-level")
+        if not n:
             break
         levels.append(frontier)
         visited.append(frontier.select("node_id"))
@@ -60,32 +63,49 @@ def paths_from(pairs: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataF
 
 def fan_out(nodes: DataFrame, edges: DataFrame, rels: list[str], direction: str = "in") -> DataFrame:
     """(node_id, fan_out): distinct neighbours by the relationship types; 0 without any."""
-    near = hops(edges, rels, direction).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("fan_out"))
+    near = hops(edges, rels, direction).distinct().groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("fan_out"))
     return nodes.select("node_id").join(near, "node_id", "left").select("node_id", F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
-def longest_trail(edges: DataFrame, starts: DataFrame, rels: list[str], depth: int = DEPTH, acyclic: bool = False, direction: str = "in") -> DataFrame:
+def longest_trail(edges: DataFrame, starts: DataFrame, rels: list[str], depth: int = DEPTH, acyclic: bool | None = None, direction: str = "in") -> DataFrame:
     """(start, chain): the longest trail that ends at each start and begins at a node without incoming
     edges, as node ids; of equals the least chain (G07, G08). No edge is walked twice.
 
-    Trails multiply in dense graphs; with ``acyclic`` only the least chain to each node is kept per
-    hop, which gives the same result on graphs without cycles at the cost of one row a node.
+    With ``acyclic`` only the least chain to each node is kept per hop, which gives the same result on
+    graphs without cycles at the cost of one row a node. None finds out: walks that end within the
+    depth met no cycle, which would go on for ever; otherwise all trails are walked, and those multiply
+    in dense graphs.
     """
-    back = materialize(hops(edges, rels, direction), "trail-edges")
+    back = stored(hops(edges, rels, direction), "trail-edges")
+    if acyclic is None:
+        chains, ended = _walk(back, starts, depth, least=True, again=True)
+        if not ended:
+            chains, _ = _walk(back, starts, depth, least=False)
+    else:
+        chains, _ = _walk(back, starts, depth, least=acyclic)
+    whole = chains.join(back.select(F.col("src").alias("node_id")), "node_id", "left_anti")
+    return whole.groupBy("start").agg(F.min(F.struct((-F.size("chain")).alias("n"), "chain")).alias("best")).select("start", "best.chain")
+
+
+def _walk(back: DataFrame, starts: DataFrame, depth: int, least: bool, again: bool = False) -> tuple[DataFrame, bool]:
+    """(start, node_id, chain) of all hops, and whether the walks ended within the depth. ``least`` keeps
+    one chain a node and hop; ``again`` lets a walk take an edge twice."""
     now = starts.select(F.col("node_id").alias("start"), "node_id").distinct().select("start", "node_id", F.array("node_id").alias("chain"), F.expr("cast(array() as array<string>)").alias("used"))
     found = []
     for _ in range(depth):
         edge = F.concat_ws("\u0001", "node_id", "dst")
-        step = now.join(back.select(F.col("src").alias("node_id"), "dst"), "node_id").withColumn("edge", edge).where(~F.expr("array_contains(used, edge)"))
-        step = step.select("start", F.col("dst").alias("node_id"), F.concat(F.array("dst"), "chain").alias("chain"), F.concat("used", F.array("edge")).alias("used"))
-        if acyclic:
+        step = now.join(back.select(F.col("src").alias("node_id"), "dst"), "node_id").withColumn("edge", edge)
+        if not again:
+            step = step.where(~F.expr("array_contains(used, edge)"))
+        used = F.col("used") if again else F.concat("used", F.array("edge"))
+        step = step.select("start", F.col("dst").alias("node_id"), F.concat(F.array("dst"), "chain").alias("chain"), used.alias("used"))
+        if least:
             step = step.groupBy("start", "node_id").agg(F.min(F.struct("chain", "used")).alias("best")).select("start", "node_id", "best.chain", "best.used")
-        now = materialize(step, "trail-level")
-        if now.isEmpty():
+        else:
+            step = step.distinct()
+        now, n = counted(step, "trail-level")
+        if not n:
             break
         found.append(now)
-    if not found:
-        return now.select("start", "chain")
-    inner = back.select(F.col("src").alias("node_id")).distinct()
-    whole = reduce(DataFrame.unionAll, found).join(inner, "node_id", "left_anti")
-    return whole.groupBy("start").agg(F.min(F.struct((-F.size("chain")).alias("n"), "chain")).alias("best")).select("start", "best.chain")
+    ended = len(found) < depth
+    return (reduce(DataFrame.unionAll, found) if found else now).select("start", "node_id", "chain"), ended

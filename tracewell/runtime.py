@@ -6,7 +6,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The materialized rows and their number, which the write itself counts."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
+#: Nodes of plans that only read: running such a plan again costs a scan.
+_SCANS = {"LogicalRelation", "LocalRelation", "Project", "Filter", "Union"}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows for many reads: as they are if they are scanned from files, else written once."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName().split()[0] not in _SCANS and not plan.nodeName().startswith("Relation"):
+            return materialize(df, name)
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return df
+
+
 #: The paths of materialized tables that are still in use.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
