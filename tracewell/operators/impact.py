@@ -89,7 +89,7 @@ def affected(nodes: DataFrame, edges: DataFrame, starts: DataFrame, semantics: s
     then the datasets of the reached columns, the transforms that consume, and the dashboards,
     features and pipelines behind those are attached, without spreading to sibling columns.
     """
-    edges = stored(edges.select("src", "dst", "rel_type", "transform_id"), "edges")
+    edges = stored(edges.select("src", "dst", "rel_type", "transform_id"), "edges", by="rel_type")
     if semantics == "as_implemented":
         reach = bfs(edges.select("src", "dst"), starts, depth)
         rels = [r for r in RELATIONSHIPS if r != "PART_OF"] if column else RELATIONSHIPS
@@ -201,7 +201,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, change: SchemaChange, seman
     began, key = time.perf_counter(), cache_key(change) + ":" + semantics
     held = cache.get(key) if cache else None
     if held is None:
-        edges = stored(edges.select("src", "dst", "rel_type", "transform_id"), "edges")
+        edges = stored(edges.select("src", "dst", "rel_type", "transform_id"), "edges", by="rel_type")
         starts, column = materialize(starts_of(nodes, change, project), "starts"), change.column is not None
         reach = affected(nodes, edges, starts, semantics, column)
         assets = materialize(ranked(nodes, reach, change, column, semantics), "assets")

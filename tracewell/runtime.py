@@ -29,10 +29,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows and reads them back: the lineage is cut by files that outlive any executor."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes the rows, in a folder for each value of ``by``, and reads them back: the lineage is cut by
+    files that outlive any executor."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
@@ -49,13 +50,13 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 _SCANS = {"LogicalRelation", "LocalRelation", "Project", "Filter", "Union"}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows for many reads: as they are if they are scanned from files, else written once."""
     plans = [df._jdf.queryExecution().optimizedPlan()]
     while plans:
         plan = plans.pop()
         if plan.nodeName().split()[0] not in _SCANS and not plan.nodeName().startswith("Relation"):
-            return materialize(df, name)
+            return materialize(df, name, by)
         plans += [plan.children().apply(i) for i in range(plan.children().size())]
     return df
 
