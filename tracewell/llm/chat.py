@@ -5,7 +5,8 @@ as the assistant's, the other speakers as users by name, and a mask that trains
 turns alone. Narrators (the system) speak in every rendering and are nobody's perspective.
 
 Dialogues are rendered in parts of ``PART`` turn numbers, so no group grows with a dialogue's length;
-a dialogue's parts in order are the whole.
+a rendering is its parts in order, and each turn, a narrator's too, stands in the part of its number
+only. To train on a part alone, put the narrator's opening turn of part 0 before it.
 """
 
 from __future__ import annotations
