@@ -169,6 +169,19 @@ def test_pattern_and_questions(spark):
     assert nlq.raw_query(spark, "select name from nodes where label = :l", {"l": "Pipeline"}, nodes=n).count() == 1
 
 
+def test_evaluation_files(spark, tmp_path):
+    asked = [{"id": 1, "question": "List all P0 dashboards", "expected_result_contains": ["north"], "expected_min_results": 1}, {"question": "what else?", "expected_result_contains": None}]
+    (tmp_path / "q.json").write_text(json.dumps(asked, indent=1))
+    read = nlq.questions(spark, str(tmp_path / "q.json"))
+    assert read[0] == {k: asked[0][k] for k in read[0]} and read[1] == {"question": "what else?", "expected_result_contains": [], "expected_min_results": 0}
+    found = lambda q, n, e: spark.createDataFrame([("North sales",)], "name string") if "P0" in q else None
+    result = nlq.evaluate(read, None, None, translator=found)
+    for _ in range(2):
+        nlq.save_evaluation(spark, result, str(tmp_path / "r"))
+    row = spark.read.json(str(tmp_path / "r")).collect()
+    assert len(row) == 1 and (row[0]["accuracy"], row[0]["passed"], row[0]["total"]) == (0.5, 1, 2) and [r["passed"] for r in row[0]["results"]] == [True, False]
+
+
 def test_streams(spark, tmp_path):
     from tracewell.streaming import cdc
 

@@ -260,3 +260,15 @@ def evaluate(questions: list[dict], nodes: DataFrame, edges: DataFrame, translat
         missing = [x for x in q["expected_result_contains"] if not any(x.lower() in s for s in said)]
         results.append({"question": q["question"], "passed": got["validated"] and not missing and len(rows) >= q["expected_min_results"], "missing": missing, "rows": len(rows)})
     return {"accuracy": sum(r["passed"] for r in results) / max(1, len(results)), "passed": sum(r["passed"] for r in results), "total": len(results), "results": results}
+
+
+def questions(spark: SparkSession, path: str) -> list[dict]:
+    """A10: the questions of an evaluation, a JSON array of objects; without expectations any rows will do."""
+    rows = spark.read.schema("question string, expected_result_contains array<string>, expected_min_results int").json(path, multiLine=True)
+    return [{"question": r[0] or "", "expected_result_contains": r[1] or [], "expected_min_results": r[2] or 0} for r in rows.collect()]
+
+
+def save_evaluation(spark: SparkSession, result: dict, path: str) -> None:
+    """The result of an evaluation as one JSON row, in place of an earlier one."""
+    schema = "accuracy double, passed long, total long, results array<struct<question:string,passed:boolean,missing:array<string>,rows:long>>"
+    spark.createDataFrame([result], schema).coalesce(1).write.mode("overwrite").json(path)
