@@ -213,6 +213,13 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, change: SchemaChange, seman
     return held | {"change": change, "duration_ms": round((time.perf_counter() - began) * 1000, 2)}
 
 
+def clicked(node_type: str, name: str, dataset: str | None = None) -> SchemaChange | None:
+    """The change that a click on a node asks about; other nodes than columns and datasets ask nothing."""
+    if node_type == "Column":
+        return SchemaChange(name if dataset is None else dataset, name)
+    return SchemaChange(name) if node_type == "Dataset" else None
+
+
 def asset_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(node_id, path): how a change gets from its start to each asset along the flow."""
     return paths_from(flow_edges(nodes, edges).select("src", "dst"), starts, depth)

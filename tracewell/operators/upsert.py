@@ -199,17 +199,17 @@ class GraphStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/versions/v{v[-1][0]:08d}/{name}")
 
-    def apply(self, events: DataFrame, batch: str) -> bool:
-        """Folds a batch of events into the store; False if the batch was applied before. A writer that
-        finds its version taken folds the batch into the new one."""
+    def apply(self, events: DataFrame, batch: str, assets: tuple[DataFrame, DataFrame] | None = None) -> bool:
+        """Folds a batch of events, and nodes and edges that no event makes, into the store; False if the
+        batch was applied before. A writer that finds its version taken folds the batch into the new one."""
         for _ in range(self.tries):
             try:
-                return self._apply(events, batch)
+                return self._apply(events, batch, assets)
             except Conflict:
                 continue
         raise Conflict(f"batch {batch}: other writers were first {self.tries} times")
 
-    def _apply(self, events: DataFrame, batch: str) -> bool:
+    def _apply(self, events: DataFrame, batch: str, assets: tuple[DataFrame, DataFrame] | None) -> bool:
         done = self.versions()
         if any(b == batch for _, b in done):
             return False
@@ -217,8 +217,11 @@ class GraphStore:
         draft = f"drafts/{uuid.uuid4().hex}"
         stored = self.nodes()
         # Sorted within a label's files, so that a name's row groups are found by their statistics.
-        merge_nodes(stored, event_nodes(ev)).sortWithinPartitions("label", "name").write.partitionBy("label").parquet(f"{self.root}/{draft}/nodes")
-        merge_edges(self.edges(), event_edges(ev, self.semantics, stored)).write.partitionBy("rel_type").parquet(f"{self.root}/{draft}/edges")
+        nodes, edges = event_nodes(ev), event_edges(ev, self.semantics, stored)
+        if assets:
+            nodes, edges = nodes.unionByName(assets[0]), edges.unionByName(assets[1])
+        merge_nodes(stored, nodes).sortWithinPartitions("label", "name").write.partitionBy("label").parquet(f"{self.root}/{draft}/nodes")
+        merge_edges(self.edges(), edges).write.partitionBy("rel_type").parquet(f"{self.root}/{draft}/edges")
         self.spark.createDataFrame([("\n".join([*[b for _, b in done], batch]),)], "value string").coalesce(1).write.text(f"{self.root}/{draft}/batches")
         jvm, fs = self.spark._jvm, self._path("").getFileSystem(self._conf())
         fs.mkdirs(self._path("versions"))

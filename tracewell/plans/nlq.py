@@ -29,6 +29,15 @@ SUGGESTIONS = [
 ]
 WRITING = ["CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP"]
 ALLOWED = [*LABELS, "Snapshot"]
+#: Fixed values of the service: properties that a query may name, by label.
+PROPERTIES = {
+    "Dataset": ["name", "project", "source_type", "created_at", "last_seen_at", "commit_id"],
+    "Column": ["name", "dataset", "project", "created_at", "last_seen_at"],
+    "Transform": ["transform_id", "name", "project", "pipeline_name", "source_type", "llm_inferred", "raw_sql", "commit_id"],
+    "Pipeline": ["name", "project", "source_type"],
+    "Dashboard": ["name", "sla_tier", "freshness_cadence", "owner"],
+    "MLFeature": ["name", "project", "sla_tier", "freshness_cadence"],
+}
 
 
 class Translator(Protocol):
@@ -42,8 +51,23 @@ def strip_fences(text: str) -> str:
     return "\n".join(x for x in text.strip().split("\n") if not x.strip().startswith("```")).strip()
 
 
-def validate(query: str, semantics: str = "documented") -> list[str]:
-    """Everything that is wrong with a query; nothing: it may run.
+def suggested(shown: int = 6) -> list[str]:
+    """The suggestions that are shown."""
+    return SUGGESTIONS[:shown]
+
+
+def unknown_properties(query: str) -> list[str]:
+    """Errors for properties that the label of their node doesn't have, in the node's braces or after
+    its variable. Nodes without a label and labels without a list may have any."""
+    bare = re.sub(r"'[^']*'|\"[^\"]*\"", "''", query)
+    named = re.findall(r"\(\s*(\w*)\s*:\s*(\w+)\s*(?:\{([^}]*)\})?", bare)
+    used = [(label, p) for _, label, props in named for p in re.findall(r"(\w+)\s*:", props)]
+    used += [(label, p) for var, label, _ in named if var for p in re.findall(rf"(?<![\w.]){var}\.(\w+)", bare)]
+    return [f"unknown property: {label}.{p}" for label, p in sorted(set(used)) if p not in PROPERTIES.get(label, [p])]
+
+
+def validate(query: str, semantics: str = "documented", properties: bool = False) -> list[str]:
+    """Everything that is wrong with a query; nothing: it may run. With ``properties`` also J10.
 
     as_implemented looks at labels and types as its patterns find them; documented reads the node and
     relationship patterns themselves, so that ``count(DISTINCT x)`` is no label and ``(t:Table)`` is."""
@@ -62,7 +86,7 @@ def validate(query: str, semantics: str = "documented") -> list[str]:
     errors += [f"unknown label: {x}" for x in sorted(set(labels))]
     errors += [f"unknown relationship: {x}" for x in sorted(set(types)) if x not in RELATIONSHIPS]
     errors += [f"writing is not allowed: {w}" for w in WRITING if re.search(rf"\b{w}\b", text, re.I)]
-    return errors
+    return errors + unknown_properties(query) if properties else errors
 
 
 def validated(queries: DataFrame, column: str = "query") -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.request import urlopen
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,17 +68,30 @@ def events(subjects: DataFrame, project: str, topics: str | None = None, commit:
     )
 
 
-def fetch(get, subject_list: str = "/subjects", latest: str = "/subjects/{}/versions/latest") -> list[dict]:
-    """All subjects' latest schemas by ``get(path) -> object``; a failing subject is left out, a failing list is empty."""
+def http(base: str, timeout: float = 10) -> Callable[[str], object]:
+    """``get`` for a registry's address."""
+
+    def get(path: str) -> object:
+        with urlopen(base.rstrip("/") + path, timeout=timeout) as answer:
+            return json.load(answer)
+
+    return get
+
+
+def fetch(get: Callable[[str], object], subject_list: str = "/subjects", latest: str = "/subjects/{}/versions/latest", at_once: int = 16) -> list[dict]:
+    """All subjects' latest schemas by ``get(path) -> object``, so many at once, in the list's order;
+    a failing subject is left out, a failing list is empty."""
+
+    def one(s: str) -> dict | None:
+        try:
+            got = get(latest.format(s))
+        except (OSError, ValueError):
+            return None
+        return {"subject": s, "version": got.get("version", 1), "schemaType": got.get("schemaType", "AVRO"), "schema": got.get("schema", "")}
+
     try:
         subjects = get(subject_list)
-    except OSError:
+    except (OSError, ValueError):
         return []
-    out = []
-    for s in subjects:
-        try:
-            got = get(latest.format(s))
-        except OSError:
-            continue
-        out.append({"subject": s, "version": got.get("version", 1), "schemaType": got.get("schemaType", "AVRO"), "schema": got.get("schema", "")})
-    return out
+    with ThreadPoolExecutor(at_once) as pool:
+        return [x for x in pool.map(one, subjects) if x]
