@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, url_templates
+from tracewell.llm import chat, divergence, url_templates
 from tracewell.llm.ann import op8_ann
 from tracewell.llm.decontam import op2_decontamination
+from tracewell.llm.divergence import op11_source_divergence
 from tracewell.llm.mixing import op1_mixing
 from tracewell.llm.quality import op5_quality
 from tracewell.llm.secrets import op7_secret_scan
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_sharding": op9_sharding,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 #: DuckDB SQL where it can express the operator; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op3_chat_format": chat.oracle(), "op4_url_filter": url_templates.oracle()}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.oracle(), "op4_url_filter": url_templates.oracle(), "op11_source_divergence": divergence.oracle()}
