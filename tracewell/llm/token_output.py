@@ -7,9 +7,11 @@ a task has met is not encoded again.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,13 @@ from tracewell.llm.token_blocks import TokenBlocks
 END = 1
 #: Bytes of a text that are taken apart at once.
 STRETCH = 4 << 20
-#: Words and ids that a task keeps encoded.
-KEPT_WORDS, KEPT_IDS = 200_000, 4_000_000
+#: Words and ids that a worker keeps encoded.
+KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
+#: Latin letters, which stay as they are but for their case, and punctuation that no contraction and no special token begins with.
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
+#: How byte-level vocabularies write the bytes of these letters: printable ones stand for themselves, others move up.
+BYTE_LEVEL = {c: "".join(chr(b) if 0x21 <= b <= 0x7E or 0xA1 <= b != 0xAD else chr(0x100 + [*range(0x21), *range(0x7F, 0xA1), 0xAD].index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
@@ -39,43 +45,91 @@ def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
 
 
 class Encoder:
-    """The ids of texts, each word encoded once while it is kept."""
+    """The ids of texts, each word encoded once while it is kept.
 
-    def __init__(self, path: str):
+    A word of Latin letters, with or without punctuation behind it, is what the tokenizer's normaliser and
+    pre-tokenizer make of it (``plain``), so its model is asked at once; other words take the whole way.
+    """
+
+    def __init__(self, path: str, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), plain
+        self.model = self.tokenizer.model
         self._empty()
 
     def _empty(self) -> None:
         self.words: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.ids, self.ends = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64)
 
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _part(self, part: str, letters: bool) -> list[int]:
+        if (found := self.parts.get(part)) is None:
+            found = self.parts[part] = [t.id for t in self.model.tokenize(part.translate(BYTE_LEVEL))] if letters else self._whole([part])[0]
+        return found
+
     def _keep(self, words: list[bytes]) -> None:
-        known, encoded = len(self.words), self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        known, ids, rest = len(self.words), [], []
+        for k, w in enumerate(words):
+            if self.plain and (m := LATIN.fullmatch(w.decode())):
+                ids.append(self._part(m[1].lower(), True) + self._part(m[2], False))
+            else:
+                ids.append([])
+                rest.append(k)
+        for k, found in zip(rest, self._whole([words[k].decode() for k in rest]), strict=True):
+            ids[k] = found
         at = int(self.ends[known])
-        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in encoded])
-        ends = at + np.cumsum([len(e.ids) for e in encoded])
-        while len(self.ids) < at + len(ids):
+        flat, ends = np.array([x for i in ids for x in i], dtype=np.uint32), at + np.cumsum([len(i) for i in ids])
+        while len(self.ids) < at + len(flat):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         while len(self.ends) <= known + len(words):
             self.ends = np.append(self.ends, np.zeros_like(self.ends))
-        self.ids[at : at + len(ids)], self.ends[known + 1 : known + 1 + len(words)] = ids, ends
+        self.ids[at : at + len(flat)], self.ends[known + 1 : known + 1 + len(words)] = flat, ends
         self.words.update(zip(words, range(known, known + len(words)), strict=True))
 
-    def encode(self, text: str) -> np.ndarray:
-        out = [np.zeros(0, dtype=np.uint32)]
-        for part in stretches(text.encode()):
-            words = part.split()
-            if new := list(set(words).difference(self.words)):
-                self._keep(new)
-            k = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-            n = self.ends[k + 1] - self.ends[k]
-            out.append(self.ids[np.repeat(self.ends[k] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-            if len(self.words) > KEPT_WORDS or self.ends[len(self.words)] > KEPT_IDS:
-                self._empty()
-        return np.concatenate(out)
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after the other, and how many each has."""
+        if new := list(set(words).difference(self.words)):
+            self._keep(new)
+        k = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        n = self.ends[k + 1] - self.ends[k]
+        ids = self.ids[np.repeat(self.ends[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        if len(self.words) > KEPT_WORDS or self.ends[len(self.words)] > KEPT_IDS:
+            self._empty()
+        return ids, n
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and how many each text has; about ``STRETCH`` bytes at once."""
+        ids, of, n, held, docs, size = [np.zeros(0, dtype=np.uint32)], [], [], [], [], 0
+
+        def flush() -> None:
+            got, many = self._words(list(chain.from_iterable(held)))
+            ids.append(got)
+            of.append(np.repeat(docs, [len(w) for w in held]))
+            n.append(many)
+
+        for k, text in enumerate(texts):
+            for part in stretches(text):
+                held.append(part.split())
+                docs.append(k)
+                size += len(part)
+                if size >= STRETCH:
+                    flush()
+                    held, docs, size = [], [], 0
+        if held:
+            flush()
+        total = np.bincount(np.concatenate(of), weights=np.concatenate(n), minlength=len(texts)) if of else np.zeros(len(texts))
+        return np.concatenate(ids), total.astype(np.int64)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, which its tasks share."""
+    return Encoder(path)
 
 
 def encoded(docs: DataFrame, tokenizer: str, end: int | None = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,15 +141,17 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None = END, id_col: str
     however long; other columns are not read. No rows: no rows.
     """
     arrow_rows(docs.sparkSession, 2000)
-    last = np.array([] if end is None else [end], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
         for batch in batches:
-            ids = [np.append(encoder.encode(t or ""), last) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([x.astype("<u4").tobytes() for x in ids], type=pa.binary())], names=["doc_id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+            ids, n = encoder(tokenizer).encode(batch.column("text").cast(pa.binary()).to_pylist())
+            if end is not None:
+                ids, n = np.insert(ids, np.cumsum(n), end), n + 1
+            offsets = np.append(0, np.cumsum(n) * 4).astype(np.int64)
+            held = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+            yield pa.record_batch([batch.column("doc_id"), held.cast(pa.binary())], names=["doc_id", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     return rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie").mapInArrow(run, "doc_id long, ids binary")
 
 
