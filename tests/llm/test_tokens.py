@@ -48,7 +48,7 @@ def test_outliers_stay_out_of_the_width():
 
 def test_words_give_the_ids_of_the_whole_text(tokenizer):
     draw = random.Random(2)
-    odd = ["it's", "IT'S", "don't'", "café", "café", "́", "ẛ̣", " ", " ", "\x1c", "\u0085", "<|endoftext|>", "<|start", "of|>", "123", "a1b2", "...", "中文", "\U0001f600", "ΣΑΣ", "İx", "ß", "Ünïcode,", "ÀÞÿ).", "word.", "K.", "Åb", "a.'s", "x!?…", "naïve'll", "×", "ª", "straße;", "a$%&*", "b<|endoftext|>", "c|>_", "d_e", "\u00ad", "é\u0301", "\x00", "x" * 90]
+    odd = ["it's", "IT'S", "don't'", "café", "café", "́", "ẛ̣", " ", " ", "\x1c", "\u0085", "<|endoftext|>", "<|start", "of|>", "123", "a1b2", "...", "中文", "\U0001f600", "ΣΑΣ", "İx", "ß", "Ünïcode,", "ÀÞÿ).", "word.", "K.", "Åb", "a.'s", "x!?…", "naïve'll", "×", "ª", "straße;", "a$%&*", "b<|endoftext|>", "<|ENDOFTEXT|>", "c|>_", "d_e", "\u00ad", "é\u0301", "\x00", "x" * 90]
     glue = [" ", "\n", "\t", "  ", "\r\n", "\x0b", "\x0c", ""]
     encoder = token_output.Encoder(PATH)
     for _ in range(600):

@@ -11,7 +11,7 @@ import functools
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,12 @@ from tracewell.llm.token_blocks import TokenBlocks
 #: The id that ends a document.
 END = 1
 #: Bytes of a text that are taken apart at once.
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 #: Words and ids that a worker keeps encoded.
-KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
+KEPT_WORDS, KEPT_IDS = 500_000, 4_000_000
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
-#: Latin letters, which stay as they are but for their case, and punctuation that no contraction and no special token begins with.
-LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
+#: A line of small Latin letters, which stay as they are, and punctuation that no contraction and no special token begins with.
+LATIN = re.compile("(?m)^(?:([a-zß-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)|[^\\n]*)$")
 #: How byte-level vocabularies write the bytes of these letters: printable ones stand for themselves, others move up.
 BYTE_LEVEL = {c: "".join(chr(b) if 0x21 <= b <= 0x7E or 0xA1 <= b != 0xAD else chr(0x100 + [*range(0x21), *range(0x7F, 0xA1), 0xAD].index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
@@ -44,6 +44,28 @@ def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
         at = end
 
 
+class Lists:
+    """Lists of ids by number, in two arrays that grow."""
+
+    def __init__(self):
+        self.ids, self.ends, self.many, self.size = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), 0, 0
+
+    def add(self, ids: np.ndarray, n: np.ndarray) -> None:
+        while len(self.ids) < self.size + len(ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        while len(self.ends) <= self.many + len(n):
+            self.ends = np.append(self.ends, np.zeros_like(self.ends))
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.ends[self.many + 1 : self.many + 1 + len(n)] = self.size + np.cumsum(n)
+        self.many, self.size = self.many + len(n), self.size + len(ids)
+
+    def get(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists' ids one after the other, and how many each has."""
+        first = self.ends[k]
+        n = self.ends[k + 1] - first
+        return self.ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+
 class Encoder:
     """The ids of texts, each word encoded once while it is kept.
 
@@ -61,46 +83,46 @@ class Encoder:
 
     def _empty(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
-        self.ids, self.ends = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64)
+        self.parts: dict[str, int] = {"": 0}
+        self.of_words, self.of_parts = Lists(), Lists()
+        self.of_parts.add(np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
 
     def _whole(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _part(self, part: str, letters: bool) -> list[int]:
-        if (found := self.parts.get(part)) is None:
-            found = self.parts[part] = [t.id for t in self.model.tokenize(part.translate(BYTE_LEVEL))] if letters else self._whole([part])[0]
-        return found
+    def _learn(self, parts: set[str], ids) -> None:
+        """Keeps the ids of those of the parts that are new."""
+        if new := list(parts.difference(self.parts)):
+            found = ids(new)
+            self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
+            self.of_parts.add(np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(new)))
 
     def _keep(self, words: list[bytes]) -> None:
-        known, ids, rest = len(self.words), [], []
-        for k, w in enumerate(words):
-            if self.plain and (m := LATIN.fullmatch(w.decode())):
-                ids.append(self._part(m[1].lower(), True) + self._part(m[2], False))
-            else:
-                ids.append([])
-                rest.append(k)
-        for k, found in zip(rest, self._whole([words[k].decode() for k in rest]), strict=True):
-            ids[k] = found
-        at = int(self.ends[known])
-        flat, ends = np.array([x for i in ids for x in i], dtype=np.uint32), at + np.cumsum([len(i) for i in ids])
-        while len(self.ids) < at + len(flat):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        while len(self.ends) <= known + len(words):
-            self.ends = np.append(self.ends, np.zeros_like(self.ends))
-        self.ids[at : at + len(flat)], self.ends[known + 1 : known + 1 + len(words)] = flat, ends
-        self.words.update(zip(words, range(known, known + len(words)), strict=True))
+        lines = b"\n".join(words).decode()
+        letters, behind = zip(*(LATIN.findall(lines.lower()) if self.plain else [("", "")] * len(words)), strict=True)
+        tokenize = self.model.tokenize
+        self._learn(set(letters), lambda new: [[t.id for t in tokenize(x if x.isascii() else x.translate(BYTE_LEVEL))] for x in new])
+        self._learn(set(behind), self._whole)
+        # Other words are one part, as they are.
+        rest = {k: w.decode() for k, (w, x) in enumerate(zip(words, letters, strict=True)) if not x}
+        self._learn(set(rest.values()), self._whole)
+        of = np.array([np.fromiter(map(self.parts.__getitem__, x), dtype=np.int64, count=len(words)) for x in (letters, behind)])
+        of[0, list(rest)] = [self.parts[w] for w in rest.values()]
+        ids, n = self.of_parts.get(of.T.ravel())
+        self.of_words.add(ids, n.reshape(-1, 2).sum(axis=1))
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after the other, and how many each has."""
-        if new := list(set(words).difference(self.words)):
-            self._keep(new)
-        k = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        n = self.ends[k + 1] - self.ends[k]
-        ids = self.ids[np.repeat(self.ends[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        if len(self.words) > KEPT_WORDS or self.ends[len(self.words)] > KEPT_IDS:
+        k = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(unknown := np.flatnonzero(k < 0)):
+            unknown, get = unknown.tolist(), words.__getitem__
+            self._keep(list(set(map(get, unknown))))
+            k[unknown] = np.fromiter(map(self.words.__getitem__, map(get, unknown)), dtype=np.int64, count=len(unknown))
+        out = self.of_words.get(k)
+        if len(self.words) > KEPT_WORDS or self.of_words.size > KEPT_IDS:
             self._empty()
-        return ids, n
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and how many each text has; about ``STRETCH`` bytes at once."""
@@ -113,7 +135,8 @@ class Encoder:
             n.append(many)
 
         for k, text in enumerate(texts):
-            for part in stretches(text):
+            # Case makes no difference but in the names of special tokens.
+            for part in stretches(text if b"<|" in text else text.lower()):
                 held.append(part.split())
                 docs.append(k)
                 size += len(part)
