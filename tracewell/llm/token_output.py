@@ -8,6 +8,7 @@ a task has met is not encoded again.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -117,7 +118,11 @@ class Encoder:
         k = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         if len(unknown := np.flatnonzero(k < 0)):
             unknown, get = unknown.tolist(), words.__getitem__
-            self._keep(list(set(map(get, unknown))))
+            gc.disable()  # so many small tuples start it again and again, and none is in a cycle
+            try:
+                self._keep(list(set(map(get, unknown))))
+            finally:
+                gc.enable()
             k[unknown] = np.fromiter(map(self.words.__getitem__, map(get, unknown)), dtype=np.int64, count=len(unknown))
         out = self.of_words.get(k)
         if len(self.words) > KEPT_WORDS or self.of_words.size > KEPT_IDS:
