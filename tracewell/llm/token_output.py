@@ -25,9 +25,9 @@ from tracewell.llm.token_blocks import TokenBlocks
 #: The id that ends a document.
 END = 1
 #: Bytes of a text that are taken apart at once.
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 #: Words and ids that a worker keeps encoded.
-KEPT_WORDS, KEPT_IDS = 500_000, 4_000_000
+KEPT_WORDS, KEPT_IDS = 400_000, 3_000_000
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
 #: A line of small Latin letters, which stay as they are, and punctuation that no contraction and no special token begins with.
 LATIN = re.compile("(?m)^(?:([a-zß-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)|[^\\n]*)$")
@@ -168,7 +168,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None = END, id_col: str
     order of a hash of the text and the text, and may fill several partitions. Whole texts are encoded,
     however long; other columns are not read. No rows: no rows.
     """
-    arrow_rows(docs.sparkSession, 2000)
+    arrow_rows(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
