@@ -155,13 +155,24 @@ def ask(question: str, nodes: DataFrame, edges: DataFrame, max_results: int = 10
     return {"validated": True, "errors": [], "rows": df.limit(max_results)}
 
 
-#: Functions that run code of the JVM's.
-_RUNNING = {"reflect", "java_method", "try_reflect"}
+#: Functions that a raw query may call; they compute on their arguments and reach nothing else.
+_FUNCTIONS = set(
+    """abs acos aggregate any any_value between mod div cube rollup grouping_sets approx_count_distinct array array_agg array_append array_compact array_contains array_distinct array_except array_intersect array_join array_max array_min array_position array_remove
+    array_repeat array_size array_sort array_union arrays_overlap arrays_zip ascii asin atan avg bit_count bool_and bool_or bround btrim cardinality cbrt ceil ceiling char char_length coalesce collect_list collect_set concat concat_ws
+    contains corr cos count count_if crc32 cume_dist current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear decode degrees dense_rank element_at
+    endswith every exists exp explode explode_outer extract filter find_in_set first first_value flatten floor forall format_number from_json get get_json_object greatest grouping grouping_id hash hex hour if ifnull ilike initcap inline
+    instr isnan isnotnull isnull json_array_length kurtosis lag last last_day last_value lcase lead least left len length levenshtein like ln locate log log10 log2 lower lpad ltrim make_date map map_entries map_filter map_from_arrays
+    map_keys map_values max max_by md5 mean median min min_by minute mod mode month months_between named_struct next_day now nth_value ntile nullif nvl nvl2 overlay parse_json percent_rank percentile percentile_approx pi pmod posexplode
+    position pow power quarter radians rank regexp_count regexp_extract regexp_extract_all regexp_like regexp_replace repeat replace reverse right rint rlike round row_number rpad rtrim second sequence sha sha1 sha2 sign signum sin size
+    slice some sort_array split split_part sqrt stack startswith std stddev stddev_pop stddev_samp str_to_map struct substr substring substring_index sum tan to_date to_json to_timestamp transform translate trim trunc try_add try_divide
+    try_element_at try_to_number typeof ucase unhex unix_timestamp upper var_pop var_samp variance weekday weekofyear width_bucket xxhash64 year zip_with""".split()
+)
 
 
 def raw_query(spark: SparkSession, query: str, params: dict | None = None, **views: DataFrame) -> DataFrame:
     """Read-only SQL over the views; ValueError if empty, PermissionError if it isn't a query, reads
-    what isn't one of the views (files by path included), or calls a function that runs code."""
+    what isn't one of the views (files by path included), calls a function that isn't listed, or holds a
+    node or an expression of a kind that isn't listed: what is new or unknown is refused."""
     if not query.strip():
         raise ValueError("the query is empty")
     text = query.strip().rstrip(";")
@@ -176,14 +187,14 @@ def _only_reads(plan, allowed: set[str]) -> None:
     kind = _kind(plan)
     if kind == "UnresolvedWith":
         for r in _list(plan.cteRelations()):
-            _only_reads(r._2().child(), allowed)
+            _only_reads(r._2().child(), allowed | ({r._1().lower()} if plan.allowRecursion() else set()))
             allowed = allowed | {r._1().lower()}
     elif kind == "UnresolvedRelation":
         parts = _list(plan.multipartIdentifier())
         if len(parts) != 1 or parts[0].lower() not in allowed:
             raise PermissionError(f"{'.'.join(parts)} is none of the views")
     elif kind not in _READS:
-        raise PermissionError("only reading is allowed")
+        raise PermissionError(f"only reading is allowed, no {kind}")
     for e in _list(plan.expressions()):
         _only_values(e, allowed)
     for c in _list(plan.children()):
@@ -193,15 +204,27 @@ def _only_reads(plan, allowed: set[str]) -> None:
 #: Nodes of the plans of queries.
 _READS = {
     "Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "Join", "LateralJoin", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "UnresolvedInlineTable",
-    "LocalRelation", "OneRowRelation", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "Sample", "UnresolvedOrderBy", "UnresolvedOrderByAll", "Expand", "RepartitionByExpression", "UnresolvedHint", "UnresolvedTVFAliases",
+    "LocalRelation", "OneRowRelation", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "Sample", "UnresolvedOrderBy", "UnresolvedOrderByAll", "Expand", "RepartitionByExpression", "UnresolvedHint",
 }
+#: Expressions of a query as it is parsed.
+_VALUES = {
+    "UnresolvedAttribute", "AttributeReference", "UnresolvedStar", "UnresolvedFunction", "UnresolvedAlias", "UnresolvedGenerator", "UnresolvedExtractValue", "UnresolvedOrdinal", "Alias", "MultiAlias", "Literal", "Cast", "NamedParameter", "PosParameter", "EqualTo", "EqualNullSafe",
+    "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "Not", "And", "Or", "In", "InSubquery", "IsNull", "IsNotNull", "IsTrue", "IsUnknown", "Like", "LikeAll", "LikeAny", "ILike", "RLike", "Between", "Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder", "UnaryMinus", "UnaryPositive",
+    "BitwiseAnd", "BitwiseOr", "BitwiseXor", "BitwiseNot", "CaseWhen", "If", "Exists", "ScalarSubquery", "ListQuery", "LateralSubquery", "SortOrder", "WindowExpression", "UnresolvedWindowExpression", "WindowSpecDefinition", "WindowSpecReference", "SpecifiedWindowFrame", "UnspecifiedFrame",
+    "UnboundedPreceding", "UnboundedFollowing", "CurrentRow", "LambdaFunction", "UnresolvedNamedLambdaVariable", "CreateNamedStruct", "CreateStruct", "Concat", "Substring", "StringTrim", "StringTrimLeft", "StringTrimRight", "CurrentDate", "CurrentTimestamp", "Cube", "Rollup", "GroupingSets", "AggregateExpression", "FilterExpression",
+}
+_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
 
 
 def _only_values(e, allowed: set[str]) -> None:
     kind = _kind(e)
-    if kind == "UnresolvedFunction" and _list(e.nameParts())[-1].lower() in _RUNNING:
-        raise PermissionError("the function may not be called")
-    if kind in ("ScalarSubquery", "Exists", "ListQuery"):
+    if kind not in _VALUES:
+        raise PermissionError(f"{kind} is not allowed")
+    if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+        name = [x.lower() for x in (_list(e.nameParts()) if kind == "UnresolvedFunction" else [e.name().funcName()])]
+        if len(name) != 1 or name[0] not in _FUNCTIONS:
+            raise PermissionError(f"the function {'.'.join(name)} may not be called")
+    if kind in _SUBQUERIES:
         _only_reads(e.plan(), allowed)
     for c in _list(e.children()):
         _only_values(c, allowed)
