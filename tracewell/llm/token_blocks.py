@@ -33,8 +33,8 @@ LANES = BLOCK // 64
 SHARE = 0.95
 #: Ids of a file, about; a document is never split.
 FILE_IDS = 1 << 26
-#: Ids that a task reads at once, about.
-READ_IDS = 1 << 21
+#: Ids that a task reads, and of those that it decodes at once, about.
+READ_IDS, BATCH_IDS = 1 << 23, 1 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -297,7 +297,7 @@ class _Source(DataSourceReader):
         f = Stored(fs, f"{at}/{partition.name}")
         a, b = np.searchsorted(f.start[:-1], [partition.first, partition.last])
         while a < b:
-            end = min(b, max(a + 1, int(np.searchsorted(f.start, f.start[a] + self.most, side="right")) - 1))
+            end = min(b, max(a + 1, int(np.searchsorted(f.start, f.start[a] + min(self.most, BATCH_IDS), side="right")) - 1))
             start, data = f.start[a : end + 1], f.read(int(f.start[a]), int(f.start[end]))
             ids = pa.Array.from_buffers(pa.large_binary(), int(end - a), [None, pa.py_buffer((4 * (start - start[0])).tobytes()), pa.py_buffer(data.astype("<u4").tobytes())])
             doc = pa.array(f.columns["doc"][a:end], mask=f.columns["null"][a:end].astype(bool))
