@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import catalog as C
 from tracewell.operators import impact as I
-from tracewell.operators import layout
+from tracewell.operators import layout, many
 from tracewell.operators import traverse as T
 from tracewell.plans.bridge import PRELUDE, graph
 
@@ -40,6 +40,14 @@ def _reach_sql(rels=None, direction="out", depth=8, start="k:5", label=None, lev
     SELECT node_id, {level} FROM (SELECT * FROM best WHERE level > 0) {keep}"""
 
 
+def _undirected_sql(start: str, label: str, most: int) -> str:
+    """Up to eight hops both ways. The walk is a row for each node and hop, each hop from the nodes that the one before met."""
+    walks = "".join(f", l{k} AS (SELECT DISTINCT b AS node_id FROM l{k - 1} JOIN pairs ON a = node_id WHERE b NOT IN (SELECT node_id FROM s{k - 1})), s{k} AS (SELECT node_id FROM s{k - 1} UNION ALL SELECT node_id FROM l{k})" for k in range(1, 9))
+    every = " UNION ALL ".join(f"SELECT node_id, {k} AS level FROM l{k}" for k in range(1, 9))
+    return f"""{PRELUDE}, pairs AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT '{start}' AS node_id), s0 AS (SELECT node_id FROM l0){walks}
+    SELECT node_id, level FROM ({every}) JOIN nodes USING (node_id) WHERE label = '{label}' ORDER BY level, node_id LIMIT {most}"""
+
+
 _WALK = """pairs AS (SELECT DISTINCT src AS a, dst AS b FROM edges), walk(node_id, level) AS (SELECT '{start}', 0 UNION SELECT b, level + 1 FROM walk JOIN pairs ON a = node_id WHERE level < 8),
     reach AS (SELECT DISTINCT node_id FROM walk WHERE node_id <> '{start}')"""
 _SCORE = f"""round(least((CASE sla_tier WHEN 'P0' THEN 1.0::DOUBLE WHEN 'P1' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END) * 0.5::DOUBLE
@@ -143,6 +151,28 @@ def _neighbours(n, e):
 
 _T = "SELECT node_id AS {a} FROM nodes WHERE label = 'Transform'"
 
+def _many(n, e, label="Column"):
+    own = n.where(F.col("label") == label).select("node_id")
+    return many.reports(n, e, own, column=label == "Column")
+
+
+def _many_sql(reach: str, start: str, labels: str) -> str:
+    """A report for each start, from (start, node_id) of what each reaches."""
+    return f"""{PRELUDE}, {reach}, {_FLOW_FAN},
+    scored AS (SELECT node_id, label, coalesce(sla_tier, 'P2') AS sla_tier, coalesce(freshness_cadence, 'daily') AS cadence, coalesce(fan, 0) AS fan FROM nodes LEFT JOIN fan USING (node_id) WHERE label IN {labels}),
+    assets AS (SELECT start, label, sla_tier, {_SCORE} AS score FROM reach JOIN scored USING (node_id) WHERE start <> node_id)
+    SELECT s.node_id, count(label) AS total, count(*) FILTER (sla_tier = 'P0') AS p0_count, count(*) FILTER (sla_tier = 'P1') AS p1_count, count(*) FILTER (label = 'Dashboard') AS dashboards,
+        count(*) FILTER (label = 'MLFeature') AS features, count(*) FILTER (label = 'Dataset') AS datasets, max(score) AS top_score
+    FROM (SELECT node_id FROM nodes WHERE {start}) s LEFT JOIN assets ON start = s.node_id GROUP BY s.node_id"""
+
+
+_MANY_COLUMNS = f"""{_FLOW}, cols(start, node_id, level) AS (SELECT node_id, node_id, 0 FROM nodes WHERE label = 'Column' UNION SELECT start, dst, level + 1 FROM cols JOIN flow ON src = node_id AND k = 'FEEDS' WHERE level < 8),
+    cc AS (SELECT DISTINCT start, node_id FROM cols WHERE node_id <> start),
+    sets AS (SELECT DISTINCT start, dst AS node_id FROM flow JOIN cc ON src = node_id AND k = 'COLUMN_OF'),
+    users AS (SELECT start, dst AS node_id FROM flow JOIN (SELECT start, node_id FROM cc UNION SELECT node_id, node_id FROM nodes WHERE label = 'Column') u ON src = node_id AND k = 'CONSUMED_BY'
+        UNION SELECT start, dst FROM flow JOIN sets ON src = node_id AND k IN ('READ_BY', 'PRODUCES')),
+    reach AS (SELECT start, node_id FROM cc UNION SELECT start, node_id FROM sets UNION SELECT start, node_id FROM users UNION SELECT start, dst FROM flow JOIN users ON src = node_id AND k = 'RUNS_IN')"""
+
 #: name: (query, SQL). The ids of the operators are in the operators' docstrings.
 TABLE = {
     "g01_column_reach": (_on(lambda n, e: _reach(n, e)), _reach_sql()),
@@ -157,7 +187,7 @@ TABLE = {
         walk(node_id, level) AS (SELECT 'p:5', 0 UNION SELECT b, level + 1 FROM walk JOIN pairs ON a = node_id WHERE level < 6)
         SELECT node_id, min(level) AS level FROM walk JOIN nodes USING (node_id) WHERE label = 'Dataset' AND node_id <> 'p:5' GROUP BY node_id""",
     ),
-    "g12_undirected_to_dashboards": (_on(lambda n, e: _reach(n, e, None, "both", 3, "p:5", "Dashboard").orderBy("level", "node_id").limit(10)), _reach_sql(None, "both", 3, "p:5", "Dashboard") + " ORDER BY level, node_id LIMIT 10"),
+    "g12_undirected_to_dashboards": (_on(lambda n, e: _reach(n, e, None, "both", 8, "p:5", "Dashboard").orderBy("level", "node_id").limit(10)), _undirected_sql("p:5", "Dashboard", 10)),
     "g13_neighbourhood": (_on(lambda n, e: _reach(n, e, ["READS_FROM", "WRITES_TO", "DERIVES_FROM"], "in", 4, "k:2").orderBy("level", "node_id").limit(100)), _reach_sql(["READS_FROM", "WRITES_TO", "DERIVES_FROM"], "in", 4, "k:2") + " ORDER BY level, node_id LIMIT 100"),
     "g14_hops_to_features": (_on(lambda n, e: _reach(n, e, ["WRITES_TO", "PRODUCES"], "out", 6, "t:5", "MLFeature").select("node_id", F.col("level").alias("hops"))), _reach_sql(["WRITES_TO", "PRODUCES"], "out", 6, "t:5", "MLFeature", "level AS hops")),
     "h01_node_stats": (_on(lambda n, e: C.node_stats(n)), f"{PRELUDE} SELECT label, count(*) AS n FROM nodes GROUP BY label"),
@@ -187,6 +217,7 @@ TABLE = {
     "impact_column_as_implemented": (_ranked(_CHANGE, "as_implemented"), _ranked_sql(_CHANGE, _WALK.format(start="k:5") + ", " + _FAN_IN.format(where=" WHERE rel_type <> 'PART_OF'"), f" ORDER BY fan DESC, n.node_id LIMIT {I.KEPT}")),
     "impact_dataset": (_ranked(_TABLE, "documented"), _ranked_sql(_TABLE, _TABLE_FLOW, "", _ALL.replace("'Column',", ""))),
     "impact_dataset_as_implemented": (_ranked(I.SchemaChange("c:5", None, "drop_column"), "as_implemented"), _ranked_sql(I.SchemaChange("c:5", None, "drop_column"), _WALK.format(start="c:5") + ", " + _FAN_IN.format(where=""), f" ORDER BY fan DESC, n.node_id LIMIT {I.KEPT}", _ALL.replace("'Column',", ""))),
+    "impact_all_columns": (_on(_many), _many_sql(_MANY_COLUMNS, "label = 'Column'", _ALL)),
     "j14_missing_columns": (_on(_missing), f"{PRELUDE} SELECT * FROM (VALUES ('p:5', 'k:6'), ('nope', 'a')) v(dataset, \"column\")"),
     "k01_grid": (_on(lambda n, e: layout.grid(C.graph_nodes(n, limit=1000))), f"{PRELUDE}, o AS (SELECT node_id, label, list_position(['Dataset','Transform','Column','Pipeline','Dashboard','MLFeature'], label) AS place FROM (SELECT * FROM nodes WHERE label IN {_ALL} ORDER BY node_id LIMIT 1000)) SELECT node_id, label, 260 * (dense_rank() OVER (ORDER BY place) - 1) AS x, 80 * (row_number() OVER (PARTITION BY label ORDER BY node_id) - 1) AS y FROM o"),
     "k02_shares": (_on(lambda n, e: C.stats_shares(C.node_stats(n))), f"{PRELUDE}, s AS (SELECT label, count(*) AS n FROM nodes GROUP BY label) SELECT label, n, sum(n) OVER ()::BIGINT AS total, max(n) OVER () AS largest, floor(100.0::DOUBLE * n / max(n) OVER () + 0.5)::BIGINT AS share FROM s"),

@@ -134,26 +134,38 @@ def event_edges(ev: DataFrame, semantics: str = "documented", stored: DataFrame
     return wide(reads_writes(ev)).unionAll(wide(derivations(ev))).unionAll(wide(memberships(ev, semantics, stored)))
 
 
+_NODE_KEYS, _NODE_LAST = ["node_id", "label"], ["commit_id"]
+_NODE_FIRST = ["project", "dataset", "name", "transform_id", "pipeline_name", "source_type", "owner", "sla_tier", "freshness_cadence", "llm_inferred", "validation_status", "raw_sql", "created_at"]
+_EDGE_KEYS, _EDGE_FIRST, _EDGE_LAST = ["src", "dst", "rel_type", "per"], ["transform_id", "is_passthrough", "created_at"], ["expression", "commit_id"]
+
+
 def merge_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored and new nodes as one; a snapshot's key is its name, so writing it again changes nothing."""
-    keys = ["node_id", "label", "project", "dataset", "name", "transform_id"]
-    first = ["pipeline_name", "source_type", "owner", "sla_tier", "freshness_cadence", "llm_inferred", "validation_status", "raw_sql", "created_at"]
-    return _merged(stored, new, keys[:2], [*keys[2:], *first], ["commit_id"])
+    return _merged(stored, new, _NODE_KEYS, _NODE_FIRST, _NODE_LAST)
+
+
+def _per_commit(edges: DataFrame) -> DataFrame:
+    """Reads and writes are kept for each commit, other edges once."""
+    return edges.withColumn("per", F.when(F.col("rel_type").isin("READS_FROM", "WRITES_TO"), F.col("commit_id")))
 
 
 def merge_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored and new edges; reads and writes are kept for each commit, others once."""
-    own = lambda d: d.withColumn("per", F.when(F.col("rel_type").isin("READS_FROM", "WRITES_TO"), F.col("commit_id")))
-    return _merged(own(stored), own(new), ["src", "dst", "rel_type", "per"], ["transform_id", "is_passthrough", "created_at"], ["expression", "commit_id"]).drop("per")
+    return _merged(_per_commit(stored), _per_commit(new), _EDGE_KEYS, _EDGE_FIRST, _EDGE_LAST).select(*new.columns)
 
 
 def _merged(stored: DataFrame, new: DataFrame, keys: list[str], first: list[str], last: list[str]) -> DataFrame:
+    """Rows of several batches as one a key. Rows without ``seq`` are of one batch; ``stored`` comes first."""
     x = stored.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))
+    return _folded(x, keys, first, last).select(*new.columns)
+
+
+def _folded(x: DataFrame, keys: list[str], first: list[str], last: list[str]) -> DataFrame:
     pick = lambda c, f: f(F.struct(F.col(c).alias("v")), F.col("seq")).alias(f"_{c}")
-    later = F.max(F.when(F.col("seq") == 1, F.coalesce("last_seen_at", "created_at")))
-    seen = F.coalesce(F.when((F.count(F.lit(1)) > 1), later), F.max("last_seen_at"))
+    # Seen again: the latest time of all its rows, so that a fold of folds is the fold of all.
+    seen = F.when(F.count(F.lit(1)) > 1, F.max(F.coalesce("last_seen_at", "created_at"))).otherwise(F.max("last_seen_at"))
     got = x.groupBy(*keys).agg(*[pick(c, F.min_by) for c in first], *[pick(c, F.max_by) for c in last], seen.alias("last_seen_at"))
-    return got.select(*keys, *[F.col(f"_{c}.v").alias(c) for c in first + last], "last_seen_at").select(*[c for c in new.columns if c != "seq"])
+    return got.select(*keys, *[F.col(f"_{c}.v").alias(c) for c in first + last], "last_seen_at")
 
 
 class Conflict(Exception):
@@ -161,12 +173,20 @@ class Conflict(Exception):
 
 
 class GraphStore:
-    """Versions of the graph in a folder. A batch's tables are written aside; they become a version by
-    one rename (B12), which fails if another writer took the version. A batch that was applied is not
-    applied again, so retries are safe (B14)."""
-
-    def __init__(self, spark: SparkSession, root: str | None = None, semantics: str = "documented", tries: int = 5):
+    """Versions of the graph in a folder: each holds what its batch adds (a delta), or all there is (a base).
+
+    A batch's rows are written aside and become a version by one rename (B12), which fails if another
+    writer took the version; so a batch writes what it brings and nothing of what is stored. A batch that
+    was applied is not applied again, so retries are safe (B14). Readers fold the last base and the deltas
+    after it by key, in the order of versions. ``compact`` writes such a fold as a new base; ``apply``
+    does so by itself once the deltas after a base are ``fold_after``. A base lies in buckets of a hash of
+    the name (nodes) and of the source (edges), sorted within, so that a look-up reads one bucket of it.
+    Earlier versions stay readable.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, semantics: str = "documented", tries: int = 5, fold_after: int | None = 16, buckets: int = 16):
         self.spark, self.root, self.semantics, self.tries = spark, root or scratch_path(spark, "graph"), semantics, tries
+        self.fold_after, self.buckets = fold_after, buckets
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -174,67 +194,131 @@ class GraphStore:
     def _conf(self):
         return self.spark._jsparkSession.sessionState().newHadoopConf()
 
-    def versions(self) -> list[tuple[int, str]]:
-        """(version, batch) of what was applied."""
-        p = self._path("versions")
+    def _listed(self, folder: str) -> list[str]:
+        p = self._path(folder)
         fs = p.getFileSystem(self._conf())
-        if not fs.exists(p):
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _log(self) -> list[dict]:
+        """The versions in order: version, batch (null for a base that compaction wrote) and buckets (0 for a delta).
+        A base's file holds those before it; the newest base that is listed saves reading the earlier files."""
+        known = ([""] + self._listed("bases"))[-1]
+        names = [n for n in self._listed("versions") if n >= known]
+        if not names:
             return []
-        found = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v"))
-        if not found:
-            return []
-        said = self.spark.read.text(f"{self.root}/versions/{found[-1]}/batches", wholetext=True).first()[0].strip().split("\n")
-        return [(n + 1, b) for n, b in enumerate(said)]
-
-    def nodes(self) -> DataFrame:
-        """All nodes of the last version, partitioned by label and sorted by name."""
-        return self._read("nodes", NODE_SCHEMA)
-
-    def edges(self) -> DataFrame:
-        return self._read("edges", EDGE_SCHEMA)
+        said = self.spark.read.schema("version int, batch string, buckets int").json([f"{self.root}/versions/{n}/about" for n in names])
+        return [r.asDict() for r in said.distinct().orderBy("version").collect()]
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        v = self.versions()
-        if not v:
+    def versions(self) -> list[tuple[int, str]]:
+        """(version, batch) of what was applied."""
+        return [(r["version"], r["batch"]) for r in self._log() if r["batch"] is not None]
+
+    def nodes(self, label: str | None = None, name: str | None = None, version: int | None = None) -> DataFrame:
+        """All nodes; A06: those of a label or a name, by partition, bucket and row groups; as of a version."""
+        keep = [F.col("label") == label] if label is not None else []
+        keep += [F.col("name") == name] if name is not None else []
+        return self._read("nodes", NODE_SCHEMA, version, keep, name)
+
+    def edges(self, rel_type: str | None = None, src: str | None = None, version: int | None = None) -> DataFrame:
+        """All edges, or those of a type or a source; as of a version."""
+        keep = [F.col("rel_type") == rel_type] if rel_type is not None else []
+        keep += [F.col("src") == src] if src is not None else []
+        return self._read("edges", EDGE_SCHEMA, version, keep, src)
+
+    def _read(self, name: str, schema: str, version: int | None, keep: list[Column], key: str | None, fold: bool = True) -> DataFrame:
+        log = [r for r in self._log() if version is None or r["version"] <= version]
+        start = max([k for k, r in enumerate(log) if r["buckets"]], default=0)
+        rows = None
+        for kind in (True, False):
+            own = [r for r in log[start:] if bool(r["buckets"]) == kind]
+            if not own:
+                continue
+            part = self._scan(own, name, schema)
+            for k in keep:
+                part = part.where(k)
+            if kind and key is not None:
+                part = part.where(F.col("bucket") == self._bucket(F.lit(key), own[0]["buckets"]))
+            part = part.drop("bucket")
+            rows = part if rows is None else rows.unionByName(part)
+        if rows is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/versions/v{v[-1][0]:08d}/{name}")
+        if not fold or len(log) - start == 1:
+            return rows.drop("seq")
+        if name == "nodes":
+            return _folded(rows, _NODE_KEYS, _NODE_FIRST, _NODE_LAST).select(*_NODE)
+        return _folded(_per_commit(rows), _EDGE_KEYS, _EDGE_FIRST, _EDGE_LAST).select(*_EDGE)
+
+    def _scan(self, versions: list[dict], name: str, schema: str) -> DataFrame:
+        """The rows of some versions' files, with their version (seq) and bucket."""
+        out = None
+        read = self.spark.read.schema(f"{schema}, bucket int")
+        for r in versions:
+            part = read.parquet(f"{self.root}/versions/v{r['version']:08d}/{name}").withColumn("seq", F.lit(r["version"]))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    @staticmethod
+    def _bucket(key: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(key, F.lit(""))), F.lit(buckets)).cast("int")
 
     def apply(self, events: DataFrame, batch: str, assets: tuple[DataFrame, DataFrame] | None = None) -> bool:
         """Folds a batch of events, and nodes and edges that no event makes, into the store; False if the
         batch was applied before. A writer that finds its version taken folds the batch into the new one."""
         for _ in range(self.tries):
+            log = self._log()
+            if any(r["batch"] == batch for r in log):
+                return False
             try:
-                return self._apply(events, batch, assets)
+                self._apply(events, batch, assets, log)
             except Conflict:
                 continue
+            last = max([k for k, r in enumerate(log) if r["buckets"]], default=-1)
+            if self.fold_after and len(log) - last >= self.fold_after:
+                self.compact()
+            return True
         raise Conflict(f"batch {batch}: other writers were first {self.tries} times")
 
-    def _apply(self, events: DataFrame, batch: str, assets: tuple[DataFrame, DataFrame] | None) -> bool:
-        done = self.versions()
-        if any(b == batch for _, b in done):
-            return False
-        ev, n = prepared(events), len(done) + 1
-        draft = f"drafts/{uuid.uuid4().hex}"
-        stored = self.nodes()
-        # Sorted within a label's files, so that a name's row groups are found by their statistics.
+    def _apply(self, events: DataFrame, batch: str, assets: tuple[DataFrame, DataFrame] | None, log: list[dict]) -> None:
+        ev = prepared(events)
+        stored = self._read("nodes", NODE_SCHEMA, None, [F.col("label") == "Dataset"], None, fold=False)
         nodes, edges = event_nodes(ev), event_edges(ev, self.semantics, stored)
         if assets:
-            nodes, edges = nodes.unionByName(assets[0]), edges.unionByName(assets[1])
-        merge_nodes(stored, nodes).sortWithinPartitions("label", "name").write.partitionBy("label").parquet(f"{self.root}/{draft}/nodes")
-        merge_edges(self.edges(), edges).write.partitionBy("rel_type").parquet(f"{self.root}/{draft}/edges")
-        self.spark.createDataFrame([("\n".join([*[b for _, b in done], batch]),)], "value string").coalesce(1).write.text(f"{self.root}/{draft}/batches")
+            nodes, edges = merge_nodes(nodes, assets[0]), merge_edges(edges, assets[1])
+        # A batch is small beside what is stored: as few files as its size needs, searched by the statistics of their row groups.
+        self._commit([{"version": len(log) + 1, "batch": batch, "buckets": 0}], nodes.hint("rebalance", "label").sortWithinPartitions("label", "name"), edges.hint("rebalance", "rel_type").sortWithinPartitions("rel_type", "src"), [])
+
+    def compact(self) -> bool:
+        """Writes all there is as a new base; False if there is nothing to fold or another writer was first."""
+        log = self._log()
+        if not log or log[-1]["buckets"]:
+            return False
+        version = log[-1]["version"]
+        lay = lambda df, kind, key: df.withColumn("bucket", self._bucket(F.col(key), self.buckets)).repartition(kind, "bucket").sortWithinPartitions(kind, "bucket", key)
+        try:
+            self._commit([*log, {"version": len(log) + 1, "batch": None, "buckets": self.buckets}], lay(self.nodes(version=version), "label", "name"), lay(self.edges(version=version), "rel_type", "src"), ["bucket"])
+        except Conflict:
+            return False
+        self._path("").getFileSystem(self._conf()).mkdirs(self._path(f"bases/v{len(log) + 1:08d}"))
+        return True
+
+    def _commit(self, log: list[dict], nodes: DataFrame, edges: DataFrame, by: list[str]) -> None:
+        """Writes a version, the last of the log, and its part of the log."""
+        version = log[-1]["version"]
+        draft = f"drafts/{uuid.uuid4().hex}"
+        nodes.write.partitionBy("label", *by).parquet(f"{self.root}/{draft}/nodes")
+        edges.write.partitionBy("rel_type", *by).parquet(f"{self.root}/{draft}/edges")
+        self.spark.createDataFrame(log, "version int, batch string, buckets int").coalesce(1).write.json(f"{self.root}/{draft}/about")
         jvm, fs = self.spark._jvm, self._path("").getFileSystem(self._conf())
         fs.mkdirs(self._path("versions"))
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf())
         none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            files.rename(files.makeQualified(self._path(draft)), files.makeQualified(self._path(f"versions/v{n:08d}")), none)
+            files.rename(files.makeQualified(self._path(draft)), files.makeQualified(self._path(f"versions/v{version:08d}")), none)
         except Exception as e:
             files.delete(files.makeQualified(self._path(draft)), True)
             if "AlreadyExists" in str(e):
-                raise Conflict(f"version {n} is taken") from None
+                raise Conflict(f"version {version} is taken") from None
             raise
-        return True
 
 
 def replay(events: DataFrame, commit: str | None = None, until=None, semantics: str = "documented") -> tuple[DataFrame, DataFrame]:
