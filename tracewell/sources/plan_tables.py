@@ -105,11 +105,11 @@ def _id(e: str) -> str:
 def columns(below: DataFrame) -> DataFrame:
     """(plan_id, write, i, pos, kind, name, id, refs, expression, bare, relation): the columns that relations and
     projections make; refs are the ids of the columns in it, a relation's has none."""
-    made = below.where("relation is not null or items is not null").select("plan_id", "write", "i", "kind", "relation", F.posexplode(F.coalesce("items", "output")).alias("pos", "e"))
+    made = below.where("relation is not null or items is not null").select("plan_id", "write", "i", "last", "kind", "relation", F.posexplode(F.coalesce("items", "output")).alias("pos", "e"))
     inner = f"if({_kind('get(e, 0).class')} = 'Alias', slice(e, 2, size(e)), e)"
     attribute = f"{_kind('x.class')} = 'AttributeReference'"
     return made.where(f"{_kind('get(e, 0).class')} IN ('Alias', 'AttributeReference')").select(
-        "plan_id", "write", "i", "pos", "kind", "relation", F.expr("get(e, 0).name").alias("name"), F.expr(_id("get(e, 0)")).alias("id"),
+        "plan_id", "write", "i", "last", "pos", "kind", "relation", F.expr("get(e, 0).name").alias("name"), F.expr(_id("get(e, 0)")).alias("id"),
         F.expr(f"if(relation is null, array_distinct(transform(filter({inner}, x -> {attribute}), x -> {_id('x')})), array())").alias("refs"),
         F.expr(f"transform(filter({inner}, x -> {attribute}), x -> x.name)").alias("ref_names"),
         F.expr(f"if(size({inner}) = 1 and {_kind(f'get({inner}, 0).class')} = 'AttributeReference', null, {_TEXT.format(items=inner)})").alias("expression"),
@@ -117,7 +117,7 @@ def columns(below: DataFrame) -> DataFrame:
 
 
 def frontier(below: DataFrame) -> DataFrame:
-    """(plan_id, top, i): the relations and projections that make the output of each write (top -1) or branch of a Union
+    """(plan_id, write, i, top, union_at, start): the relations and projections that make the output of each write (top -1) or branch of a Union
     (top is the branch's position): those without another between. A semi or anti join has its left side only."""
     n = below.select("plan_id", "i", "last", "parent", "kind", "relation", "items", "join_type", "write")
     tops = n.alias("c").join(n.alias("u"), F.expr("c.plan_id = u.plan_id and c.parent = u.i and u.kind = 'Union'")).select("c.plan_id", "c.i", "c.last", F.col("c.i").alias("top"), F.col("c.parent").alias("union_at"))
@@ -150,34 +150,49 @@ def derivations(plans: DataFrame, plan_col: str = "plan", semantics: str = "docu
             F.coalesce("first_source", F.lit("unknown")).alias("source_dataset"), F.expr("get(ref_names, 0)").alias("source_column"), "expression", F.expr("expression is null and get(ref_names, 0) = name").alias("is_passthrough"),
         )
     front = materialize(frontier(below).join(made, ["plan_id", "write", "i"]), "plan-frontier")
-    place = F.row_number().over(Window.partitionBy("plan_id", "top").orderBy("i", "pos"))
-    branch = front.where("top >= 0").select("plan_id", "union_at", "top", "id", place.alias("place"))
-    first = branch.withColumn("least", F.min("top").over(Window.partitionBy("plan_id", "union_at"))).where("top = least")
-    across = first.alias("a").join(branch.alias("b"), F.expr("a.plan_id = b.plan_id and a.union_at = b.union_at and a.place = b.place and a.top < b.top")).select("a.plan_id", F.col("a.id").alias("id"), F.col("b.id").alias("ref"))
-    step = made.select("plan_id", "id", F.explode("refs").alias("ref")).unionAll(across).where("id <> ref").distinct()
-    step = materialize(step, "plan-steps")
+    # A Union's columns have the ids of its first branch, which mean that branch's columns within it: above it, and in
+    # what it hands on, they go by the Union's place as well.
+    branch = front.where("top >= 0").withColumn("place", F.row_number().over(Window.partitionBy("plan_id", "top").orderBy("i", "pos"))).withColumn("least", F.min("top").over(Window.partitionBy("plan_id", "union_at")))
+    first = branch.where("top = least").select("plan_id", F.col("union_at").alias("u"), "place", F.col("id").alias("out"))
+    of_union = lambda u, i: F.concat(F.lit("union "), u, F.lit(" "), i)
+    unions = below.where("kind = 'Union'").select(F.col("plan_id").alias("p"), F.col("i").alias("u"), F.col("last").alias("u_last"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        """Frontier rows with the node that they stand for: the outermost Union's column around them, or their own."""
+        around = rows.join(unions, F.expr("p = plan_id and start <= u and u < i and i <= u_last"), "left")
+        key = ["plan_id", "write", "top", "i", "pos"]
+        u = around.groupBy(*key).agg(F.min("u").alias("u"))
+        return rows.join(u, key).withColumn("node", F.coalesce(of_union(F.col("u"), F.col("id")), F.col("id")))
+
+    refs = made.select("plan_id", "i", "last", "id", F.explode("refs").alias("ref"))
+    scoped = refs.join(first.withColumnRenamed("plan_id", "p"), F.expr("p = plan_id and out = ref and i < u and u <= last"), "left").groupBy("plan_id", "i", "id", "ref").agg(F.min("u").alias("u"))
+    scoped = scoped.select("plan_id", "id", F.coalesce(of_union(F.col("u"), F.col("ref")), F.col("ref")).alias("ref"))
+    across = named(branch).select("plan_id", F.col("union_at").alias("u"), "place", "node").join(first, ["plan_id", "u", "place"]).select("plan_id", of_union(F.col("u"), F.col("out")).alias("id"), F.col("node").alias("ref"))
+    step = materialize(scoped.unionAll(across).where("id <> ref").distinct(), "plan-steps")
     base = materialize(made.where("relation is not null").select("plan_id", "id", F.col("relation").alias("source_dataset"), F.col("name").alias("source_column")).distinct(), "plan-bases")
 
     # The columns behind each output: one join a level, until a level adds none.
-    wanted = front.where("top = -1 and relation is null").select("plan_id", "write", "id", F.explode("refs").alias("ref")).select("plan_id", "write", "id", "ref")
-    more = across.alias("x").join(front.where("top = -1").alias("f"), F.expr("x.plan_id = f.plan_id and x.id = f.id")).where("f.relation is null").select("x.plan_id", "f.write", "x.id", "x.ref")
-    seen = new = materialize(wanted.unionAll(more).distinct(), "plan-reach")
-    levels = [seen]
+    own = named(front.where("top = -1 and relation is null")).withColumn("position", F.row_number().over(Window.partitionBy("plan_id", "write").orderBy("i", "pos")))
+    own = materialize(own.select("plan_id", "write", "position", "node", "name", "expression", F.expr("size(refs)").alias("many"), F.expr("get(ref_names, 0)").alias("ref_name")), "plan-outputs")
+    seen = new = own.select("plan_id", "write", "position", F.col("node").alias("ref"))
+    levels = []
     while True:
-        found = new.join(step.withColumnRenamed("id", "via"), [new.plan_id == step.plan_id, F.col("via") == new.ref]).select(new.plan_id, "write", new.id, step.ref).distinct()
-        new, n = counted(found.join(seen, ["plan_id", "write", "id", "ref"], "left_anti"), "plan-reach")
+        found = new.join(step.withColumnsRenamed({"id": "via", "ref": "to", "plan_id": "p"}), F.expr("p = plan_id and via = ref")).select("plan_id", "write", "position", F.col("to").alias("ref")).distinct()
+        new, n = counted(found.join(seen, ["plan_id", "write", "position", "ref"], "left_anti"), "plan-reach")
+        levels.append(new)
         if not n:
             break
-        levels.append(new)
         seen = seen.unionAll(new)
-    sources = seen.join(base.withColumnRenamed("id", "ref"), ["plan_id", "ref"]).select("plan_id", "write", "id", "source_dataset", "source_column").distinct()
-    own = front.where("top = -1 and relation is null").select("plan_id", "write", "id", "name", "expression", F.expr("size(refs)").alias("many"), F.expr("get(ref_names, 0)").alias("ref_name"), F.row_number().over(Window.partitionBy("plan_id", "write").orderBy("i", "pos")).alias("position"))
-    out = own.join(sources, ["plan_id", "write", "id"]).join(target, ["plan_id", "write"])
+    sources = seen.join(base.withColumnRenamed("id", "ref"), ["plan_id", "ref"]).select("plan_id", "write", "position", "source_dataset", "source_column").distinct()
+    # A column that some column behind it computes is computed too; its text is the nearest there is by its own id.
+    texts = made.where("expression is not null").groupBy("plan_id", F.col("id").alias("ref")).agg(F.min("expression").alias("text"))
+    computed = seen.join(texts, ["plan_id", "ref"]).select("plan_id", "write", "position").distinct().withColumn("computed", F.lit(True))
+    out = own.join(sources, ["plan_id", "write", "position"]).join(target, ["plan_id", "write"]).join(computed, ["plan_id", "write", "position"], "left").join(texts.withColumnRenamed("ref", "node"), ["plan_id", "node"], "left")
     out = materialize(
-        out.select("plan_id", "write", "target", "position", F.col("name").alias("column"), "source_dataset", "source_column", "expression", F.expr("expression is null and many = 1 and ref_name = name").alias("is_passthrough")),
+        out.select("plan_id", "write", "target", "position", F.col("name").alias("column"), "source_dataset", "source_column", F.coalesce("expression", "text").alias("expression"), F.expr("expression is null and computed is null and many = 1 and ref_name = name").alias("is_passthrough")),
         "plan-derivations",
     )
-    forget(below, made, front, step, base, *levels)
+    forget(below, made, front, step, base, own, *levels)
     return out
 
 

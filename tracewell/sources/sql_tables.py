@@ -178,7 +178,8 @@ def references(t: DataFrame, of: DataFrame) -> DataFrame:
     r = t.where(kept).where("(clause = 'SELECT' and not skip) or (clause = 'FROM' and level > 0 and state <> 'condition')")
     r = r.select(*_BLOCK, "item", F.expr("if(clause = 'FROM', rel, 0)").alias("rel"), "pos", F.col("word").alias("a"), F.expr("if(p1 = '.', w2, null)").alias("b"), F.expr("if(p1 = '.' and p3 = '.', w4, null)").alias("c"))
     alias = of.where("alias_at is not null").select(*_BLOCK, F.col("alias_at").alias("pos"))
-    return r.join(alias, [*_BLOCK, "pos"], "left_anti")
+    # What a star leaves out is no reference to it.
+    return r.join(alias, [*_BLOCK, "pos"], "left_anti").join(of.where("star").select(*_BLOCK, "item", F.lit(0).alias("rel")), [*_BLOCK, "item", "rel"], "left_anti")
 
 
 def _with_commons(rels: DataFrame, ctes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -364,8 +365,9 @@ def extract(texts: DataFrame, id_col: str = "statement_id", sql_col: str = "sql"
     lineage of every text: a row for each base column that an output is computed from.
 
     ``catalog`` (dataset, place, column) expands stars and tells which table has a bare name. A bare name
-    that several uncatalogued tables could have is of the dataset ``unknown``. Null, blank and unreadable
-    texts, and statements that are no queries, insertions or creations, give no rows. Ids must be unique.
+    that several uncatalogued tables could have is of the dataset ``unknown``. Null and blank texts, and
+    statements that are no queries, insertions or creations, give no rows. Texts aren't checked: what is no
+    SQL gives what its tokens look like. Ids must be unique.
     """
     return Extraction(texts, id_col, sql_col, catalog).derivations()
 
