@@ -91,3 +91,36 @@ def test_stage_matches_all_pairs(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, "").collect())
     assert len(least(texts)) == 27 and got == least(texts)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b c d e f", 1, 2, 0.5, "x"), (2, "a b c d e f", 3, 4, 0.6, "y"), (3, "other words are here now", 5, 6, 0.7, None), (None, None, 7, 8, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_number int, __row int, __text double, ROW_NAME string")
+    got = nd.drop_near_duplicates(df)
+    assert got.columns == df.columns and sorted((tuple(r) for r in got.collect()), key=repr) == sorted((rows[i] for i in (0, 2, 3)), key=repr)
+
+
+def test_quality_stage_keeps_a_score(spark, sf):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("mine")).withColumn("__score", F.lit(1))
+    got = corpus_pipeline.quality(spark, docs, sf)
+    assert got.columns == docs.columns and 0 < got.count() < docs.count() and got.where("score <> 'mine' or __score <> 1").count() == 0
+
+
+def test_planted_pairs_are_found(spark):
+    """Pairs at a similarity of 0.80 to 0.86 by design: at most one in a hundred may be missed."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(200):
+        words = [f"w{k}-{rng.randrange(10**6)}" for _ in range(154)]
+        other = list(words)
+        for at in (30, 90, 140)[: 2 + k % 2]:
+            other[at] = f"x{k}-{at}"
+        texts += [" ".join(words), " ".join(other)]
+    near = [nd.similarity(nd.shingles(a), nd.shingles(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert all(0.8 <= s <= 0.9 for s in near)
+    rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    kept = {r["doc_id"] for r in nd.drop_near_duplicates(rows).collect()}
+    assert {i for i in range(0, 400, 2)} <= kept and len(kept & set(range(1, 400, 2))) <= 2

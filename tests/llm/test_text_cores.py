@@ -200,7 +200,7 @@ def test_ann_block_recall_and_ties():
     unit = (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
     asked = [0, 3, 50, 720, 900]
     got = {}
-    for q, c, _ in ann.search_block(ann.Quantiser(unit), ids[asked], v[asked], ids, v, 5, 400):
+    for q, c, _ in ann.search_block(ann.Quantiser(unit), ids[asked], v[asked], ids, v, 5, 0.02, finish=False):
         got.setdefault(q, []).append(c)
     want = {}
     for q, _, c in ann.brute(ids, v, asked):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.runtime import forget, hand_over, materialize, scratch_path, shared_dir, ship
 
-__all__ = ["arrow_rows", "connected_components", "forget", "hand_over", "materialize", "scratch_path", "shared_dir"]
+__all__ = ["arrow_rows", "connected_components", "forget", "free_name", "hand_over", "materialize", "scratch_path", "shared_dir"]
 
 
 #: Bytes of an Arrow batch, whatever the rows.
@@ -24,6 +24,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it none of the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (src, dst); component is the least node.
 

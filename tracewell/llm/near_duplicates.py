@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import arrow_rows, connected_components, forget, hand_over, materialize
+from tracewell.llm.common import arrow_rows, connected_components, forget, free_name, hand_over, materialize
 from tracewell.llm.simhash_dedup import links
 
 WORDS, SIMILAR, ORDERS, LEAST = 5, 0.8, 20, 5
@@ -296,17 +296,18 @@ def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame
 
     Groups are the components of texts whose five-word shingle sets have a similarity of ``similar``
     or more. Texts without words are all alike. A null id comes after all others. Of rows with the
-    same id and text one stays. No rows: no rows.
+    same id and text one stays. Other columns stay, whatever their names. No rows: no rows.
     """
     spark = docs.sparkSession
     found = classes(docs, similar)
-    own = docs.withColumn("__text", _text_id(F.col("text")))
-    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast("long").alias("id"), F.col("__text").alias("text_id"))
-    texts = own.groupBy("__text").agg(F.min(order).alias("least"))
-    grouped = texts.join(found, F.col("__text") == F.col("text_id"), "left").select("least", F.coalesce("component", "__text").alias("component"))
-    kept = grouped.groupBy("component").agg(F.min("least").alias("k")).select(F.concat(F.coalesce(F.col("k.id").cast("string"), F.lit("-")), F.lit("|"), F.col("k.text_id")).alias("__row"))
+    text, row = free_name(docs, "text_number"), free_name(docs, "row_name")
+    own = docs.withColumn(text, _text_id(F.col("text")))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text_id"))
+    texts = own.groupBy(F.col(text).alias("own_text")).agg(F.min(order).alias("least"))
+    grouped = texts.join(found, F.col("own_text") == F.col("text_id"), "left").select("least", F.coalesce("component", "own_text").alias("component"))
+    kept = grouped.groupBy("component").agg(F.min("least").alias("k")).select(F.concat(F.coalesce(F.col("k.id").cast("string"), F.lit("-")), F.lit("|"), F.col("k.text_id")).alias(row))
     kept = materialize(kept, "kept")
     forget(found)
-    rows = own.withColumn("__row", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), "__text")).drop("__text")
+    rows = own.withColumn(row, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), text)).drop(text)
     arrow_rows(spark, 2000)
-    return rows.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row").select(*docs.columns)
+    return rows.dropDuplicates([row]).join(kept, row, "left_semi").drop(row).select(*docs.columns)

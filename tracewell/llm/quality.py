@@ -217,7 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Gam:
 
 
 def with_scores(docs: DataFrame, model: Gam, text_col: str = "text", to: str = "score") -> DataFrame:
-    """The documents with a score from 0 to 1, higher where label 1 is likelier."""
+    """The documents with a score from 0 to 1, higher where label 1 is likelier, in the column ``to``.
+
+    Whole texts are scored, however long; null and empty ones too, as texts without features. Repeated rows
+    have equal scores. A column ``to`` that is there is replaced; ``free_name`` finds one that isn't. No rows:
+    no rows.
+    """
     arrow_rows(docs.sparkSession, 2000)
     score = F.pandas_udf(lambda t: pd.Series(model.score(matrix(t))), "double")
     return docs.withColumn(to, score(F.col(text_col).cast("string")))
