@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm.common import forget, materialize
+from tracewell.llm.common import forget, free_name, materialize
 from tracewell.llm.decontam import without_leaks
 from tracewell.llm.mixing import mixed_documents
 from tracewell.llm.near_duplicates import drop_near_duplicates
@@ -27,28 +28,29 @@ def warehouse(spark: SparkSession) -> str:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that the classifier scores low."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_scores(docs, model, to="__score").where(f"__score >= {REJECT}").drop("__score")
+    """Rejects the documents that the classifier scores low; null and empty texts are scored like any other, repeated
+    rows alike. No documents: none."""
+    model, score = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name(docs, "score")
+    return with_scores(docs, model, to=score).where(F.col(score) >= REJECT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, the one with the least doc_id; texts without words are one group."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item; null and empty texts hold none. An empty benchmark leaves all."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the sources' words to their target weights."""
+    """Takes the sources' words to their target weights; null sources are one source, texts without words give no rows."""
     return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the documents as shards, which stay, and returns where each is."""
+    """Writes the documents as shards, which stay, and returns where each is; no documents: no rows."""
     return shard_documents(docs, f"{warehouse(spark)}/corpus-shards-{uuid.uuid4().hex}")
 
 
