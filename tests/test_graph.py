@@ -86,11 +86,13 @@ def test_longest_trail_walks_a_loop_once(spark):
 def test_longest_trail_finds_out_about_cycles(spark, monkeypatch):
     walks, walk = [], T._walk
     monkeypatch.setattr(T, "_walk", lambda *a, **k: walks.append(k["least"]) or walk(*a, **k))
+    through = T._walk_components
+    monkeypatch.setattr(T, "_walk_components", lambda *a: walks.append("components") or through(*a))
     dense = [(f"{i}{a}", f"{i + 1}{b}") for i in range(4) for a in "xyz" for b in "xyz"]
     trail = lambda pairs, *ids, **k: sorted((r["start"], r["chain"]) for r in T.longest_trail(edges(spark, *pairs), starts(spark, *ids), ["DERIVES_FROM"], **k).collect())
     assert trail(dense + dense, "4y", "0x") == [("4y", ["0x", "1x", "2x", "3x", "4y"])] and walks == [True]
     # A walk that may take an edge again goes round the loop; the trail doesn't.
-    assert trail([("a", "b"), ("b", "c"), ("c", "b"), ("b", "d")], "d") == [("d", ["a", "b", "c", "b", "d"])] and walks == [True, True, False]
+    assert trail([("a", "b"), ("b", "c"), ("c", "b"), ("b", "d")], "d") == [("d", ["a", "b", "c", "b", "d"])] and walks == [True, True, "components"]
     # Deeper than the depth: walked as before.
     long = [(f"{i:02}", f"{i + 1:02}") for i in range(12)]
     assert trail(long, "12") == trail(long, "12", acyclic=False) == []
@@ -205,3 +207,37 @@ def test_streams(spark, tmp_path):
     assert jobs.run("a", lambda: 1 / 0) == "FAILURE" and jobs.status("b") == {"status": "PENDING"}
     assert cdc.with_inference([], lambda: None, ["s"])[0]["validation_status"] == "pending_review"
     assert cdc.ready(spark)
+
+
+def _trails(pairs, start, depth):
+    """All trails from a start, by depth-first search."""
+    out, stack = [], [(start, (start,), frozenset())]
+    while stack:
+        node, chain, used = stack.pop()
+        for a, b in pairs:
+            if a == node and (a, b) not in used and len(chain) <= depth:
+                out.append((b, *chain))
+                stack.append((b, (b, *chain), used | {(a, b)}))
+    return out
+
+
+def test_trails_through_cycles_equal_a_search(spark):
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("d", "d"), ("a", "g"), ("g", "h"), ("c", "h"), ("h", "i"), ("x", "y"), ("y", "x")]
+    for depth in (3, 6, 8):
+        got = {r["start"]: tuple(r["chain"]) for r in T.longest_trail(edges(spark, *ring), starts(spark, "a", "d", "i", "x"), ["DERIVES_FROM"], depth, direction="out").collect()}
+        sources = {a for a, _ in ring}
+        want = {}
+        for start in "adix":
+            ends = [t for t in _trails(sorted(set(ring)), start, depth) if t[0] not in sources]
+            if ends:
+                want[start] = min(ends, key=lambda t: (-len(t), t))
+        assert got == want
+
+
+def test_components_of_cycles(spark):
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("e", "g"), ("g", "h"), ("a", "b"), ("z", "a")]
+    got = {}
+    for r in T.cyclic_components(T.hops(edges(spark, *ring))).collect():
+        got.setdefault(r["component"], set()).add(r["node_id"])
+    assert sorted(map(sorted, got.values())) == [["a", "b", "c"], ["d", "e"], ["f"]]
+    assert T.cyclic_components(T.hops(edges(spark, ("a", "b"), ("b", "c")))).count() == 0

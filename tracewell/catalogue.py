@@ -121,12 +121,25 @@ _TRAIL = f"""{PRELUDE}, back AS (SELECT DISTINCT dst AS a, src AS b FROM edges W
     SELECT start, array_to_string(chain, ',') AS chain FROM r WHERE k = 1"""
 
 
-def _report(n, e):
-    return I.counts(_ranked_now(n, e), _CHANGE)
+def _circular(n, e):
+    """Every 97th column also feeds the one that it is derived from."""
+    turn = n.where("label = 'Column'").withColumn("k", F.expr("cast(substr(node_id, 3) as long)")).where("k >= 3 and k % 97 = 0")
+    turn = turn.select(F.concat(F.lit("k:"), F.expr("k div 3")).alias("src"), F.col("node_id").alias("dst"), F.lit("DERIVES_FROM").alias("rel_type"))
+    all_ = e.select("src", "dst", "rel_type").unionAll(turn)
+    return T.longest_trail(all_, _starts(n, "k:5", "k:1", "k:97"), ["READS_FROM", "DERIVES_FROM"]).select("start", _flatten("chain").alias("chain"))
+
+
+_CIRCULAR = f"""{PRELUDE}, back AS MATERIALIZED (SELECT dst AS a, src AS b FROM edges WHERE rel_type IN ('READS_FROM', 'DERIVES_FROM')
+        UNION SELECT node_id, 'k:' || (substr(node_id, 3)::BIGINT // 3) FROM nodes WHERE label = 'Column' AND substr(node_id, 3)::BIGINT % 97 = 0 AND substr(node_id, 3)::BIGINT >= 3),
+    t(start, node_id, chain, used, n) AS (SELECT 'k:' || i, 'k:' || i, ['k:' || i], []::VARCHAR[], 0 FROM (VALUES (1), (5), (97)) v(i)
+        UNION ALL SELECT start, b, list_prepend(b, chain), list_append(used, a || '|' || b), n + 1 FROM t JOIN back ON a = node_id WHERE n < 8 AND NOT list_contains(used, a || '|' || b)),
+    leaf AS (SELECT * FROM t WHERE n > 0 AND node_id NOT IN (SELECT a FROM back)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, chain) AS k FROM leaf)
+    SELECT start, array_to_string(chain, ',') AS chain FROM r WHERE k = 1"""
 
 
-def _ranked_now(n, e):
-    return I.ranked(n, I.affected(n, e, I.starts_of(n, _CHANGE)), _CHANGE)
+def _report(n, e):
+    return I.counts(I.ranked(n, I.affected(n, e, I.starts_of(n, _CHANGE)), _CHANGE, kept=None), _CHANGE)
 
 
 def _some(col: str, one: str) -> str:
@@ -134,7 +147,7 @@ def _some(col: str, one: str) -> str:
 
 
 _RANKED_DOC = _ranked_sql(_CHANGE, _COLUMN_FLOW, "")
-_REPORT = f"""WITH r AS ({_RANKED_DOC}), c AS (SELECT count(*) AS total, count(*) FILTER (sla_tier = 'P0') AS p0_count, count(*) FILTER (sla_tier = 'P1') AS p1_count,
+_REPORT = f"""WITH r AS ({_RANKED_DOC.replace(f"LIMIT {I.KEPT}", "")}), c AS (SELECT count(*) AS total, count(*) FILTER (sla_tier = 'P0') AS p0_count, count(*) FILTER (sla_tier = 'P1') AS p1_count,
     count(*) FILTER (node_type = 'Dashboard') AS dashboards, count(*) FILTER (node_type = 'MLFeature') AS features, count(*) FILTER (node_type = 'Dataset') AS datasets FROM r)
     SELECT *, total - p0_count - p1_count AS p2_count, 'Changing p:5.k:5 (drop_column) affects ' || total || ' downstream assets.' || {_some('p0_count', 'P0 asset')} || {_some('p1_count', 'P1 asset')}
     || {_some('dashboards', 'dashboard')} || {_some('features', 'ML feature pipeline')} || {_some('datasets', 'downstream dataset')} AS summary FROM c"""
@@ -179,6 +192,7 @@ TABLE = {
     "g02_dataset_reach": (_on(lambda n, e: _reach(n, e, start="c:5")), _reach_sql(start="c:5")),
     "g04_fan_out": (_on(_neighbours), f"{PRELUDE}, f AS (SELECT dst, count(DISTINCT src) AS n FROM edges WHERE rel_type IN ('READS_FROM','WRITES_TO','DERIVES_FROM','PRODUCES') GROUP BY dst) SELECT node_id, coalesce(n, 0) AS fan_out FROM nodes LEFT JOIN f ON dst = node_id"),
     "g07_longest_trail": (_on(_trail), _TRAIL),
+    "g07_longest_trail_circular": (_on(_circular), _CIRCULAR),
     "g09_dashboards_within_3": (_on(lambda n, e: _reach(n, e, ["READS_FROM"], "in", 3, "p:5", "Dashboard")), _reach_sql(["READS_FROM"], "in", 3, "p:5", "Dashboard")),
     "g10_downstream_columns": (_on(lambda n, e: _reach(n, e, ["DERIVES_FROM"], "in", 6)), _reach_sql(["DERIVES_FROM"], "in", 6)),
     "g11_downstream_datasets": (

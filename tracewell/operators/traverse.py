@@ -73,14 +73,15 @@ def longest_trail(edges: DataFrame, starts: DataFrame, rels: list[str], depth: i
 
     With ``acyclic`` only the least chain to each node is kept per hop, which gives the same result on
     graphs without cycles at the cost of one row a node. None finds out: walks that end within the
-    depth met no cycle, which would go on for ever; otherwise all trails are walked, and those multiply
-    in dense graphs.
+    depth met no cycle, which would go on for ever; otherwise trails remember their edges within
+    strongly connected components, where alone an edge can come again, and forget them on leaving.
+    False remembers them everywhere.
     """
     back = stored(hops(edges, rels, direction), "trail-edges")
     if acyclic is None:
         chains, ended = _walk(back, starts, depth, least=True, again=True)
         if not ended:
-            chains, _ = _walk(back, starts, depth, least=False)
+            chains = _walk_components(back, starts, depth)
     else:
         chains, _ = _walk(back, starts, depth, least=acyclic)
     whole = chains.join(back.select(F.col("src").alias("node_id")), "node_id", "left_anti")
@@ -109,3 +110,67 @@ def _walk(back: DataFrame, starts: DataFrame, depth: int, least: bool, again: bo
         found.append(now)
     ended = len(found) < depth
     return (reduce(DataFrame.unionAll, found) if found else now).select("start", "node_id", "chain"), ended
+
+
+def cyclic_components(pairs: DataFrame) -> DataFrame:
+    """(node_id, component) of the nodes on cycles, loops included; a component's name is its greatest node.
+
+    What can't be on a cycle is trimmed; then each node takes the greatest name that reaches it, and of those
+    with one name the ones that reach its owner are a component. The rest goes round again. Rounds grow with
+    the longest path among what is left, and with the components that lie one behind the other.
+    """
+    loops = pairs.where("src = dst").select(F.col("src").alias("node_id"))
+    left = materialize(pairs.select("src", "dst").where("src <> dst").distinct(), "cyclic-edges")
+    found: list[DataFrame] = []
+    while True:
+        while True:
+            kept, n = counted(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").withColumn("all", F.lit(1)), "cyclic-edges")
+            same = n == left.count()
+            left = kept.select("src", "dst")
+            if same or not n:
+                break
+        if not n:
+            break
+        color = left.select(F.col("src").alias("node_id")).distinct().withColumn("color", F.col("node_id"))
+        while True:
+            come = left.join(color.select(F.col("node_id").alias("src"), F.col("color").alias("from")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.max("from").alias("from"))
+            moved = color.join(come, "node_id", "left").select("node_id", F.greatest("color", "from").alias("color"), (F.col("from") > F.col("color")).alias("new"))
+            seen = materialize(moved, "cyclic-colors")
+            color = seen.select("node_id", "color")
+            if seen.where("new").isEmpty():
+                break
+        # Backwards from each color's owner, within the color.
+        inside = left.join(color.withColumnRenamed("node_id", "src"), "src").join(color.select(F.col("node_id").alias("dst"), F.col("color").alias("to")), "dst").where("color = to").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        owners = color.where("node_id = color").select("node_id")
+        back = bfs(inside, owners, depth=1 << 30).select("node_id").unionAll(owners)
+        component = materialize(color.join(back.distinct(), "node_id", "left_semi").select("node_id", F.col("color").alias("component")), "cyclic-found")
+        found.append(component)
+        gone = component.select("node_id")
+        left = materialize(left.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti").select("src", "dst"), "cyclic-edges")
+    own = reduce(DataFrame.unionAll, found) if found else loops.limit(0).withColumn("component", F.col("node_id"))
+    # An owner that only reaches itself by going nowhere is on no cycle unless it has a loop.
+    many = own.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    own = own.join(many, "component", "left_semi").select("node_id", "component")
+    return materialize(own.unionAll(loops.distinct().join(own, "node_id", "left_anti").withColumn("component", F.col("node_id"))), "cyclic-components")
+
+
+def _walk_components(back: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, node_id, chain) of all hops; one chain, the least, for each start, node and set of edges that the
+    trail has used in the component that it is in."""
+    reach = materialize(bfs(back, starts, depth).select("node_id").unionAll(starts.select("node_id")).distinct(), "trail-reach")
+    near = back.join(reach.withColumnRenamed("node_id", "src"), "src", "left_semi").distinct()
+    near = materialize(near.select("src", "dst"), "trail-near")
+    of = cyclic_components(near)
+    pairs = near.join(of.select(F.col("node_id").alias("src"), F.col("component").alias("a")), "src", "left").join(of.select(F.col("node_id").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    pairs = materialize(pairs.select("src", "dst", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("inside")), "trail-pairs")
+    now = starts.select(F.col("node_id").alias("start"), "node_id").distinct().select("start", "node_id", F.array("node_id").alias("chain"), F.expr("cast(array() as array<string>)").alias("used"))
+    found = []
+    for _ in range(depth):
+        step = now.join(pairs.withColumnRenamed("src", "node_id"), "node_id").withColumn("edge", F.concat_ws("\u0001", "node_id", "dst")).where("not (inside and array_contains(used, edge))")
+        used = F.when(F.col("inside"), F.array_sort(F.concat("used", F.array("edge")))).otherwise(F.expr("cast(array() as array<string>)"))
+        step = step.select("start", F.col("dst").alias("node_id"), F.concat(F.array("dst"), "chain").alias("chain"), used.alias("used"))
+        now, n = counted(step.groupBy("start", "node_id", "used").agg(F.min("chain").alias("chain")).select("start", "node_id", "chain", "used"), "trail-level")
+        if not n:
+            break
+        found.append(now)
+    return (reduce(DataFrame.unionAll, found) if found else now).select("start", "node_id", "chain")
