@@ -10,6 +10,7 @@ from tracewell.operators import impact as I
 from tracewell.operators import layout, many
 from tracewell.operators import traverse as T
 from tracewell.plans.bridge import PRELUDE, graph
+from tracewell.plans.patterns import graph_query
 
 _ALL = "('Dataset','Column','Transform','Pipeline','Dashboard','MLFeature')"
 _CHANGE = I.SchemaChange("p:5", "k:5", "drop_column")
@@ -186,6 +187,47 @@ _MANY_COLUMNS = f"""{_FLOW}, cols(start, node_id, level) AS (SELECT node_id, nod
         UNION SELECT start, dst FROM flow JOIN sets ON src = node_id AND k IN ('READ_BY', 'PRODUCES')),
     reach AS (SELECT start, node_id FROM cc UNION SELECT start, node_id FROM sets UNION SELECT start, node_id FROM users UNION SELECT start, dst FROM flow JOIN users ON src = node_id AND k = 'RUNS_IN')"""
 
+def _pattern(text: str):
+    return _on(lambda n, e: graph_query(text, n, e))
+
+
+def _on_optional(text: str):
+    return _on(lambda n, e: graph_query(text, n, e).withColumn("pipelines", _flatten("pipelines")))
+
+
+_PATTERNS = {
+    "j09_shared_datasets": (
+        _pattern("MATCH (dash:Dashboard {name: 'Supplier#000000005'}) MATCH (t:Transform)-[:READS_FROM]->(d:Dataset), (t)-[:PART_OF]->(p:Pipeline) WHERE EXISTS { MATCH (dash)-[:READS_FROM]->(d) } RETURN DISTINCT p.name AS pipeline, d.name AS dataset"),
+        f"{PRELUDE}, x AS (SELECT dst FROM edges JOIN nodes ON src = node_id WHERE label = 'Dashboard' AND name = 'Supplier#000000005' AND rel_type = 'READS_FROM') SELECT DISTINCT l.name AS pipeline, d.name AS dataset FROM x JOIN edges r ON r.dst = x.dst AND r.rel_type = 'READS_FROM' AND r.src LIKE 't:%' JOIN edges m ON m.src = r.src AND m.rel_type = 'PART_OF' JOIN nodes l ON l.node_id = m.dst AND l.label = 'Pipeline' JOIN nodes d ON d.node_id = x.dst",
+    ),
+    "j09_affected_columns": (
+        _pattern("MATCH (c:Column {name: 'k:5'}) MATCH path = (c)<-[:DERIVES_FROM*1..6]-(x) WHERE x:MLFeature OR (x:Column AND EXISTS { MATCH (x)-[:PART_OF]->(:Dataset)<-[:READS_FROM]-(:Transform)-[:WRITES_TO]->(:Dataset)-[:PRODUCES]->(:MLFeature {name: 'NATION_3'}) }) RETURN DISTINCT x.name AS affected, labels(x)[0] AS type"),
+        f"""{PRELUDE}, walk(node_id, n) AS (SELECT 'k:5', 0 UNION SELECT src, n + 1 FROM walk JOIN edges ON dst = node_id AND rel_type = 'DERIVES_FROM' WHERE n < 6),
+        fed AS (SELECT DISTINCT p.src AS node_id FROM edges p JOIN edges r ON r.dst = p.dst AND r.rel_type = 'READS_FROM' AND r.src LIKE 't:%' JOIN edges w ON w.src = r.src AND w.rel_type = 'WRITES_TO' JOIN edges m ON m.src = w.dst AND m.rel_type = 'PRODUCES' JOIN nodes f ON f.node_id = m.dst AND f.name = 'NATION_3' WHERE p.rel_type = 'PART_OF' AND p.src LIKE 'k:%')
+        SELECT DISTINCT name AS affected, label AS type FROM walk JOIN nodes USING (node_id) WHERE n > 0 AND (label = 'MLFeature' OR node_id IN (SELECT node_id FROM fed))""",
+    ),
+    "j09_unowned_datasets": (
+        _pattern("MATCH (d:Dataset) WHERE NOT EXISTS { MATCH (d) WHERE d.owner IS NOT NULL } MATCH (d)<-[:READS_FROM|WRITES_TO]-(t:Transform) WITH d, count(DISTINCT t) AS dep_count WHERE dep_count > 5 RETURN d.name AS dataset, dep_count ORDER BY dep_count DESC"),
+        f"{PRELUDE} SELECT name AS dataset, count(DISTINCT src) AS dep_count FROM nodes JOIN edges ON dst = node_id WHERE label = 'Dataset' AND owner IS NULL AND rel_type IN ('READS_FROM', 'WRITES_TO') AND src LIKE 't:%' GROUP BY node_id, name HAVING count(DISTINCT src) > 5",
+    ),
+    "j09_column_sources": (
+        _pattern("MATCH (col:Column)-[:DERIVES_FROM]->(src:Column) WITH col, count(DISTINCT src) AS source_count WHERE source_count > 1 RETURN col.dataset AS dataset, col.name AS name, source_count"),
+        f"{PRELUDE} SELECT dataset, name, count(DISTINCT dst) AS source_count FROM nodes JOIN edges ON src = node_id WHERE rel_type = 'DERIVES_FROM' GROUP BY node_id, dataset, name HAVING count(DISTINCT dst) > 1",
+    ),
+    "j09_optional_readers": (
+        _on_optional("MATCH (d:Dataset) WHERE d.project STARTS WITH 'Brand#1' OR NOT d.source_type IN ['dbt', 'spark'] OPTIONAL MATCH (d)<-[:READS_FROM]-(t:Transform)-[:PART_OF]->(p:Pipeline) WHERE t.llm_inferred = true RETURN d.name AS dataset, count(DISTINCT t) AS transforms, collect(DISTINCT p.name) AS pipelines"),
+        f"{PRELUDE}, u AS (SELECT r.dst, t.node_id AS t, p.name AS p FROM edges r JOIN nodes t ON r.src = t.node_id AND t.label = 'Transform' AND t.llm_inferred JOIN edges m ON m.src = t.node_id AND m.rel_type = 'PART_OF' JOIN nodes p ON p.node_id = m.dst WHERE r.rel_type = 'READS_FROM') SELECT d.name AS dataset, count(DISTINCT t) AS transforms, coalesce(string_agg(DISTINCT p, ',' ORDER BY p), '') AS pipelines FROM nodes d LEFT JOIN u ON u.dst = d.node_id WHERE d.label = 'Dataset' AND (d.project LIKE 'Brand#1%' OR d.source_type NOT IN ('dbt', 'spark')) GROUP BY d.node_id, d.name",
+    ),
+    "j09_pipeline_dashboards": (
+        _pattern("MATCH (p:Pipeline {name: '1-URGENT'}) MATCH (p)<-[:PART_OF]-(t:Transform)-[:READS_FROM]->(d:Dataset)<-[:READS_FROM*1..4]-(dash:Dashboard) WHERE dash.sla_tier = 'P0' RETURN count(DISTINCT dash) AS p0_dashboard_count"),
+        f"{PRELUDE} SELECT count(DISTINCT s.node_id) AS p0_dashboard_count FROM edges m JOIN nodes l ON l.node_id = m.dst AND l.label = 'Pipeline' AND l.name = '1-URGENT' JOIN edges r ON r.src = m.src AND r.rel_type = 'READS_FROM' JOIN edges b ON b.dst = r.dst AND b.rel_type = 'READS_FROM' JOIN nodes s ON s.node_id = b.src AND s.label = 'Dashboard' AND s.sla_tier = 'P0' WHERE m.rel_type = 'PART_OF'",
+    ),
+    "j09_feature_hops": (
+        _pattern("MATCH (t:Transform) WHERE t.project = 'F' MATCH path = (t)-[:WRITES_TO|PRODUCES*1..6]->(f:MLFeature) RETURN DISTINCT f.name AS feature, length(path) AS hops"),
+        f"{PRELUDE} SELECT DISTINCT f.name AS feature, 2 AS hops FROM nodes t JOIN edges w ON w.src = t.node_id AND w.rel_type = 'WRITES_TO' JOIN edges m ON m.src = w.dst AND m.rel_type = 'PRODUCES' JOIN nodes f ON f.node_id = m.dst WHERE t.label = 'Transform' AND t.project = 'F'",
+    ),
+}
+
 #: name: (query, SQL). The ids of the operators are in the operators' docstrings.
 TABLE = {
     "g01_column_reach": (_on(lambda n, e: _reach(n, e)), _reach_sql()),
@@ -236,5 +278,6 @@ TABLE = {
     "k01_grid": (_on(lambda n, e: layout.grid(C.graph_nodes(n, limit=1000))), f"{PRELUDE}, o AS (SELECT node_id, label, list_position(['Dataset','Transform','Column','Pipeline','Dashboard','MLFeature'], label) AS place FROM (SELECT * FROM nodes WHERE label IN {_ALL} ORDER BY node_id LIMIT 1000)) SELECT node_id, label, 260 * (dense_rank() OVER (ORDER BY place) - 1) AS x, 80 * (row_number() OVER (PARTITION BY label ORDER BY node_id) - 1) AS y FROM o"),
     "k02_shares": (_on(lambda n, e: C.stats_shares(C.node_stats(n))), f"{PRELUDE}, s AS (SELECT label, count(*) AS n FROM nodes GROUP BY label) SELECT label, n, sum(n) OVER ()::BIGINT AS total, max(n) OVER () AS largest, floor(100.0::DOUBLE * n / max(n) OVER () + 0.5)::BIGINT AS share FROM s"),
 }
+TABLE |= _PATTERNS
 QUERIES = {k: v[0] for k, v in TABLE.items()}
 ORACLES = {k: v[1] for k, v in TABLE.items() if v[1]}
