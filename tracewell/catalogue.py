@@ -278,6 +278,23 @@ TABLE = {
     "k01_grid": (_on(lambda n, e: layout.grid(C.graph_nodes(n, limit=1000))), f"{PRELUDE}, o AS (SELECT node_id, label, list_position(['Dataset','Transform','Column','Pipeline','Dashboard','MLFeature'], label) AS place FROM (SELECT * FROM nodes WHERE label IN {_ALL} ORDER BY node_id LIMIT 1000)) SELECT node_id, label, 260 * (dense_rank() OVER (ORDER BY place) - 1) AS x, 80 * (row_number() OVER (PARTITION BY label ORDER BY node_id) - 1) AS y FROM o"),
     "k02_shares": (_on(lambda n, e: C.stats_shares(C.node_stats(n))), f"{PRELUDE}, s AS (SELECT label, count(*) AS n FROM nodes GROUP BY label) SELECT label, n, sum(n) OVER ()::BIGINT AS total, max(n) OVER () AS largest, floor(100.0::DOUBLE * n / max(n) OVER () + 0.5)::BIGINT AS share FROM s"),
 }
-TABLE |= _PATTERNS
+_NAMED = "SELECT name FROM nodes WHERE"
+#: The questions that an evaluation asks, as patterns; two more are ``h17_transforms_per_project`` and ``h17_wide_transforms``.
+_QUESTIONS = {
+    "h17_features_of_table": ("MATCH (d:Dataset {name: 'c:5'})-[:PRODUCES]->(f:MLFeature) RETURN f.name AS name", "SELECT f.name FROM edges JOIN nodes f ON f.node_id = dst WHERE src = 'c:5' AND rel_type = 'PRODUCES' AND f.label = 'MLFeature'"),
+    "h17_models_of_project": ("MATCH (t:Transform) WHERE t.source_type = 'dbt' AND t.project = 'F' RETURN t.name AS name", f"{_NAMED} label = 'Transform' AND source_type = 'dbt' AND project = 'F'"),
+    "h17_written_by": ("MATCH (t:Transform {name: 't:5'})-[:WRITES_TO]->(d:Dataset) RETURN d.name AS name", "SELECT d.name FROM edges JOIN nodes d ON d.node_id = dst WHERE src = 't:5' AND rel_type = 'WRITES_TO'"),
+    "h17_p0_dashboards": ("MATCH (d:Dashboard) WHERE d.sla_tier = 'P0' RETURN d.name AS name", f"{_NAMED} label = 'Dashboard' AND sla_tier = 'P0'"),
+    "h17_sources_of_table": ("MATCH (d:Dataset {name: 'c:5'})<-[:WRITES_TO]-(t:Transform)-[:READS_FROM]->(s:Dataset) RETURN DISTINCT s.name AS name", "SELECT DISTINCT s.name FROM edges w JOIN edges r ON r.src = w.src AND r.rel_type = 'READS_FROM' JOIN nodes s ON s.node_id = r.dst WHERE w.dst = 'c:5' AND w.rel_type = 'WRITES_TO'"),
+    "h17_inferred": ("MATCH (t:Transform) WHERE t.llm_inferred = true RETURN t.name AS name, t.pipeline_name AS pipeline", "SELECT name, pipeline_name AS pipeline FROM nodes WHERE label = 'Transform' AND llm_inferred"),
+    "h17_columns_of_table": ("MATCH (c:Column)-[:PART_OF]->(d:Dataset) WHERE d.source_type = 'sql' RETURN d.name AS dataset, c.name AS name", "SELECT d.name AS dataset, c.name FROM edges JOIN nodes c ON c.node_id = src AND c.label = 'Column' JOIN nodes d ON d.node_id = dst AND d.source_type = 'sql' WHERE rel_type = 'PART_OF' AND d.label = 'Dataset'"),
+    "h17_kafka_topics": ("MATCH (d:Dataset) WHERE d.source_type = 'kafka' RETURN d.name AS name, d.project AS project", "SELECT name, project FROM nodes WHERE label = 'Dataset' AND source_type = 'kafka'"),
+    "h17_pipelines_of_project": ("MATCH (t:Transform)-[:PART_OF]->(p:Pipeline) WHERE t.project = 'F' RETURN DISTINCT p.name AS name", "SELECT DISTINCT p.name FROM edges JOIN nodes t ON t.node_id = src AND t.label = 'Transform' AND t.project = 'F' JOIN nodes p ON p.node_id = dst AND p.label = 'Pipeline' WHERE rel_type = 'PART_OF'"),
+    "h17_derived_from": ("MATCH (c:Column)-[:DERIVES_FROM]->(s:Column {name: 'k:5'}) RETURN c.name AS name", "SELECT c.name FROM edges JOIN nodes c ON c.node_id = src WHERE dst = 'k:5' AND rel_type = 'DERIVES_FROM'"),
+    "h17_without_owner": ("MATCH (d:Dataset) WHERE d.owner IS NULL OR d.owner = '' RETURN d.name AS name", f"{_NAMED} label = 'Dataset' AND coalesce(owner, '') = ''"),
+    "h17_path_between": ("MATCH path = (a:Dataset {name: 'p:5'})<-[:READS_FROM]-(t:Transform)-[:WRITES_TO]->(b:Dataset) RETURN DISTINCT b.name AS name, length(path) AS hops", "SELECT DISTINCT b.name, 2 AS hops FROM edges r JOIN edges w ON w.src = r.src AND w.rel_type = 'WRITES_TO' JOIN nodes b ON b.node_id = w.dst WHERE r.dst = 'p:5' AND r.rel_type = 'READS_FROM' AND r.src LIKE 't:%'"),
+    "h17_transforms_of_pipeline": ("MATCH (t:Transform)-[:PART_OF]->(p:Pipeline {name: '1-URGENT'}) RETURN t.name AS name", "SELECT t.name FROM edges JOIN nodes t ON t.node_id = src AND t.label = 'Transform' JOIN nodes p ON p.node_id = dst AND p.name = '1-URGENT' WHERE rel_type = 'PART_OF'"),
+}
+TABLE |= _PATTERNS | {k: (_pattern(q), f"{PRELUDE} {sql}") for k, (q, sql) in _QUESTIONS.items()}
 QUERIES = {k: v[0] for k, v in TABLE.items()}
 ORACLES = {k: v[1] for k, v in TABLE.items() if v[1]}
