@@ -57,6 +57,10 @@ def shingle_hashes(ids: np.ndarray, words: int) -> np.ndarray:
     return _mixed(out)
 
 
+#: Entries of a block's table that a worker keeps.
+KEPT = 512
+
+
 def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
 
@@ -69,7 +73,7 @@ def similarity(a: Counter, b: Counter) -> float:
 
 class Table:
     """One block's index: a value's entry lists the items whose block differs in ``bits`` or fewer. Entries
-    are made when they are first asked for, from the block's distinct values."""
+    are made when they are first asked for, from the block's distinct values; at most ``KEPT`` are kept."""
 
     def __init__(self, blocks: np.ndarray, bits: int):
         order = np.argsort(blocks, kind="stable")
@@ -79,6 +83,8 @@ class Table:
 
     def near(self, value: int) -> np.ndarray:
         if value not in self.entries:
+            if len(self.entries) >= KEPT:
+                self.entries.clear()
             close = np.flatnonzero(np.bitwise_count(self.values ^ np.uint16(value)) <= self.bits)
             self.entries[value] = np.concatenate([np.zeros(0, dtype=np.int64), *(self.items[k] for k in close)])
         return self.entries[value]
