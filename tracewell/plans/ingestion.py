@@ -205,7 +205,21 @@ def _models(spark, sf_dir):
     return dbt.models(manifests(spark, sf_dir)).select("key", "target", F.array_join("deps", ",").alias("deps"), "sql", F.array_join("columns", ",").alias("columns"), "pipeline")
 
 
+def _compiled(spark, sf_dir):
+    """Every second model has SQL over its first dependency instead of its own."""
+    own = dbt.models(manifests(spark, sf_dir))
+    return own.withColumn("sql", F.expr("CASE WHEN size(deps) > 0 AND cast(substr(key, 7) AS int) % 2 = 0 THEN concat('WITH base AS (SELECT id, v * 2 AS w FROM ', deps[0], ') SELECT base.w, base.id AS ', 'k', substr(key, 7), ' FROM base -- of ', key) ELSE sql END"))
+
+
+_COMPILED = f"""SELECT "key", target, CASE WHEN even THEN unnest(['w', 'k' || "key"[7:]]) ELSE columns END AS "column", string_split(deps, ',')[1] AS source_dataset, CASE WHEN even THEN unnest(['v', 'id']) ELSE columns END AS source_column,
+    CASE WHEN even THEN unnest([false, true]) ELSE true END AS is_passthrough FROM (SELECT *, "key"[7:]::INT % 2 = 0 AS even FROM ({_MODELS}) WHERE deps <> '')"""
+_COMPILED = f"SELECT DISTINCT * FROM ({_COMPILED})"
+
+
 _D = {
+    "d06_compiled_lineage": (lambda s, d: dbt.lineage(_compiled(s, d)), _COMPILED),
+    "d07_declared_columns": (lambda s, d: dbt.lineage(dbt.models(manifests(s, d))), f"""SELECT "key", target, columns AS "column", string_split(deps, ',')[1] AS source_dataset, columns AS source_column, true AS is_passthrough FROM ({_MODELS}) WHERE deps <> ''"""),
+    "d09_tags": (lambda s, d: dbt.models(manifests(s, d)).select("key", F.get_json_object("tags", "$.resource_type").alias("kind"), F.get_json_object("tags", "$.materialized").alias("materialized"), F.get_json_object("tags", "$.package").alias("package")), f"""SELECT "key", CASE "key"[7:]::INT % 5 WHEN 1 THEN 'snapshot' WHEN 2 THEN 'seed' ELSE 'model' END AS kind, 'table' AS materialized, 'p' AS package FROM ({_MODELS})"""),
     "d01_models": (_models, _MODELS),
     "d03_names": (lambda s, d: _models(s, d).select("key", "target"), f'SELECT "key", target FROM ({_MODELS})'),
     "d04_dependencies": (lambda s, d: _models(s, d).where("deps <> ''").select("key", F.explode(F.split("deps", ",")).alias("dep")), f'SELECT "key", unnest(string_split(deps, \',\')) AS dep FROM ({_MODELS}) WHERE deps <> \'\''),

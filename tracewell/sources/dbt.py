@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.runtime import materialize
 from tracewell.sources.sql_lineage import extract
+from tracewell.sources.sql_tables import extract as extract_table
 
 #: Kinds of nodes that have lineage.
 KINDS = ["model", "snapshot", "seed", "analysis"]
@@ -38,6 +40,21 @@ def models(manifest: DataFrame) -> DataFrame:
     return out.select("key", _name("n").alias("target"), "deps", F.coalesce(F.nullif(F.col("n.compiled_sql"), F.lit("")), F.col("n.compiled_code")).alias("sql"), F.transform(F.map_values("n.columns"), lambda c: c["name"]).alias("columns"), F.get("n.fqn", F.lit(0)).alias("pipeline"), tags.alias("tags"))
 
 
+def lineage(own: DataFrame) -> DataFrame:
+    """(key, target, column, source_dataset, source_column, is_passthrough) for all models at once, in joins.
+
+    A model with dependencies has the lineage of its SQL; one whose SQL gives none has its declared columns
+    from the first dependency. Models without dependencies, and those without SQL and columns, give no rows.
+    """
+    own = materialize(own.where(F.size("deps") > 0).select("key", "target", "deps", "sql", "columns"), "dbt-models")
+    found = extract_table(own.where(F.coalesce("sql", F.lit("")) != ""), "key", "sql")
+    read = found.select(F.col("id").alias("key"), "column", "source_dataset", "source_column", "is_passthrough").join(own.select("key", "target"), "key")
+    declared = own.join(found.select(F.col("id").alias("key")).distinct(), "key", "left_anti").select("key", "target", F.explode("columns").alias("column"), F.get("deps", F.lit(0)).alias("source_dataset"))
+    declared = declared.withColumn("source_column", F.col("column")).withColumn("is_passthrough", F.lit(True))
+    names = ["key", "target", "column", "source_dataset", "source_column", "is_passthrough"]
+    return read.select(*names).unionAll(declared.select(*names))
+
+
 def ingest(spark: SparkSession, path: str, project: str, commit: str | None = None, semantics: str = "documented") -> list[dict]:
     """The events of a manifest. The SQL is parsed on the driver, model by model (D06); without any
     derivation, declared columns come from the first dependency (D07)."""

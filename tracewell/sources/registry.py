@@ -80,18 +80,22 @@ def http(base: str, timeout: float = 10) -> Callable[[str], object]:
 
 def fetch(get: Callable[[str], object], subject_list: str = "/subjects", latest: str = "/subjects/{}/versions/latest", at_once: int = 16) -> list[dict]:
     """All subjects' latest schemas by ``get(path) -> object``, so many at once, in the list's order;
-    a failing subject is left out, a failing list is empty."""
+    a failing subject, or one whose answer is no object, is left out; a failing list, or what is no list, is empty."""
 
     def one(s: str) -> dict | None:
         try:
             got = get(latest.format(s))
         except (OSError, ValueError):
             return None
+        if not isinstance(got, dict):
+            return None
         return {"subject": s, "version": got.get("version", 1), "schemaType": got.get("schemaType", "AVRO"), "schema": got.get("schema", "")}
 
     try:
         subjects = get(subject_list)
     except (OSError, ValueError):
         return []
+    if not isinstance(subjects, list):
+        return []
     with ThreadPoolExecutor(at_once) as pool:
         return [x for x in pool.map(one, subjects) if x]
