@@ -247,7 +247,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     _, _, takes = mix(items, **options)
     spans = takes.groupBy(F.col("key.k").alias("__key"), F.col("key.copy").alias("copy")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     per_doc = spans.groupBy("__key").agg(F.collect_list("spans").alias("__takes"))
-    arrow_rows(spark, 2000)
+    # A batch holds its texts, their takes and up to three copies of what these leave.
+    arrow_rows(spark, 500)
     others = [c for c in names if c != "text"]
     one = keyed.dropDuplicates(["__key"])
     joined = one.join(per_doc.hint("merge"), "__key").drop("__key")
