@@ -13,8 +13,8 @@ def events(spark, first, last):
     k = F.col("id")
     name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
     rows = spark.range(first, last).select(
-        name("e", k).alias("event_id"), F.lit("sql").alias("source_type"), F.lit("p").alias("project_name"), name("c", k % 5).alias("commit_id"), F.timestamp_seconds(k + 1_700_000_000).alias("ingested_at"), name("t", k % 9000).alias("transform_id"), name("n", k).alias("transform_name"),
-        F.lit("line").alias("pipeline_name"), F.array(name("d", k % 11_000)).alias("source_datasets"), F.array(name("o", k % 12_000)).alias("target_datasets"), F.array(F.struct(ref(name("d", k % 11_000), F.lit("x")).alias("source"), ref(name("o", k % 12_000), F.lit("y")).alias("target"), name("f", k).alias("expression"), F.lit(False).alias("is_passthrough"))).alias("column_derivations"),
+        name("e", k).alias("event_id"), F.lit("sql").alias("source_type"), F.lit("p").alias("project_name"), name("c", k % 5).alias("commit_id"), F.timestamp_seconds(k + 1_700_000_000).alias("ingested_at"), name("t", k % 4000).alias("transform_id"), name("n", k).alias("transform_name"),
+        F.lit("line").alias("pipeline_name"), F.array(name("d", k % 5000)).alias("source_datasets"), F.array(name("o", k % 6000)).alias("target_datasets"), F.array(F.struct(ref(name("d", k % 5000), F.lit("x")).alias("source"), ref(name("o", k % 6000), F.lit("y")).alias("target"), name("f", k).alias("expression"), F.lit(False).alias("is_passthrough"))).alias("column_derivations"),
         name("select ", k).alias("raw_sql"), F.lit(None).cast("string").alias("tags"), F.lit(False).alias("llm_inferred"), F.lit("ok").alias("validation_status"),
     )
     return rows
@@ -31,27 +31,27 @@ def size(path):
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
     s = U.GraphStore(spark, str(tmp_path_factory.mktemp("store")), fold_after=None, buckets=8)
-    s.apply(events(spark, 0, 40_000), "large")
+    s.apply(events(spark, 0, 12_000), "large")
     s.compact()
-    s.apply(events(spark, 39_990, 40_050), "small")
-    s.apply(events(spark, 40_050, 40_060), "smaller")
+    s.apply(events(spark, 11_990, 12_050), "small")
+    s.apply(events(spark, 12_050, 12_060), "smaller")
     return s
 
 
 def test_a_small_batch_writes_little(store):
     assert store.versions() == [(1, "large"), (3, "small"), (4, "smaller")]
-    assert size(f"{store.root}/versions/v00000003") < 0.02 * size(f"{store.root}/versions/v00000001")
+    assert size(f"{store.root}/versions/v00000003") < 0.05 * size(f"{store.root}/versions/v00000001")
     assert sorted(os.listdir(f"{store.root}/versions")) == [f"v{n:08d}" for n in (1, 2, 3, 4)]
 
 
 def test_reading_folds_bases_and_deltas(spark, store):
     whole = U.GraphStore(spark, fold_after=None)
-    whole.apply(events(spark, 0, 40_000), "large")
-    whole.apply(events(spark, 39_990, 40_050), "small")
-    whole.apply(events(spark, 40_050, 40_060), "smaller")
+    whole.apply(events(spark, 0, 12_000), "large")
+    whole.apply(events(spark, 11_990, 12_050), "small")
+    whole.apply(events(spark, 12_050, 12_060), "smaller")
     before = rows(store.nodes()), rows(store.edges())
     assert before == (rows(whole.nodes()), rows(whole.edges()))
-    ev = U.prepared(events(spark, 0, 40_060))
+    ev = U.prepared(events(spark, 0, 12_060))
     assert {(r[0], r[1], r[2]) for r in U.event_nodes(ev).select("node_id", "commit_id", "source_type").collect()} == {(r[0], r[1], r[2]) for r in store.nodes().select("node_id", "commit_id", "source_type").collect()}
     assert store.compact() and not store.compact()
     assert before == (rows(store.nodes()), rows(store.edges()))
@@ -61,7 +61,7 @@ def test_reading_folds_bases_and_deltas(spark, store):
 
 def test_earlier_versions_stay(spark, store):
     first = U.GraphStore(spark, fold_after=None)
-    first.apply(events(spark, 0, 40_000), "large")
+    first.apply(events(spark, 0, 12_000), "large")
     for version in (1, 2):
         assert rows(store.nodes(version=version)) == rows(first.nodes()) and rows(store.edges(version=version)) == rows(first.edges())
     assert store.nodes(version=0).count() == 0
