@@ -11,6 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.runtime import dealt
 from tracewell.sources import plan_tables
 
 
@@ -84,11 +85,16 @@ _RELATIONS = [(k, "LogicalRelation", "bill.i@C", n) for k, n in enumerate([1, 1,
 _DB = "replace(replace({}, '@K', o_orderkey::VARCHAR), '@C', o_custkey::VARCHAR)"
 
 
+#: A task's plans: an order's few bytes become a plan of some kilobytes and twenty nodes.
+_A_TASK = 5000
+
+
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(plan_id, plan, job_id): a plan of each order."""
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey", _A_TASK)
     shapes = F.array(*(F.lit(json.dumps(s)) for s in _SHAPES))
     filled = F.replace(F.replace(F.get(shapes, (F.col("o_orderkey") % len(_SHAPES)).cast("int")), F.lit("@K"), F.col("o_orderkey").cast("string")), F.lit("@C"), F.col("o_custkey").cast("string"))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("plan_id"), filled.alias("plan"), F.concat(F.lit("job"), F.col("o_orderkey") % 10).alias("job_id"))
+    return orders.select(F.col("o_orderkey").alias("plan_id"), filled.alias("plan"), F.concat(F.lit("job"), F.col("o_orderkey") % 10).alias("job_id"))
 
 
 def _lit(v) -> str:
@@ -129,12 +135,12 @@ def _events(spark, sf_dir):
 
 TABLE = {
     "e01_classes": (
-        lambda s, d: plan_tables.nodes(plans(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+        lambda s, d: plan_tables.nodes(plans(s, d), columns=False).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
         f"SELECT kind, sum(times)::BIGINT AS n FROM {_values('kind, times', [(k, c, n) for (k, c), n in _kinds().items()])} GROUP BY kind",
     ),
     "e02_topmost_writes": (lambda s, d: _events(s, d).groupBy("plan_id").agg(F.count(F.lit(1)).alias("writes")), f"SELECT plan_id, count(*) AS writes FROM ({_EVENT}) GROUP BY plan_id"),
     "e04_relations": (
-        lambda s, d: plan_tables.nodes(plans(s, d)).where("relation is not null").groupBy("kind", "relation").agg(F.count(F.lit(1)).alias("n")),
+        lambda s, d: plan_tables.nodes(plans(s, d), columns=False).where("relation is not null").groupBy("kind", "relation").agg(F.count(F.lit(1)).alias("n")),
         f"SELECT kind, {_DB.format('name')} AS relation, sum(times)::BIGINT AS n FROM {_values('kind, name, times', _RELATIONS)} GROUP BY ALL",
     ),
     "e05_windows": (lambda s, d: _all(s, d).where("expression like 'RowNumber%'"), f"SELECT * FROM ({_derived(_ROWS)}) WHERE expression LIKE 'RowNumber%'"),

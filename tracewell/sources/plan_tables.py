@@ -9,17 +9,20 @@ follows them, a Union's to every branch, until the relations' own columns are re
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.runtime import counted, forget, materialize, ship
+from tracewell.runtime import by_shuffled_size, counted, forget, materialize, ship
 from tracewell.sources.plan_json import PROJECTS, RELATIONS, WRITES
 
 _EXPR = "struct<class:string,`num-children`:int,name:string,exprId:struct<id:long,jvmId:string>,qualifier:string,value:string>"
 _TABLE = "struct<identifier:struct<database:string,table:string>>"
 _NODE = f"array<struct<class:string,`num-children`:int,output:array<array<{_EXPR}>>,{','.join(f'{x}:array<array<{_EXPR}>>' for x in PROJECTS.values())},tableMeta:{_TABLE},catalogTable:{_TABLE},outputPath:string,path:string,options:struct<dbtable:string,path:string>,tableIdent:struct<multipartIdentifier:array<string>>,joinType:string>>"
+#: What is read of a plan without its columns: of a relation's output only the qualifier.
+_SLIM = re.sub(r",\w+:array<array<struct<class.*?>>>(?=,)", "", _NODE.replace(f"output:array<array<{_EXPR}>>", "output:array<array<struct<qualifier:string>>>").replace(_EXPR, "struct<class:string>"))
 _names = lambda names: ", ".join(f"'{n}'" for n in sorted(names))
 _PARENTS = "aggregate(kids, struct(array(-1) AS stack, cast(array() AS array<int>) AS out), (a, k) -> struct(concat(slice(a.stack, 1, greatest(size(a.stack) - 1, 0)), array_repeat(size(a.out), k)) AS stack, concat(a.out, array(try_element_at(a.stack, -1))) AS out), a -> a.out)"
 _LAST = "slice(a.stack, greatest(size(a.stack) - {k} + 1, 1), {k})"
@@ -62,14 +65,16 @@ def flat(plans: pd.Series) -> pd.Series:
     return plans.map(one)
 
 
-def nodes(plans: DataFrame, plan_col: str = "plan") -> DataFrame:
-    """(plan_id, i, kind, parent, last, ...): a row for each node; its subtree is the positions i to last.
+def nodes(plans: DataFrame, plan_col: str = "plan", columns: bool = True) -> DataFrame:
+    """(plan_id, i, kind, parent, last, ...): a row for each node; its subtree is the positions i to last. Without
+    ``columns`` the nodes have no output and items, which are most of a plan.
 
     Null, empty and unreadable plans have no nodes. ``plan_id`` must be unique.
     """
     ship(plans.sparkSession)
-    text = F.when(F.ltrim(plan_col).startswith("{"), F.pandas_udf(flat, "string")(plan_col)).otherwise(F.col(plan_col))
-    parsed = plans.select("plan_id", F.from_json(text, _NODE).alias("n")).where("size(n) > 0").withColumn("kids", F.expr("transform(n, x -> coalesce(x.`num-children`, 0))"))
+    # Only nested plans travel to Python; a filter on what is parsed would parse each plan twice.
+    nested = F.pandas_udf(flat, "string")(F.when(F.ltrim(plan_col).startswith("{"), F.col(plan_col)))
+    parsed = plans.select("plan_id", F.from_json(F.coalesce(nested, F.col(plan_col)), _NODE if columns else _SLIM).alias("n")).withColumn("kids", F.expr("transform(n, x -> coalesce(x.`num-children`, 0))"))
     shaped = parsed.select("plan_id", "n", F.expr(_PARENTS).alias("parent"), F.expr(_SIZES).alias("size"))
     zipped = shaped.select("plan_id", F.posexplode(F.arrays_zip("n", "parent", "size")).alias("i", "x"))
     kind, ident = _kind("x.n.class"), "coalesce(x.n.tableMeta.identifier, x.n.catalogTable.identifier)"
@@ -77,8 +82,8 @@ def nodes(plans: DataFrame, plan_col: str = "plan") -> DataFrame:
     parts = f"coalesce(from_json({qualifier}, 'array<string>'), array({qualifier}))"
     base = lambda path: f"element_at(split(rtrim('/', {path}), '/'), -1)"
     return zipped.select(
-        "plan_id", "i", F.expr(kind).alias("kind"), F.col("x.parent").alias("parent"), F.expr("i + x.size - 1").alias("last"), F.col("x.n.output").alias("output"), F.col("x.n.joinType").alias("join_type"),
-        F.coalesce(*(F.when(F.expr(kind) == k, F.col(f"x.n.{v}")) for k, v in PROJECTS.items())).alias("items"),
+        "plan_id", "i", F.expr(kind).alias("kind"), F.col("x.parent").alias("parent"), F.expr("i + x.size - 1").alias("last"), *([F.col("x.n.output").alias("output")] if columns else []), F.col("x.n.joinType").alias("join_type"),
+        *([F.coalesce(*(F.when(F.expr(kind) == k, F.col(f"x.n.{v}")) for k, v in PROJECTS.items())).alias("items")] if columns else []),
         # The table's identifier, or the first qualifier of its output. E11: path, options, identifier.
         F.expr(f"CASE WHEN {kind} IN ({_names(RELATIONS)}) THEN coalesce(nullif(concat_ws('.', {ident}.database, {ident}.table), ''), nullif(array_join(slice({parts}, greatest(size({parts}) - 1, 1), 2), '.'), ''), 'unknown') END").alias("relation"),
         F.expr(
@@ -140,15 +145,23 @@ def derivations(plans: DataFrame, plan_col: str = "plan", semantics: str = "docu
     as_implemented takes every projection below the write, its first referenced name and the write's first relation.
     Plans without a write, null and unreadable ones give no rows.
     """
+    with by_shuffled_size(plans.sparkSession):
+        return _derivations(plans, plan_col, semantics)
+
+
+def _derivations(plans: DataFrame, plan_col: str, semantics: str) -> DataFrame:
     below = materialize(written(nodes(plans, plan_col)), "plan-nodes")
     made = materialize(columns(below), "plan-columns")
     target = below.groupBy("plan_id", "write").agg(F.first("target").alias("target"), F.min_by("relation", F.when(F.col("relation").isNotNull(), F.col("i"))).alias("first_source"))
     if semantics == "as_implemented":
         every = made.where("relation is null and kind <> 'Window' and size(ref_names) > 0").join(target, ["plan_id", "write"])
-        return every.select(
+        out = every.select(
             "plan_id", "write", "target", F.row_number().over(Window.partitionBy("plan_id", "write").orderBy(F.desc("i"), "pos")).alias("position"), F.col("name").alias("column"),
             F.coalesce("first_source", F.lit("unknown")).alias("source_dataset"), F.expr("get(ref_names, 0)").alias("source_column"), "expression", F.expr("expression is null and get(ref_names, 0) = name").alias("is_passthrough"),
         )
+        out = materialize(out, "plan-derivations")
+        forget(below, made)
+        return out
     front = materialize(frontier(below).join(made, ["plan_id", "write", "i"]), "plan-frontier")
     # A Union's columns have the ids of its first branch, which mean that branch's columns within it: above it, and in
     # what it hands on, they go by the Union's place as well.
@@ -199,6 +212,6 @@ def derivations(plans: DataFrame, plan_col: str = "plan", semantics: str = "docu
 def events(plans: DataFrame, plan_col: str = "plan", job_col: str = "job_id", semantics: str = "documented") -> DataFrame:
     """(plan_id, transform_id, target_dataset, source_datasets): a row for each topmost write, its relations in
     order of their names without repeats; ``transform_id`` is job_target."""
-    below = written(nodes(plans, plan_col))
+    below = written(nodes(plans, plan_col, columns=False))
     each = below.groupBy("plan_id", "write").agg(F.first("target").alias("target_dataset"), F.array_sort(F.collect_set("relation")).alias("source_datasets"))
     return each.join(plans.select("plan_id", F.col(job_col).alias("job")), "plan_id").select("plan_id", F.concat_ws("_", "job", "target_dataset").alias("transform_id"), "target_dataset", "source_datasets")
