@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.runtime import dealt
 from tracewell.sources import sql_tables
 
 #: Columns that the catalogue knows, by table.
@@ -43,12 +44,20 @@ _N = len(_SHAPES)
 _DB = "replace(replace({}, '@K', p_partkey::VARCHAR), '@M', (p_partkey % 7)::VARCHAR)"
 
 
+#: A task's texts: a part's key becomes a text of some forty tokens.
+_A_TASK = 2000
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey", _A_TASK)
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(statement_id, sql, dialect): a text of each part."""
     shape = F.get(F.array(*(F.lit(t) for t, _ in _SHAPES)), (F.col("p_partkey") % _N).cast("int"))
     filled = F.replace(F.replace(shape, F.lit("@K"), F.col("p_partkey").cast("string")), F.lit("@M"), (F.col("p_partkey") % 7).cast("string"))
     dialect = F.get(F.array(*map(F.lit, ("redshift", "bigquery", "snowflake", "postgres", "default", "duck"))), (F.col("p_partkey") % 6).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("statement_id"), filled.alias("sql"), dialect.alias("dialect"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("statement_id"), filled.alias("sql"), dialect.alias("dialect"))
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -104,7 +113,7 @@ def statements_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(statement_id, sql): statements of each part that change tables."""
     shape = F.get(F.array(*(F.lit(t) for t, _ in _DDL)), (F.col("p_partkey") % len(_DDL)).cast("int"))
     filled = F.replace(F.replace(shape, F.lit("@K"), F.col("p_partkey").cast("string")), F.lit("@M"), (F.col("p_partkey") % 7).cast("string"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("statement_id"), filled.alias("sql"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("statement_id"), filled.alias("sql"))
 
 
 TABLE = {

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.runtime import counted, forget, materialize
+from tracewell.runtime import by_shuffled_size, counted, forget, materialize
 
 _TOKEN = r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*(?s:.*?)\*/|[\p{L}_][\p{L}\p{N}_$]*|\d+(?:\.\d+)?|::|<=>|<>|<=|>=|!=|\|\||->>|->|=>|\S"""
 _SETS = {"UNION", "EXCEPT", "INTERSECT", "MINUS"}
@@ -87,6 +87,8 @@ def tokens(texts: DataFrame, id_col: str = "statement_id", sql_col: str = "sql")
     return t.withColumn("rel", F.sum((state.isin("relation", "view") & state.isNotNull()).cast("int")).over(block))
 
 
+#: A task's tokens in the shuffles after them, of some 300 bytes each.
+_A_TASK = 200_000
 #: What the later steps read of a token.
 _KEPT = "id n pos tok up word name p1 p2 p3 w2 w4 prev_name next level g branch clause skip item state rel sub".split()
 
@@ -200,7 +202,17 @@ class Extraction:
 
     def __init__(self, texts: DataFrame, id_col: str = "statement_id", sql_col: str = "sql", catalog: DataFrame | None = None):
         spark = texts.sparkSession
-        t = self.tokens = materialize(tokens(texts, id_col, sql_col).select(*_KEPT), "sql-tokens")
+        t, n = counted(tokens(texts, id_col, sql_col).select(*_KEPT), "sql-tokens")
+        self.tokens, self.tasks = t, n // _A_TASK + 1
+        with self.planned():
+            self._read(t)
+        self.catalog = spark.createDataFrame([], "dataset string, place int, column string") if catalog is None else catalog.select("dataset", F.col("place").cast("int").alias("place"), "column")
+
+    def planned(self):
+        """How the joins of a run are planned; what is run later must be within as well."""
+        return by_shuffled_size(self.tokens.sparkSession, self.tasks)
+
+    def _read(self, t: DataFrame) -> None:
         found = materialize(statements(t), "sql-statements")
         self.statements, lineage = found, found.where("kind <> 'other'").select(*_KEY)
         t = t.join(lineage, _KEY, "left_semi")
@@ -214,7 +226,6 @@ class Extraction:
         self.spans = t.groupBy(*_BLOCK).agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
         glue = F.expr("concat(if(p1 is null or p1 in ('(', '.', '::') or tok in (')', ',', '.', '::') or (tok = '(' and prev_name), '', ' '), tok)")
         self.words = t.where("sub is null").groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("pos", glue.alias("text")))).alias("words"))
-        self.catalog = spark.createDataFrame([], "dataset string, place int, column string") if catalog is None else catalog.select("dataset", F.col("place").cast("int").alias("place"), "column")
 
     def _texts(self) -> DataFrame:
         """The items' expressions in a plain form: the tokens with single spaces."""
@@ -313,10 +324,15 @@ class Extraction:
         """C14: (id, n, item): the items of the outermost queries that name no column, and so give no row."""
         scalar = self.tokens.where("sub is not null and clause = 'SELECT' and not skip").select(*_BLOCK, "item")
         own = self.items.where("g = -1 and not star")
-        return own.join(self.references.where("rel = 0").select(*_BLOCK, "item").unionAll(scalar), [*_BLOCK, "item"], "left_anti").select("id", "n", "item")
+        with self.planned():
+            return materialize(own.join(self.references.where("rel = 0").select(*_BLOCK, "item").unionAll(scalar), [*_BLOCK, "item"], "left_anti").select("id", "n", "item"), "sql-without-source")
 
     def derivations(self) -> DataFrame:
         """(id, n, target, place, column, source_dataset, source_column, expression, is_passthrough)."""
+        with self.planned():
+            return self._derivations()
+
+    def _derivations(self) -> DataFrame:
         outs = materialize(self.outputs(), "sql-expanded")
         refs = materialize(self._resolved(), "sql-resolved")
         to = F.expr("coalesce(view, concat_ws(':', 'o', inner, inner_place))")
@@ -375,10 +391,12 @@ def extract(texts: DataFrame, id_col: str = "statement_id", sql_col: str = "sql"
 def events(run: Extraction, given: Column | None = None) -> DataFrame:
     """(id, n, target, source_datasets): a row for each statement with lineage that has a source; the tables found
     and the ``given`` ones (an array), in order and without repeats."""
-    found = run.sources.groupBy(*_KEY).agg(F.collect_set("dataset").alias("found"))
-    every = run.statements.where("kind <> 'other'").join(found, _KEY, "left")
-    own = F.coalesce("found", F.array().cast("array<string>"))
-    return every.withColumn("source_datasets", F.array_sort(own if given is None else F.array_union(own, given))).where("size(source_datasets) > 0").select(*_KEY, "target", "source_datasets")
+    with run.planned():
+        found = run.sources.groupBy(*_KEY).agg(F.collect_set("dataset").alias("found"))
+        every = run.statements.where("kind <> 'other'").join(found, _KEY, "left")
+        own = F.coalesce("found", F.array().cast("array<string>"))
+        all_ = F.array_sort(own if given is None else F.array_union(own, given))
+        return materialize(every.withColumn("source_datasets", all_).where("size(source_datasets) > 0").select(*_KEY, "target", "source_datasets"), "sql-events")
 
 
 def transform_id(sql: str) -> Column:
