@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -57,8 +58,8 @@ def shingle_hashes(ids: np.ndarray, words: int) -> np.ndarray:
     return _mixed(out)
 
 
-#: Entries of a block's table that a worker keeps.
-KEPT = 512
+#: Comparisons of a block's values that are held at once.
+CELLS = 1 << 20
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -72,22 +73,23 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Table:
-    """One block's index: a value's entry lists the items whose block differs in ``bits`` or fewer. Entries
-    are made when they are first asked for, from the block's distinct values; at most ``KEPT`` are kept."""
+    """One block's index: the block's distinct values and the items of each, which are those that differ in ``bits``
+    or fewer from what is asked."""
 
     def __init__(self, blocks: np.ndarray, bits: int):
-        order = np.argsort(blocks, kind="stable")
-        self.values, first = np.unique(blocks[order], return_index=True)
-        self.items = np.split(order, first[1:])
-        self.bits, self.entries = bits, {}
+        self.items = np.argsort(blocks, kind="stable")
+        self.values, self.first, self.n = np.unique(blocks[self.items], return_index=True, return_counts=True)
+        self.bits = bits
 
-    def near(self, value: int) -> np.ndarray:
-        if value not in self.entries:
-            if len(self.entries) >= KEPT:
-                self.entries.clear()
-            close = np.flatnonzero(np.bitwise_count(self.values ^ np.uint16(value)) <= self.bits)
-            self.entries[value] = np.concatenate([np.zeros(0, dtype=np.int64), *(self.items[k] for k in close)])
-        return self.entries[value]
+    def near(self, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in ``asked`` and items, some at a time: all asked values are held against the distinct
+        values at once, within ``CELLS``."""
+        step = max(1, CELLS // len(self.values))
+        for low in range(0, len(asked), step):
+            a, k = np.nonzero(np.bitwise_count(asked[low : low + step, None] ^ self.values) <= self.bits)
+            n = self.n[k]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(a + low, n), self.items[np.repeat(self.first[k], n) + within]
 
 
 class Index:
@@ -127,20 +129,15 @@ class Index:
         own, out = self.by_size[size], set()
         mine = self.prints[own]
         for block, table in zip(self._blocks(prints).T, self.tables[size], strict=True):
-            values, of = np.unique(block, return_inverse=True)
-            found = [table.near(int(v)) for v in values]
-            n = np.array([len(f) for f in found])[of]
-            w = np.repeat(np.arange(len(prints)), n)
-            i = np.concatenate([found[k] for k in of]) if len(w) else np.zeros(0, dtype=np.int64)
-            ok = np.bitwise_count(prints[w] ^ mine[i]) <= self.radius
-            out.update((int(a), own[b]) for a, b in zip(w[ok], i[ok], strict=True))
+            for w, i in table.near(block):
+                ok = np.bitwise_count(prints[w] ^ mine[i]) <= self.radius
+                out.update((a, own[b]) for a, b in zip(w[ok].tolist(), i[ok].tolist(), strict=True))
         return out
 
     def search(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window for each item that the text holds."""
         seen = tokens(text)
-        get = self.vocabulary.get
-        ids = np.fromiter((get(x, 0) for x in seen), dtype=np.uint64, count=len(seen))
+        ids = np.fromiter(map(self.vocabulary.get, seen, repeat(0)), dtype=np.uint64, count=len(seen))
         best: dict[int, tuple[float, int, int]] = {}
         told = np.append(0, np.cumsum(ids > 0))
         for k, known in self.known.items():
