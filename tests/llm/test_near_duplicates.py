@@ -72,6 +72,20 @@ def test_forest_connects():
     assert sorted(nd.forest(near)) == [(0, 3), (0, 5), (1, 2)]
 
 
+@pytest.mark.parametrize("tile", [8, 256])
+def test_groups_of_the_same_members_give_the_same_links(spark, monkeypatch, tile):
+    """Links of tiles are between components, however many members and groups the components share."""
+    monkeypatch.setattr(nd, "TILE", tile)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(120)]
+    held = spark.createDataFrame([(f"t{i:02d}", edited(rng, words, 1)) for i in range(60)], "text_id string, text string")
+    groups = spark.createDataFrame([(g, f"t{i:02d}", f"t{i % 6:02d}") for g in range(12) for i in range(60)], "grp long, text_id string, component string")
+    links = {tuple(r) for r in nd._tiled(groups, held, 0.8).collect()}
+    assert len(links) <= 15 and {x for link in links for x in link} == {f"t{i:02d}" for i in range(6)}
+    found = nd.connected_components(spark.createDataFrame(sorted(links), "src string, dst string")).collect()
+    assert {r["component"] for r in found} == {"t00"}
+
+
 def test_stage_matches_all_pairs(spark):
     """Hubs, chains and texts that share a passage only, through the pipeline's stage."""
     import corpus_pipeline

@@ -114,12 +114,14 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         forget(old)
     open_, last = _parted(groups, labels), groups
     near = materialize(_near(open_, prints), "near-members")
-    forget(last, open_, prints)
-    links, old = _with(links, materialize(_tiled(near, held, similar), "tile-links")), links
-    forget(old, labels, near, held)
-    found = connected_components(links, "text-components")
-    forget(links)
-    return hand_over(found, found.select(F.col("node").alias("text_id"), "component"))
+    forget(last, open_, prints, links)
+    ties = materialize(_tiled(near, held, similar).distinct(), "tile-links")
+    forget(near)
+    merged = connected_components(ties, "text-components")
+    forget(ties)
+    out = materialize(_merged(labels, merged), "text-classes")
+    forget(labels, merged, held)
+    return out
 
 
 def _groups(sketched: DataFrame) -> DataFrame:
@@ -193,6 +195,15 @@ def _labels(links: DataFrame, held: DataFrame) -> DataFrame:
     return hand_over(found, found.select(F.col("node").alias("text_id"), "component"))
 
 
+def _merged(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """(text_id, component): the texts' components after those that the tiles found alike are one; a component that
+    is no text's yet is a text of its own."""
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    moved = labels.join(to, "component", "left").select("text_id", F.coalesce("least", "component").alias("component"))
+    alone = merged.select(F.col("node").alias("text_id"), "component").join(labels, "text_id", "left_anti")
+    return moved.unionByName(alone)
+
+
 def _dealt(groups: DataFrame, size: int) -> DataFrame:
     """(tile, i, j, t, grp, text_id, component): the members of parted groups in tiles of about ``size``.
 
@@ -241,15 +252,16 @@ def _near(groups: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def _tiled(groups: DataFrame, held: DataFrame, similar: float) -> DataFrame:
-    """Links (src, dst) that connect all similar pairs of the groups' members that are of several components."""
+    """Links (src, dst) of components that connect all that have similar members in a group: in each tile from the
+    least of those that are alike to the others, so that groups with the same members give the same links."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("text_id")
-        ids, side = pdf["text_id"].to_numpy(), (pdf["t"] != pdf["i"]).to_numpy()
-        links = forest(similar_pairs([np.unique(shingles(t)) for t in pdf["text"]], side, similar))
-        return pd.DataFrame({"src": [ids[a] for a, _ in links], "dst": [ids[b] for _, b in links]}, dtype=object)
+        side = (pdf["t"] != pdf["i"]).to_numpy()
+        links = ties(similar_pairs([np.unique(shingles(t)) for t in pdf["text"]], side, similar), pdf["component"].to_numpy())
+        return pd.DataFrame(links, columns=["src", "dst"], dtype=object)
 
-    dealt = _dealt(groups, TILE).select("tile", "i", "j", "t", "text_id").distinct()
+    dealt = _dealt(groups, TILE).select("tile", "i", "j", "t", "text_id", "component").distinct()
     return dealt.join(held, "text_id").groupBy("tile", "i", "j").applyInPandas(run, "src string, dst string")
 
 
@@ -291,6 +303,18 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def ties(near: np.ndarray, parts: np.ndarray) -> list[tuple[str, str]]:
+    """(least, other) names of parts that pairs of a symmetric matrix of their members connect."""
+    names, code = np.unique(parts, return_inverse=True)
+    met = np.zeros((len(names), len(names)), dtype=bool)
+    a, b = np.nonzero(near)
+    met[code[a], code[b]] = True
+    root: dict[int, int] = {}
+    for x, y in forest(met):  # a tree's pairs follow each other, from its least part on
+        root[y] = root.get(x, x)
+    return [(names[x], names[y]) for y, x in root.items()]
+
+
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the least doc_id stays.
 
