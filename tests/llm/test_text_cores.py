@@ -54,6 +54,23 @@ def test_suffix_spans_of_long_documents():
         assert spans(data, batch=batch) == [want[i] for i in range(len(data))]
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_suffix_runs_are_the_same_in_blocks(monkeypatch, block):
+    sd = suffix_dedup
+    rng = np.random.default_rng(5)
+    data = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (300, 8, 7, 90, 300)]
+    raw, ends = np.frombuffer(b"".join(data), dtype=np.uint8), np.repeat(np.cumsum([len(t) for t in data]), [len(t) for t in data])
+    common = (np.arange(1 << sd.SLOTS) % 3 == 0).astype(np.uint8)
+    whole = sd.runs(raw, ends, 8, 4, common)
+    monkeypatch.setattr(sd, "BLOCK", block)
+    assert all((a == b).all() for a, b in zip(whole, sd.runs(raw, ends, 8, 4, common), strict=True))
+    want = sd.brute_spans(list(enumerate(data)), 8)
+    assert spans(data, common=common) == [want[i] for i in range(len(data))]
+    # The digits alone are those of the runs that are sent.
+    sent, _ = sd.send([1, 2, 3, 4, 5, 6, 7], [0] * 7, [0] * 7, [*data, data[0], data[3]], 8, 4, common)
+    assert set(sd.batch_runs([*data, data[0], data[3]], 8, 4, common)[-1]) == set(sent.digit) and sent.size.sum() < sum(sd.batch_runs([*data, data[0], data[3]], 8, 4, common)[3] - sd.batch_runs([*data, data[0], data[3]], 8, 4, common)[2])
+
+
 def test_suffix_numbers_travel_whole():
     for n in (0, 1, 1000):
         x = np.unique(np.random.default_rng(n).integers(0, 1 << 40, n, dtype=np.uint64))

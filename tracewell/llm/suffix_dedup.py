@@ -38,6 +38,8 @@ GROUP_BYTES, DIGIT_BYTES, BUCKET_BYTES = 3 << 20, 32 << 20, 4 << 20
 #: Bytes of text that frequent strings are looked for in, of batches of 1 MB each; how often a batch must
 #: hold one. This orders the strings only; results don't depend on it.
 SAMPLE_BYTES, SAMPLE_BATCH, OFTEN, SLOTS = 8 << 20, 1 << 20, 4, 22
+#: Windows that are hashed at once: their arrays stay in a core's cache.
+BLOCK = 1 << 15
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -74,15 +76,18 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int, seed: int, common: np.n
     none = np.zeros(0, dtype=np.int64)
     if len(data) < width:
         return none, none, none.astype(np.uint64)
-    least = seed_hashes(data, seed) >> _U(1)
-    if common is not None:
-        least |= common[least >> _U(63 - SLOTS)].astype(np.uint64) << _U(63)
-    have, want = 1, width - seed + 1
-    while have < want:
-        step = min(have, want - have)
-        least = np.minimum(least[:-step], least[step:])
-        have += step
-    count = len(least)
+    count = len(data) - width + 1
+    least = np.empty(count, dtype=np.uint64)
+    for lo in range(0, count, BLOCK):  # a hash depends on its bytes alone, so blocks give the same ones
+        x = seed_hashes(data[lo : lo + BLOCK + width - 1], seed) >> _U(1)
+        if common is not None:
+            x |= common[x >> _U(63 - SLOTS)].astype(np.uint64) << _U(63)
+        have, want = 1, width - seed + 1
+        while have < want:
+            step = min(have, want - have)
+            x = np.minimum(x[:-step], x[step:])
+            have += step
+        least[lo : lo + BLOCK] = x
     new = np.ones(count, dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (ends[1:count] != ends[: count - 1])
     at = np.flatnonzero(new)
@@ -131,10 +136,11 @@ def unpack_numbers(blob: bytes) -> np.ndarray:
 
 
 class Runs:
-    """Packed runs: bytes one after the other; of each run its length, digit, document and place in it."""
+    """Packed runs: bytes one after the other, or from ``begin`` on; of each run its length, digit, document and place in it."""
 
-    def __init__(self, data: np.ndarray, size: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray):
+    def __init__(self, data: np.ndarray, size: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, begin: np.ndarray | None = None):
         self.data, self.size, self.digit, self.doc, self.place, self.ids, self.keys = data, size, digit, doc, place, ids, keys
+        self.begin = np.cumsum(size) - size if begin is None else begin
 
     def pack(self) -> bytes:
         parts = [np.array([len(self.size), len(self.ids), len(self.data)], dtype=np.int64), self.size.astype(np.int32), self.digit, self.doc.astype(np.int32), self.place.astype(np.int32), self.ids, self.keys, self.data]
@@ -155,8 +161,7 @@ class Runs:
     def of(self, some: np.ndarray) -> Runs:
         """Some of the runs."""
         size = self.size[some]
-        begin = (np.cumsum(self.size) - self.size)[some]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin, size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.begin[some], size)
         docs, doc = np.unique(self.doc[some], return_inverse=True)
         return Runs(self.data[at], size, self.digit[some], doc, self.place[some], self.ids[docs], self.keys[docs])
 
@@ -167,11 +172,12 @@ class Runs:
         doc = np.concatenate([p.doc.astype(np.int64) + s for p, s in zip(parts, shift, strict=False)])
         return Runs(cat("data"), cat("size"), cat("digit"), doc, cat("place"), cat("ids"), cat("keys"))
 
-    def dealt(self, buckets: int) -> Iterator[tuple[int, Runs]]:
-        """(bucket, its runs)."""
-        to = short(self.digit) % _U(buckets)
+    def dealt(self, buckets: int, some: np.ndarray | None = None) -> Iterator[tuple[int, Runs]]:
+        """(bucket, its runs), of all or some of the runs."""
+        some = np.arange(len(self.size)) if some is None else some
+        to = short(self.digit[some]) % _U(buckets)
         order = np.argsort(to, kind="stable")
-        to = to[order].astype(np.int64)
+        to, order = to[order].astype(np.int64), some[order]
         cut = np.flatnonzero(np.diff(to, prepend=-1))
         for lo, hi in zip(cut, np.append(cut[1:], len(to)), strict=False):
             mine = order[lo:hi]
@@ -192,26 +198,39 @@ def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], np.maximum.reduceat(stop, first)
 
 
-def send(ids, keys, offsets, texts: list[bytes], width: int, seed: int, common: np.ndarray | None) -> tuple[Runs, tuple]:
-    """The runs that a batch sends, and the spans (index, start, stop) that it knows to be repeated."""
+def batch_runs(texts: list[bytes], width: int, seed: int, common: np.ndarray | None) -> tuple:
+    """(bytes, where each text ends, and its runs' start, stop and digit) of a batch."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     raw = b"".join(texts)
-    data = np.frombuffer(raw, dtype=np.uint8)
     stops = np.cumsum(lens)
-    start, stop, digit = runs(data, np.repeat(stops, lens), width, seed, common)
+    return raw, stops, *runs(np.frombuffer(raw, dtype=np.uint8), np.repeat(stops, lens), width, seed, common)
+
+
+def of_several(digit: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The places of the digits that several documents have."""
+    if not len(digit):
+        return np.zeros(0, dtype=np.int64)
+    order = np.argsort(digit)
+    new = np.append(True, digit[order][1:] != digit[order][:-1])
+    return order[_of_several(order, new, doc)]
+
+
+def send(ids, keys, offsets, texts: list[bytes], width: int, seed: int, common: np.ndarray | None) -> tuple[Runs, tuple]:
+    """The runs that a batch sends, and the spans (index, start, stop) that it knows to be repeated."""
+    raw, stops, start, stop, digit = batch_runs(texts, width, seed, common)
+    lens = np.diff(stops, prepend=0)
     of = np.searchsorted(stops, start, side="right")
     own = np.asarray(ids, dtype=np.int64)
     first: dict[bytes, int] = {}
     sent = np.ones(len(start), dtype=bool)
-    for k, (a, b, d) in enumerate(zip(start.tolist(), stop.tolist(), own[of].tolist(), strict=True)):
+    some = np.sort(of_several(digit, own[of]))  # equal runs have the same digit
+    for k, a, b, d in zip(some.tolist(), start[some].tolist(), stop[some].tolist(), own[of[some]].tolist(), strict=True):
         if first.setdefault(raw[a:b], d) != d:  # documents come in the order of ids
             sent[k] = False
     base = (stops - lens)[of] - np.asarray(offsets, dtype=np.int64)[of]
     known = (of[~sent], (start - base)[~sent], (stop - base)[~sent])
-    s, e = start[sent], stop[sent]
-    size = e - s
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - s, size)
-    return Runs(data[at], size, digit[sent], of[sent], (s - base[sent]), own, np.asarray(keys, dtype=np.int64)), known
+    s = start[sent]
+    return Runs(np.frombuffer(raw, dtype=np.uint8), stop[sent] - s, digit[sent], of[sent], s - base[sent], own, np.asarray(keys, dtype=np.int64), s), known
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,6 +310,12 @@ def resolve(r: Runs, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _spans(doc, start, stop)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the numbers are among the ascending ones."""
+    at = np.searchsorted(known, x)
+    return known[np.minimum(at, len(known) - 1)] == x if len(known) else np.zeros(len(x), dtype=bool)
+
+
 def _rows(ids: np.ndarray, keys: np.ndarray, spans: tuple) -> pd.DataFrame:
     """(doc_id, key, spans) rows of spans by document, packed as pairs of numbers."""
     doc, start, stop = spans
@@ -353,14 +378,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast(common_strings(known, n_bytes, seed))
     grp = F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)).alias("grp")
 
-    def sent(pdf: pd.DataFrame) -> Iterator[tuple[Runs, tuple]]:
+    def batched(pdf: pd.DataFrame) -> Iterator[tuple]:
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-        for ids, keys, offsets, parts in batches(pdf["doc_id"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64), texts, width, 2 * group_bytes):
+        return batches(pdf["doc_id"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64), texts, width, 2 * group_bytes)
+
+    def sent(pdf: pd.DataFrame) -> Iterator[tuple[Runs, tuple]]:
+        for ids, keys, offsets, parts in batched(pdf):
             r, repeated = send(ids, keys, offsets, list(parts), width, seed, shared.value)
             yield r, (ids, keys, _spans(*repeated))
 
     def digits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(short(r.digit) for r, _ in sent(pdf))]))
+        # What a batch doesn't send has the digit of a run that it sends.
+        found = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(short(batch_runs(list(parts), width, seed, shared.value)[-1]) for *_, parts in batched(pdf))]))
         to = (found * _U(digit_buckets) >> _U(40)).astype(np.int64)
         cut = np.flatnonzero(np.diff(to, prepend=-1))
         return pd.DataFrame({"to": to[cut], "grp": key[0], "blob": [pack_numbers(x) for x in np.split(found, cut[1:])] if len(cut) else []})
@@ -382,10 +411,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows: list[tuple[int, int, int, bytes]] = []
         held = list(sent(pdf)) if len(pdf) else []
         # Digits that several documents of the group have; a document in pieces may count as several.
-        own, many = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.unique(np.column_stack([short(r.digit), r.doc.astype(np.uint64)]), axis=0)[:, 0] for r, _ in held)]), return_counts=True)
-        wanted = np.union1d(elsewhere, own[many > 1])
+        shift = np.cumsum([0, *(len(r.ids) for r, _ in held)])
+        own = np.concatenate([np.zeros(0, dtype=np.uint64), *(short(r.digit) for r, _ in held)])
+        doc = np.concatenate([np.zeros(0, dtype=np.int64), *(r.doc + s for (r, _), s in zip(held, shift, strict=False))])
+        wanted = np.union1d(elsewhere, own[of_several(own, doc)])
         for r, (ids, keys, repeated) in held:
-            rows += [(to, 0, int(key[0]), part.pack()) for to, part in r.of(np.flatnonzero(np.isin(short(r.digit), wanted))).dealt(buckets)]
+            rows += [(to, 0, int(key[0]), part.pack()) for to, part in r.dealt(buckets, np.flatnonzero(_among(short(r.digit), wanted)))]
             spans = _rows(ids, keys, repeated)
             if len(spans):  # what the group knows already passes through a bucket as it is
                 rows.append((int(key[0]) % buckets, 1, int(key[0]), _framed(spans)))
