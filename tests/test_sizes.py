@@ -33,6 +33,14 @@ def test_a_plan_is_parsed_once(spark):
     assert text.count("Project [plan_id") and "Filter (size(from_json" not in text
 
 
+def test_kinds_are_the_last_parts_of_classes_without_patterns(spark):
+    kinds = [("a.b.Project", "Project"), ("Project", "Project"), ("", ""), ("a.", ""), (".", ""), ("a..B", "B"), (None, None)]
+    df = spark.createDataFrame(kinds, "c string, want string").withColumn("got", F.expr(plan_tables._kind("c")))
+    assert all(r["got"] == r["want"] for r in df.collect())
+    plans = spark.createDataFrame([(1, "[]")], "plan_id long, plan string")
+    assert "[.]" not in plan_tables.nodes(plans)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nodes_without_columns_are_the_same_nodes(spark, sf):
     odd = [(-1, None), (-2, ""), (-3, "{"), (-4, "[]"), (-5, "{}"), (-6, "no json"), (-7, json.dumps([{"class": "a.LogicalRelation", "num-children": 0, "output": "odd"}]))]
     plans = plan_queries.plans(spark, sf).select("plan_id", "plan").union(spark.createDataFrame(odd, "plan_id long, plan string"))

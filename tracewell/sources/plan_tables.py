@@ -31,8 +31,8 @@ _SIZES = f"reverse(aggregate(reverse(kids), struct(cast(array() AS array<int>) A
 
 
 def _kind(column: str) -> str:
-    """The last part of a class name."""
-    return f"element_at(split({column}, '[.]'), -1)"
+    """The last part of a class name, without a pattern, which would be compiled for every expression."""
+    return f"substring_index({column}, '.', -1)"
 
 
 #: The text of a flat expression, from its last node back; a node takes its children off the stack.
@@ -124,14 +124,14 @@ def columns(below: DataFrame) -> DataFrame:
 def frontier(below: DataFrame) -> DataFrame:
     """(plan_id, write, i, top, union_at, start): the relations and projections that make the output of each write (top -1) or branch of a Union
     (top is the branch's position): those without another between. A semi or anti join has its left side only."""
-    n = below.select("plan_id", "i", "last", "parent", "kind", "relation", "items", "join_type", "write")
+    n = below.select("plan_id", "i", "last", "parent", "kind", "relation", "projects", "join_type", "write")
     tops = n.alias("c").join(n.alias("u"), F.expr("c.plan_id = u.plan_id and c.parent = u.i and u.kind = 'Union'")).select("c.plan_id", "c.i", "c.last", F.col("c.i").alias("top"), F.col("c.parent").alias("union_at"))
     writes = n.groupBy("plan_id", F.col("write").alias("i")).agg(F.max("last").alias("last")).select("plan_id", "i", "last", F.lit(-1).alias("top"), F.lit(None).cast("int").alias("union_at"))
     # What hides the nodes below it: a projection, a relation, a further Union's later branches, the right side of a semi or anti join.
-    made = n.where("relation is not null or (items is not null and kind <> 'Window')").select("plan_id", F.col("i").alias("h"), (F.col("i") + 1).alias("low"), F.col("last").alias("high"))
+    made = n.where("relation is not null or (projects and kind <> 'Window')").select("plan_id", F.col("i").alias("h"), (F.col("i") + 1).alias("low"), F.col("last").alias("high"))
     sides = n.alias("c").join(n.alias("j"), F.expr("c.plan_id = j.plan_id and c.parent = j.i and c.i > j.i + 1 and (j.kind = 'Union' or j.join_type rlike 'Semi|Anti')"))
     hidden = made.unionAll(sides.select("c.plan_id", F.col("c.i").alias("h"), F.col("c.i").alias("low"), F.col("c.last").alias("high")))
-    found = n.where("relation is not null or items is not null").alias("f").join(tops.unionAll(writes).alias("t"), F.expr("f.plan_id = t.plan_id and t.i <= f.i and f.i <= t.last"))
+    found = n.where("relation is not null or projects").alias("f").join(tops.unionAll(writes).alias("t"), F.expr("f.plan_id = t.plan_id and t.i <= f.i and f.i <= t.last"))
     found = found.select("f.plan_id", "f.i", "f.write", "t.top", "t.union_at", F.col("t.i").alias("start"))
     return found.alias("f").join(hidden.alias("h"), F.expr("f.plan_id = h.plan_id and h.low <= f.i and f.i <= h.high and (h.h > f.start or (h.h = f.start and h.low > h.h))"), "left_anti")
 
@@ -150,7 +150,8 @@ def derivations(plans: DataFrame, plan_col: str = "plan", semantics: str = "docu
 
 
 def _derivations(plans: DataFrame, plan_col: str, semantics: str) -> DataFrame:
-    below = materialize(written(nodes(plans, plan_col)), "plan-nodes")
+    # What only asks whether a node has items reads a flag, not the items.
+    below = materialize(written(nodes(plans, plan_col)).withColumn("projects", F.col("items").isNotNull()), "plan-nodes")
     made = materialize(columns(below), "plan-columns")
     target = below.groupBy("plan_id", "write").agg(F.first("target").alias("target"), F.min_by("relation", F.when(F.col("relation").isNotNull(), F.col("i"))).alias("first_source"))
     if semantics == "as_implemented":
