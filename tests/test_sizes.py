@@ -92,3 +92,11 @@ def test_plans_in_many_tasks_match_sql(spark, sf, query, monkeypatch):
     monkeypatch.setattr(plan_queries, "_A_TASK", 300)
     made, sql = plan_queries.TABLE[query]
     assert sorted(repr(tuple(r)) for r in made(spark, sf).collect()) == _oracle(sql, sf)
+
+
+def test_a_runs_tables_are_written_when_they_are_asked_for(spark, sf, monkeypatch):
+    names, write = [], sql_tables.materialize
+    monkeypatch.setattr(sql_tables, "materialize", lambda df, name, by=None: names.append(name) or write(df, name, by))
+    run = sql_queries._run(spark, sf)
+    assert run.sources.count() == run.sources.count() and names == ["sql-statements", "sql-groups", "sql-relations"]
+    assert run.without_source().count() and names[3:] == ["sql-items", "sql-references", "sql-without-source"]

@@ -14,6 +14,8 @@ their own within brackets, PIVOT and names that lambdas bind aren't told apart.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,7 +197,7 @@ def _with_commons(rels: DataFrame, ctes: DataFrame, groups: DataFrame) -> DataFr
 
 
 class Extraction:
-    """The tables of one run over the texts, written once each.
+    """The tables of one run over the texts, written once each, when they are first asked for.
 
     statements: (id, n, kind, target, names); sources: (id, n, dataset); derivations: see ``extract``.
     """
@@ -204,28 +206,55 @@ class Extraction:
         spark = texts.sparkSession
         t, n = counted(tokens(texts, id_col, sql_col).select(*_KEPT), "sql-tokens")
         self.tokens, self.tasks = t, n // _A_TASK + 1
-        with self.planned():
-            self._read(t)
         self.catalog = spark.createDataFrame([], "dataset string, place int, column string") if catalog is None else catalog.select("dataset", F.col("place").cast("int").alias("place"), "column")
 
     def planned(self):
         """How the joins of a run are planned; what is run later must be within as well."""
         return by_shuffled_size(self.tokens.sparkSession, self.tasks)
 
-    def _read(self, t: DataFrame) -> None:
-        found = materialize(statements(t), "sql-statements")
-        self.statements, lineage = found, found.where("kind <> 'other'").select(*_KEY)
-        t = t.join(lineage, _KEY, "left_semi")
-        self.groups = materialize(t.groupBy(*_GROUP).agg(F.max("pos").alias("close")), "sql-groups")
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        with self.planned():
+            return materialize(df, name)
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        return self._written(statements(self.tokens), "sql-statements")
+
+    @property
+    def _read(self) -> DataFrame:
+        """The tokens of the statements with lineage."""
+        return self.tokens.join(self.statements.where("kind <> 'other'").select(*_KEY), _KEY, "left_semi")
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return self._written(self._read.groupBy(*_GROUP).agg(F.max("pos").alias("close")), "sql-groups")
+
+    @cached_property
+    def relations(self) -> DataFrame:
         # The last token of the outermost query ends after all others.
         groups = self.groups.select(*_GROUP, F.expr("if(g = -1, 2147483647, close)").alias("close"))
-        self.relations = materialize(_with_commons(relations(t), commons(t), groups), "sql-relations")
-        self.items = materialize(items(t, self.relations), "sql-items")
-        self.references = materialize(references(t, self.items), "sql-references")
-        self.sources = self.relations.where("kind = 'table'").select(*_KEY, "dataset").distinct()
-        self.spans = t.groupBy(*_BLOCK).agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+        return self._written(_with_commons(relations(self._read), commons(self._read), groups), "sql-relations")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self._written(items(self._read, self.relations), "sql-items")
+
+    @cached_property
+    def references(self) -> DataFrame:
+        return self._written(references(self._read, self.items), "sql-references")
+
+    @property
+    def sources(self) -> DataFrame:
+        return self.relations.where("kind = 'table'").select(*_KEY, "dataset").distinct()
+
+    @property
+    def spans(self) -> DataFrame:
+        return self._read.groupBy(*_BLOCK).agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
+
+    @property
+    def words(self) -> DataFrame:
         glue = F.expr("concat(if(p1 is null or p1 in ('(', '.', '::') or tok in (')', ',', '.', '::') or (tok = '(' and prev_name), '', ' '), tok)")
-        self.words = t.where("sub is null").groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("pos", glue.alias("text")))).alias("words"))
+        return self._read.where("sub is null").groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("pos", glue.alias("text")))).alias("words"))
 
     def _texts(self) -> DataFrame:
         """The items' expressions in a plain form: the tokens with single spaces."""
