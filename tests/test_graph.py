@@ -241,3 +241,27 @@ def test_components_of_cycles(spark):
         got.setdefault(r["component"], set()).add(r["node_id"])
     assert sorted(map(sorted, got.values())) == [["a", "b", "c"], ["d", "e"], ["f"]]
     assert T.cyclic_components(T.hops(edges(spark, ("a", "b"), ("b", "c")))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["{0:02}-{1}", "{2:02}-{1}"])
+def test_components_of_a_chain_of_cycles_are_found_in_few_rounds(spark, monkeypatch, name):
+    # Twelve cycles of three, each leading to the next, named in the order of the chain and against it.
+    of = lambda i, k: name.format(i, k % 3, 99 - i)
+    ring = [(of(i, k), of(i, k + 1)) for i in range(12) for k in range(3)] + [(of(i, 0), of(i + 1, 0)) for i in range(11)]
+    tables = []
+    for write in ("materialize", "counted"):
+        monkeypatch.setattr(T, write, lambda df, to, *a, own=getattr(T, write): tables.append(to) or own(df, to, *a))
+    got = {}
+    for r in T.cyclic_components(T.hops(edges(spark, *ring))).collect():
+        got.setdefault(r["component"], set()).add(r["node_id"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(of(i, k) for k in range(3)) for i in range(12))
+    assert len(tables) <= 60, tables
+
+
+def test_walks_through_components_read_only_pairs_that_are_reached(spark, monkeypatch):
+    read, through = [], T._walk_components
+    monkeypatch.setattr(T, "_walk_components", lambda near, *a: read.append(sorted(map(tuple, near.collect()))) or through(near, *a))
+    ring = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("x", "y"), ("y", "x")]
+    got = T.longest_trail(edges(spark, *ring, *ring[:2]), starts(spark, "a"), ["DERIVES_FROM"], direction="out").collect()
+    assert [tuple(r["chain"]) for r in got] == [("d", "c", "b", "a")]
+    assert read == [[("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")]]
