@@ -265,3 +265,16 @@ def test_walks_through_components_read_only_pairs_that_are_reached(spark, monkey
     got = T.longest_trail(edges(spark, *ring, *ring[:2]), starts(spark, "a"), ["DERIVES_FROM"], direction="out").collect()
     assert [tuple(r["chain"]) for r in got] == [("d", "c", "b", "a")]
     assert read == [[("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")]]
+
+
+def test_the_nearest_nodes_end_the_search_at_their_level(spark, monkeypatch):
+    pairs = T.hops(edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "e"), ("d", "f"), ("f", "g"), ("g", "a")))
+    some = spark.createDataFrame([("c",), ("d",), ("g",), ("z",)], "node_id string")
+    levels = []
+    monkeypatch.setattr(T, "counted", lambda df, name, own=T.counted: levels.append(name) or own(df, name))
+    near = lambda **k: (levels.clear(), {tuple(r) for r in T.bfs(pairs, starts(spark, "a"), **k).collect()}, len(levels))[1:]
+    one, two = {("b", 1), ("c", 1)}, {("d", 2), ("e", 2)}
+    assert near(nearest=1) == (one, 1) and near(nearest=1, of=some) == (one, 1)
+    assert near(nearest=3) == (one | two, 2) and near(nearest=2, of=some) == (one | two, 2)
+    every = one | two | {("f", 3), ("g", 4)}
+    assert near(nearest=9, of=some) == (every, 5) and near() == (every, 5)
