@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewell.runtime import by_shuffled_size, counted, forget, materialize, ship
 from tracewell.sources.plan_json import PROJECTS, RELATIONS, WRITES
+from tracewell.sources.plan_shapes import each_shape
 
 _EXPR = "struct<class:string,`num-children`:int,name:string,exprId:struct<id:long,jvmId:string>,qualifier:string,value:string>"
 _TABLE = "struct<identifier:struct<database:string,table:string>>"
@@ -146,7 +147,7 @@ def derivations(plans: DataFrame, plan_col: str = "plan", semantics: str = "docu
     Plans without a write, null and unreadable ones give no rows.
     """
     with by_shuffled_size(plans.sparkSession):
-        return _derivations(plans, plan_col, semantics)
+        return each_shape(plans, plan_col, lambda some: _derivations(some, plan_col, semantics))
 
 
 def _derivations(plans: DataFrame, plan_col: str, semantics: str) -> DataFrame:
@@ -198,8 +199,8 @@ def _derivations(plans: DataFrame, plan_col: str, semantics: str) -> DataFrame:
             break
         seen = seen.unionAll(new)
     sources = seen.join(base.withColumnRenamed("id", "ref"), ["plan_id", "ref"]).select("plan_id", "write", "position", "source_dataset", "source_column").distinct()
-    # A column that some column behind it computes is computed too; its text is the nearest there is by its own id.
-    texts = made.where("expression is not null").groupBy("plan_id", F.col("id").alias("ref")).agg(F.min("expression").alias("text"))
+    # A column that some column behind it computes is computed too; its text is the first in the plan by its own id.
+    texts = made.where("expression is not null").groupBy("plan_id", F.col("id").alias("ref")).agg(F.min_by("expression", F.struct("i", "pos")).alias("text"))
     computed = seen.join(texts, ["plan_id", "ref"]).select("plan_id", "write", "position").distinct().withColumn("computed", F.lit(True))
     out = own.join(sources, ["plan_id", "write", "position"]).join(target, ["plan_id", "write"]).join(computed, ["plan_id", "write", "position"], "left").join(texts.withColumnRenamed("ref", "node"), ["plan_id", "node"], "left")
     out = materialize(
